@@ -1,0 +1,6 @@
+"""The registered queries over the driver's tables, each beside its SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
