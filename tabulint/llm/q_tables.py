@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulint.llm import tokens, transport
+from tabulint.llm import features, langid, quality, tokens, transport
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,10 +24,33 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return tokens.token_counts(documents(spark, sf_dir), tokenizer, limit=1024)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out quarter."""
+    docs = documents(spark, sf_dir).withColumn("held_out", features.bucket("doc_id", 4) == 2)
+    return langid.identify(docs, docs.filter("not held_out"), keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def labelled(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with their quality label, outside the held-out fifth."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(features.bucket("doc_id", 5) != 0)
+    return docs.select("doc_id", "text").join(labels, "doc_id").select("text", "quality")
+
+
+#: Score from which a document counts as good.
+GOOD = 0.3
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels outside the held-out fifth."""
+    docs = documents(spark, sf_dir)
+    out = quality.scores(docs.withColumn("held_out", features.bucket("doc_id", 5) == 0), labelled(docs, spark, sf_dir), "quality", keep=("doc_id", "held_out"))
+    return out.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a transport stream and read back."""
     return transport.stream_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op7_transport_streams)}
+QUERIES = {f.__name__: f for f in (op5_token_counts, op6_language_id, op7_transport_streams, op10_quality)}
 ORACLES: dict[str, str] = {}
