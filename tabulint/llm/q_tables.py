@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulint.llm import features, langid, quality, tokens, transport
+from tabulint.llm import curriculum, features, langid, quality, tokens, transport
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -14,6 +14,49 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 1, 2, 3, ... by source, in training order;
+    `position` is the first of a document's positions, null if it is not taken."""
+    out = curriculum.assign(documents(spark, sf_dir))
+    return (
+        out.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+        .repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id"))
+        .sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    )
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM s),
+w AS (SELECT *, CAST(rank % 3 + 1 AS DOUBLE) AS weight FROM r),
+l AS (
+  SELECT *, source_size / weight AS fill,
+    (sum(source_size) OVER () - 3.0::DOUBLE * coalesce(sum(source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS level
+  FROM w WINDOW b AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT level FROM l WHERE level * weight <= 3.0 * source_size ORDER BY fill, rank LIMIT 1),
+t AS (SELECT source, rank, source_size, CAST(coalesce(least(3.0 * source_size, (SELECT level FROM f) * weight), 3.0 * source_size) AS DOUBLE) AS target FROM l),
+p AS (
+  SELECT d.doc_id, d.size, t.rank, t.source_size, t.target,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2 AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE (middle < target)::INT + (source_size + middle < target)::INT + (2 * source_size + middle < target)::INT END AS copies,
+    middle / target AS share
+  FROM p)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+  CASE WHEN copies = 0 THEN NULL
+       WHEN rank % 3 = 0 THEN 2 * share / (0.5 + sqrt(0.25 + 2 * share))
+       WHEN rank % 3 = 1 THEN share
+       WHEN share <= 0.625 THEN 2 * share / (1.5 + sqrt(2.25 - 2 * share))
+       ELSE 0.5 + 2 * (share - 0.625) / (1 + sqrt(greatest(1 - 2 * (share - 0.625), 0))) END AS position
+FROM c
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Tokens of every document; SQL has no byte-pair encoding, so the tests
     compare with the tokenizers library."""
@@ -52,5 +95,5 @@ def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.stream_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_language_id, op7_transport_streams, op10_quality)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_mixing, op5_token_counts, op6_language_id, op7_transport_streams, op10_quality)}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
