@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulint.llm import curriculum, features, langid, quality, tokens, transport
+from tabulint.llm import curriculum, features, langid, quality, secrets, tokens, transport
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,6 +57,14 @@ FROM c
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    out = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), secrets.default_samples(spark))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.written(F.filter("secrets", lambda s: s["kind"] != "markov"))
+    return out.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.written(F.col("secrets")).alias("spans"), of("markov"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Tokens of every document; SQL has no byte-pair encoding, so the tests
     compare with the tokenizers library."""
@@ -95,5 +103,5 @@ def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.stream_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_token_counts, op6_language_id, op7_transport_streams, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_secrets, op5_token_counts, op6_language_id, op7_transport_streams, op10_quality)}
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
