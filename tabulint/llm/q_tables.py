@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulint.llm import curriculum, features, langid, quality, secrets, tokens, transport
+from tabulint.llm import curriculum, features, langid, neardup, quality, secrets, tokens, transport
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -14,6 +14,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies over 2-word shingles at 80 percent."""
+    return neardup.classes(documents(spark, sf_dir), shingle=2, percent=80)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3, ... by source, in training order;
     `position` is the first of a document's positions, null if it is not taken."""
@@ -103,5 +108,5 @@ def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.stream_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_secrets, op5_token_counts, op6_language_id, op7_transport_streams, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_mixing, op4_secrets, op5_token_counts, op6_language_id, op7_transport_streams, op10_quality)}
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
