@@ -86,10 +86,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, docs.filter("not held_out"), keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def labelled(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with their quality label, outside the held-out fifth."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(features.bucket("doc_id", 5) != 0)
-    return docs.select("doc_id", "text").join(labels, "doc_id").select("text", "quality")
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels outside the held-out fifth."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(features.bucket("doc_id", 5) != 0)
 
 
 #: Score from which a document counts as good.
@@ -99,7 +98,7 @@ GOOD = 0.3
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels outside the held-out fifth."""
     docs = documents(spark, sf_dir)
-    out = quality.scores(docs.withColumn("held_out", features.bucket("doc_id", 5) == 0), labelled(docs, spark, sf_dir), "quality", keep=("doc_id", "held_out"))
+    out = quality.scores(docs.withColumn("held_out", features.bucket("doc_id", 5) == 0), quality_labels(spark, sf_dir), "quality", keep=("doc_id", "held_out"))
     return out.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
 

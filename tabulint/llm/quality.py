@@ -35,10 +35,15 @@ def unit(z: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
 
-def fit(labelled: DataFrame, label: str, text: str, per_label: int, rank: int = RANK) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, label: str, on: str, text: str, per_label: int, rank: int = RANK) -> dict:
+    """The space and the sample's vectors.  The sample is chosen from the labels
+    alone, by a hash of their key, at most `per_label` rows of each label: small
+    enough to broadcast, so the texts are not shuffled."""
     grams = features.Grams(DIMS, (2, 3), shape=True)
-    _, rows = features.sampled(labelled.withColumn(label, F.col(label).cast("string")), label, text, per_label, most_labels=2)
-    labels, counts = features.collected(rows, grams)
+    known = labels.select(on, F.col(label).cast("int").alias("label")).filter(F.col(on).isNotNull())
+    picks = [known.filter(F.col("label") == v).orderBy(F.xxhash64(on), on).limit(per_label) for v in (0, 1)]
+    rows = docs.select(on, F.col(text).alias("text")).filter("text is not null").join(F.broadcast(picks[0].unionAll(picks[1])), on)
+    labels, counts = features.collected(rows.select("label", "text"), grams)
     model = {"grams": grams, "labels": np.array([float(x) for x in labels])}
     if not labels:
         return model
@@ -68,15 +73,15 @@ def vote(model: dict, texts: pa.Array, neighbours: int) -> np.ndarray:
     return np.where(total > 1e-9, (weight * labels[at]).sum(1) / np.maximum(total, 1e-9), prior)
 
 
-def scores(docs: DataFrame, learn_from: DataFrame, label_col: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), per_label: int = 1500, neighbours: int = 15) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, label_col: str, on: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), per_label: int = 1500, neighbours: int = 15) -> DataFrame:
     """The `keep` columns with score, the similarity-weighted share of label 1
     among the `neighbours` nearest sample rows (0 to 1).
 
-    learn_from: rows with text and a label of 0 or 1; nulls teach nothing, and
-    about `per_label` rows of each label are used.  A text without n-grams (null
-    or empty) gets the sample's share of label 1; without a sample it is 0.5.
+    labels: rows (on, label 0 or 1) for documents to learn from; others teach
+    nothing.  A text without n-grams (null or empty) gets the sample's share of
+    label 1; without a sample it is 0.5.  Repeated rows stay.
     """
-    model = fit(learn_from.filter(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()), label_col, text_col, per_label)
+    model = fit(docs, labels, label_col, on, text_col, per_label)
     out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType(), False)])
 
     def run(parts):
