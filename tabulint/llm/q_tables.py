@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulint.llm import curriculum, features, langid, neardup, quality, secrets, substrings, tokens, transport
+from tabulint.llm import contextmix, curriculum, features, langid, neardup, quality, secrets, substrings, tokens, transport
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -95,6 +95,13 @@ def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 GOOD = 0.3
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, learned outside the held-out fifth."""
+    docs = documents(spark, sf_dir).withColumn("held_out", features.bucket("doc_id", 5) == 1)
+    out = contextmix.score(docs, docs.filter("not held_out"), keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without words of 20-word windows that occur earlier."""
     return substrings.without_repeats(documents(spark, sf_dir))
@@ -112,5 +119,5 @@ def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.stream_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_mixing, op4_secrets, op5_token_counts, op6_language_id, op7_transport_streams, op9_repeated_spans, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_mixing, op4_secrets, op5_token_counts, op6_language_id, op7_transport_streams, op8_context_mixing, op9_repeated_spans, op10_quality)}
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
