@@ -10,10 +10,12 @@ estimate their similarity, full shingle sets to confirm.
    are largest in sum: in a group of edited copies that is the text they come
    from.  Members are compared with their leaders only: as many pairs as bucket
    memberships.
-4. Pairs that the sketches put near the threshold are confirmed on the texts.
+4. Pairs that the sketches put anywhere near are compared on the texts, which
+   also gives what sets a member apart from its leader.
 5. Buckets that are still in more than one component are settled exactly: every
    member outside the bucket's largest component is compared with every member
-   of another component, by sketch, in blocks of bounded size, and confirmed.
+   of another component, in blocks of bounded size, by those differences: two
+   sets differ where just one of them differs from the leader.
 
 So no link inside a bucket is lost, and pairs of one component are not listed.
 With 40 bands of 5, a pair of similarity 0.8 meets in no bucket with a chance of
@@ -120,53 +122,85 @@ def estimate(a: Column, b: Column) -> Column:
     return 1 - differ / (2 * BANDS * ROWS)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * common >= percent * union.
-    The side that may repeat (v) is joined first, while rows are small."""
+def compared(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, differences: bool = True) -> DataFrame:
+    """(u, v, linked, n, delta) for pairs (u, v): whether the full sets have 100 *
+    common >= percent * union, the size of u's set, and the sorted hashes that are
+    in one of the two sets only.  The side that may repeat (v) is joined first,
+    while rows are small."""
 
     def run(parts):
         for p in parts:
             for q in textkit.batches(p, "a", 1 << 20):
-                keep = []
+                linked, size, delta = [], [], []
                 for x, y in zip(word_lists(q.column(2)), word_lists(q.column(3))):
                     x, y = shingle_set(x, shingle), shingle_set(y, shingle)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield q.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                    d = np.setxor1d(x, y, assume_unique=True)
+                    both = len(x) + len(y)
+                    linked.append(100 * (both - len(d)) >= percent * (both + len(d)))
+                    size.append(len(x))
+                    delta.append(d.tobytes() if differences else None)
+                yield pa.RecordBatch.from_arrays([q.column(0), q.column(1), pa.array(linked), pa.array(size, pa.int64()), pa.array(delta, pa.binary())], names=["u", "v", "linked", "n", "delta"])
 
     both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary, linked boolean, n long, delta binary")
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of a bucket, in different components, whose sketches are
-    near enough.  Of the bucket's component with most members, pairs with the
-    others only; a block has at most about SIDE members on each side."""
-    own = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def open_pairs(led: DataFrame, roots: DataFrame, sketches: DataFrame, to_leader: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v, sure) of a bucket that lie in different components.
+
+    Of the bucket's component with most members, only pairs with the others are
+    looked at, in blocks of about SIDE members a side.  Two sets that were both
+    compared with the leader are compared exactly, by what sets each of them apart
+    from it; one link (sure) is enough for a member and a component.  A set too
+    far from the leader cannot be linked with one that is linked with it, as the
+    Jaccard distance obeys the triangle inequality.  The rest are judged by sketch
+    and left to be confirmed.
+    """
+    own = led.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = own.groupBy("key", "root").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main"))
     buckets = buckets.filter("parts > 1").select("key", F.col("main.root").alias("main"), F.ceil(F.col("all") / SIDE).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("main.n")) / SIDE).cast("int").alias("rest"))
-    rows = own.join(buckets, "key").join(sketches, "node")
+    known = to_leader.select(F.col("u").alias("node"), "v", "linked", "n", "delta")
+    rows = own.join(buckets, "key").join(sketches, "node").join(known, ["node", "v"], "left")
+    rows = rows.withColumn("direct", F.coalesce("linked", F.col("node") == F.col("v"))).withColumn("delta", F.when(F.col("node") == F.col("v"), F.lit(b"")).otherwise(F.col("delta")))
+    columns = ["node", "root", "main", "sketch", "direct", F.coalesce("n", F.col("size")).alias("n"), "delta"]
     side = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
-    few = rows.filter("root <> main").select("key", side("rest", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("few"), "node", "root", "main", "sketch")
-    many = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i"), side("blocks", 2).alias("j"), F.lit(False).alias("few"), "node", "root", "main", "sketch")
+    few = rows.filter("root <> main").select("key", side("rest", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("few"), *columns)
+    many = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i"), side("blocks", 2).alias("j"), F.lit(False).alias("few"), *columns)
+    least = percent / 100 - SLACK
 
     def block(t: pa.Table) -> pa.Table:
-        few = t.column("few").to_numpy(zero_copy_only=False)
+        few, direct, n = (t.column(c).to_numpy() for c in ("few", "direct", "n"))
         node, root, main = (np.array(t.column(c).to_pylist(), dtype=object) for c in ("node", "root", "main"))
         bits = np.array(t.column("sketch").to_pylist(), np.int64).reshape(len(few), -1)
+        delta = [None if d is None else np.frombuffer(d, np.uint64) for d in t.column("delta").to_pylist()]
+        exact = np.array([d is not None for d in delta])
         a, b = np.flatnonzero(few), np.flatnonzero(~few)
-        us, vs = [], []
+        sizes = np.array([0 if delta[i] is None else len(delta[i]) for i in b], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(delta[i] for i in b if exact[i])])
+        owner = np.repeat(np.arange(len(b)), sizes)
+        us, vs, sure = [], [], []
         for i in a:
             z = np.bitwise_count(bits[b] ^ bits[i]).sum(1, dtype=np.int64)
             j = 1 + SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * z / SKETCH_BITS, 1e-3)) / (2 * BANDS * ROWS)
-            # a pair of two outsiders is in both directions: one is enough
-            ok = b[(j >= least) & (root[b] != root[i]) & ((root[b] == main[b]) | (node[b] > node[i]))]
-            us += [node[i]] * len(ok)
-            vs += list(node[ok])
-        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
-
-    return few.unionAll(many).groupBy("key", "i", "j").applyInArrow(block, "u binary, v binary").distinct()
+            # a pair of two outsiders is there in both directions: one is enough
+            ok = (j >= least) & (root[b] != root[i]) & ((root[b] == main[b]) | (node[b] > node[i]))
+            ok &= ~(direct[b] & (not exact[i])) & ~(~exact[b] & direct[i])
+            judged = ok & exact[b] & exact[i]
+            if judged.any():
+                common = np.bincount(owner[np.isin(flat, delta[i])], minlength=len(b))
+                apart = sizes + len(delta[i]) - 2 * common
+                both = n[b] + n[i]
+                found: set = set()
+                for k in np.flatnonzero(judged & (100 * (both - apart) >= percent * (both + apart))):
+                    if root[b[k]] not in found:
+                        found.add(root[b[k]])
+                        us.append(node[i]), vs.append(node[b[k]]), sure.append(True)
+            for k in np.flatnonzero(ok & ~judged):
+                us.append(node[i]), vs.append(node[b[k]]), sure.append(False)
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary()), "sure": pa.array(sure, pa.bool_())})
+
+    return few.unionAll(many).groupBy("key", "i", "j").applyInArrow(block, "u binary, v binary, sure boolean").distinct()
 
 
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,28 +220,32 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str =
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = saved(keyed.join(sizes, "key").select("key", "node", "n"), "members")
     central = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    ranked = members.join(central, "node")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("v"))
-    star = members.join(leaders, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("v"))
+    led = saved(members.join(leaders, "key").select("key", "node", "v"), "led")
     # sketches and texts of the members alone
-    some = one.join(central.select("node"), "node").select("node", "doc_id", "sketch")
-    sketches = saved(some, "members")
+    sketches = saved(one.join(central.select("node"), "node").select("node", "doc_id", "sketch", F.col("n_shingles").alias("size")), "members")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     texts = saved(named(source.join(sketches.select("node", "doc_id"), "doc_id"), shingle), "texts")
-    bits = sketches.select("node", "sketch")
-    least = percent / 100 - SLACK
+    bits = sketches.select("node", "sketch", "size")
+    # nearer than this a member may be linked with one that the leader is linked with
+    reach = 2 * percent / 100 - 1 - SLACK
     near = (
-        star.join(bits.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+        led.filter("node <> v")
+        .select(F.col("node").alias("u"), "v")
+        .distinct()
+        .join(bits.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
         .join(bits.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
-        .filter(estimate(F.col("a"), F.col("b")) >= least)
+        .filter(estimate(F.col("a"), F.col("b")) >= reach)
         .select("u", "v")
     )
-    links = saved(confirmed(near, texts, shingle, percent), "links")
-    roots = saved(components(links), "roots")
-    more = saved(confirmed(open_pairs(members, roots, bits, least), texts, shingle, percent), "links")
-    if not more.isEmpty():
+    to_leader = saved(compared(near, texts, shingle, percent), "leaders")
+    roots = saved(components(to_leader.filter("linked").select("u", "v")), "roots")
+    more = saved(open_pairs(led, roots, bits, to_leader, percent), "open")
+    confirmed = compared(more.filter("not sure").select("u", "v").distinct(), texts, shingle, percent, differences=False)
+    extra = saved(more.filter("sure").select("u", "v").unionAll(confirmed.filter("linked").select("u", "v")), "links")
+    if not extra.isEmpty():
         stars = roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = components(stars.unionAll(more))
+        roots = components(stars.unionAll(extra))
     first = nodes.join(roots, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = roots.join(first, "root").select("node", "component_id")
     named_nodes = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
