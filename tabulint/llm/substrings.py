@@ -99,7 +99,8 @@ def removals(tagged: DataFrame, span: int) -> DataFrame:
                 at = part[text] | place << _COUNT | size
                 yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(m)), pa.array(textkit.signed(c)), pa.array(doc[text]), pa.array(at)], names=["m", "c", "doc", "at"])
 
-    counted = tagged.select("text").mapInArrow(minimizers, "m long").groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m")
+    # a table of its own, so that the join below is of two plain exchanges, whose hot minimizers adaptive execution splits
+    counted = saved(tagged.select("text").mapInArrow(minimizers, "m long").groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"), "repeated")
     repeated = saved(tagged.mapInArrow(sources, "m long, c long, doc long, at long").join(counted, "m"), "paths")
     place = F.shiftright("at", _COUNT).bitwiseAND((1 << _PLACE) - 1)
     part = F.shiftleft(F.shiftright("at", _COUNT + _PLACE), _COUNT + _PLACE)
