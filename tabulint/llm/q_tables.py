@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulint.llm import contextmix, curriculum, features, langid, neardup, quality, secrets, substrings, tokens, transport
+from tabulint.llm import contextmix, curriculum, decontaminate, features, langid, neardup, quality, secrets, substrings, tokens, transport
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,6 +19,13 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir), shingle=2, percent=80)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item: a row a pair.
+    Documents without one have no row."""
+    found = decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3, ... by source, in training order;
     `position` is the first of a document's positions, null if it is not taken."""
@@ -119,5 +126,5 @@ def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.stream_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_mixing, op4_secrets, op5_token_counts, op6_language_id, op7_transport_streams, op8_context_mixing, op9_repeated_spans, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_mixing, op4_secrets, op5_token_counts, op6_language_id, op7_transport_streams, op8_context_mixing, op9_repeated_spans, op10_quality)}
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
