@@ -31,14 +31,14 @@ def _fold(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([t.tobytes()], pa.binary())], names=["piece", "sums"])
 
 
-def total(rows: DataFrame, shape: tuple[int, ...], task: Callable[[Iterator[pa.RecordBatch]], np.ndarray], groups: int = 12) -> np.ndarray:
+def total(rows: DataFrame, shape: tuple[int, ...], task: Callable[[Iterator[pa.RecordBatch]], np.ndarray], groups: int = 12, kind: type = np.float64) -> np.ndarray:
     """Sum over tasks of task(batches), an array of `shape`.  Pieces of one number
-    are added up where they meet, one row at a time; the driver gets one array."""
+    are added up where they meet, one row at a time; the driver gets one array, part after part."""
     numbers = int(np.prod(shape))
     many = -(-numbers // PIECE)
-    got = rows.mapInArrow(lambda parts: pieces(task(parts)), SCHEMA).repartition(max(1, min(groups, many)), "piece").mapInArrow(_fold, SCHEMA).collect()
-    out = np.zeros(many * PIECE)
-    for r in got:
+    got = rows.mapInArrow(lambda parts: pieces(task(parts)), SCHEMA).repartition(max(1, min(groups, many)), "piece").mapInArrow(_fold, SCHEMA)
+    out = np.zeros(many * PIECE, kind)
+    for r in got.toLocalIterator():
         x = np.frombuffer(r["sums"])
         out[r["piece"] * PIECE : r["piece"] * PIECE + len(x)] = x
     return out[:numbers].reshape(shape)
