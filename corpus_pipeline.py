@@ -48,9 +48,12 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the words the mix takes of them and their training
-    positions; documents that it does not take have none."""
+    positions, range-sorted by the first; documents that it does not take have
+    none and come last."""
     plan = curriculum.assign(docs).select("doc_id", "size", "source_size", "target", "taken", "positions")
-    return docs.select(*COLUMNS).join(plan.withColumnRenamed("doc_id", "mixed_id"), F.col("doc_id").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
+    placed = docs.select(*COLUMNS).join(plan.withColumnRenamed("doc_id", "mixed_id"), F.col("doc_id").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
+    first = F.col("position").asc_nulls_last()
+    return placed.withColumn("position", F.get("positions", F.lit(0))).repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
