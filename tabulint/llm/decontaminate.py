@@ -4,15 +4,15 @@
    Terms that make up more than a thousandth of all words are stop words, unless
    an item has hardly any others.  The rest get inverse-frequency weights.
 2. Texts are cut into passages of 32 words.  A distributed randomised singular
-   value decomposition of their TF-IDF matrix A takes two scans: the first sums
-   A'(A G) for a random G, the second A'(A Q) for an orthonormal basis Q of that;
-   the small matrix Q'A'A Q then gives the leading singular values and vectors.
-   Texts and items are folded in: V' x over the singular values.
+   value decomposition of their TF-IDF matrix A takes one scan, which sums
+   Y = A'(A G) for a random orthonormal G; the Nystrom form Y (G'Y)^-1 Y' of A'A
+   then gives the leading singular values and vectors.  Texts and items are
+   folded in: V' x over the singular values.
 3. Every 32-word window, one each 16 words, of every text is compared by exact
    cosine in that space with every piece of every item, in blocks.
-4. For windows near enough, the longest common subsequence of the item and the
-   text around the window must cover most of the item, and the item's answer, or
-   else its rarest words, must be there.
+4. For windows near enough that hold the item's answer, or half of its rarest
+   words, the longest common subsequence of the item and the
+   text around the window must cover most of the item.
 
 Nothing is shuffled but sums of fixed size; a text is judged inside one task.
 """
@@ -29,7 +29,7 @@ from tabulint.llm import dense, textkit
 RANK, EXTRA = 64, 8
 STEP, PASSAGE = 16, 32
 #: Items searched for at a time; more go in further rounds, so what is broadcast is bounded.
-ITEMS = 4_000
+ITEMS = 1_000
 #: Rows of the term matrix; with more terms than that, some share a row.
 ROWS = 1 << 14
 STOP = 1e-3
@@ -62,7 +62,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return textkit.hash_words(data, starts, ends, fold=True), first
 
 
-def _slices(parts, column: int, most: int = 1 << 20):
+def _slices(parts, column: int, most: int = 1 << 19):
     for p in parts:
         for q in textkit.batches(p, "text", most):
             yield q, *_words(q.column(column))
@@ -126,18 +126,21 @@ def gram_times(texts: DataFrame, terms: Terms, weight: np.ndarray, basis: np.nda
 def latent_space(texts: DataFrame, terms: Terms, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
     """A row per term: what an occurrence of it adds to a folded-in vector."""
     width = min(rank + EXTRA, terms.size)
-    q = np.linalg.qr(gram_times(texts, terms, weight, np.random.default_rng(7).standard_normal((terms.size, width))))[0]
-    small = q.T @ gram_times(texts, terms, weight, q)
+    g = np.linalg.qr(np.random.default_rng(7).standard_normal((terms.size, width)))[0]
+    y = gram_times(texts, terms, weight, g)
+    # a small shift keeps the root stable
+    shift = 1e-7 * max(float(np.linalg.norm(y)), 1e-9)
+    y = y + shift * g
+    small = g.T @ y
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    best = [i for i in np.argsort(-values)[:rank] if values[i] > 1e-9 * values.max()]
-    basis = q @ vectors[:, best] / np.sqrt(values[best])
+    ok = values > 1e-9 * values.max()
+    left, singular, _ = np.linalg.svd(y @ (vectors[:, ok] / np.sqrt(values[ok])), full_matrices=False)
+    # the squares of `singular` are the eigenvalues of A'A
+    best = singular[:rank] > 1e-5 * singular.max()
+    basis = left[:, :rank][:, best] / singular[:rank][best]
     return (weight[:, None] * basis[np.arange(len(weight)) % terms.size]).astype(np.float32)
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-
 def windows(terms: Terms, vectors: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vectors, first words, texts) of the 32-word windows, one each 16 words,
     that hold a term; a text's last window is what is left."""
@@ -157,8 +160,8 @@ def windows(terms: Terms, vectors: np.ndarray, h: np.ndarray, first: np.ndarray)
 class Item:
     """An item's words as positions, for bit-parallel subsequence lengths."""
 
-    def __init__(self, key, words: np.ndarray, rare: list[int], answer: list[int]):
-        self.key, self.n, self.rare, self.answer = key, len(words), rare, answer
+    def __init__(self, key, words: np.ndarray, answer: list[int]):
+        self.key, self.n, self.answer = key, len(words), answer
         self.places: dict[int, int] = {}
         for i, w in enumerate(words.tolist()):
             self.places[w] = self.places.get(w, 0) | 1 << i
@@ -174,29 +177,38 @@ class Item:
         return self.n - v.bit_count()
 
     def answered(self, words: list[int]) -> bool:
-        there = set(words)
-        if self.answer:
-            n = len(self.answer)
-            return any(words[i : i + n] == self.answer for i in range(len(words) - n + 1))
-        return sum(w in there for w in self.rare) >= ANSWERED * len(self.rare)
-
-
-def prepare(rows: list, words: list[np.ndarray], terms: Terms, weight: np.ndarray, vectors: np.ndarray) -> tuple[list[Item], np.ndarray, np.ndarray]:
-    """(items, vectors of their pieces, each piece's item)."""
-    items, queries, owner = [], [], []
-    for (key, _, answer), h in zip(rows, words):
-        if not len(h):
-            continue
-        _, k = terms.find(h)  # every word of an item is a term
-        distinct = np.unique(k)
-        rare = distinct[np.argsort(-weight[distinct], kind="stable")][: max(1, min(5, len(distinct) // 3))]
-        items.append(Item(key, h, terms.words[rare].tolist(), _words(pa.array([answer or ""]))[0].tolist()))
-        # pieces like the texts' windows, and a last one that ends with the item
-        starts = [0] if len(h) <= PASSAGE + STEP // 2 else [*range(0, len(h) - PASSAGE, STEP), len(h) - PASSAGE]
-        for s in starts:
-            queries.append(vectors[k[s:] if len(starts) == 1 else k[s : s + PASSAGE]].sum(0))
-            owner.append(len(items) - 1)
-    return items, np.array(queries, np.float32).reshape(len(queries), vectors.shape[1]), np.array(owner, np.int64)
+        n = len(self.answer)
+        return not n or any(words[i : i + n] == self.answer for i in range(len(words) - n + 1))
+
+
+class Bench:
+    """The items of a round, the vectors of their pieces, each piece's item, and
+    for each item the terms of which `need` must be near a match."""
+
+    def __init__(self, rows: list, words: list[np.ndarray], answers: list[np.ndarray], terms: Terms, weight: np.ndarray, vectors: np.ndarray):
+        self.items, queries, owner, gates, need = [], [], [], [], []
+        for (key, _, _), h, answer in zip(rows, words, answers):
+            if not len(h):
+                continue
+            k = terms.find(h)[1]  # every word of an item is a term
+            distinct = np.unique(k)
+            rare = distinct[np.argsort(-weight[distinct], kind="stable")][: max(1, min(5, len(distinct) // 3))]
+            gate = np.unique(terms.find(answer)[1]) if len(answer) else rare
+            gates.append(gate)
+            need.append(len(gate) if len(answer) else -(-len(gate) * ANSWERED // 1))
+            self.items.append(Item(key, h, answer.tolist()))
+            # pieces like the texts' windows, and a last one that ends with the item
+            starts = [0] if len(h) <= PASSAGE + STEP // 2 else [*range(0, len(h) - PASSAGE, STEP), len(h) - PASSAGE]
+            for s in starts:
+                queries.append(vectors[k[s:] if len(starts) == 1 else k[s : s + PASSAGE]].sum(0))
+                owner.append(len(self.items) - 1)
+        self.vectors, self.owner, self.need = np.array(queries, np.float32).reshape(len(queries), vectors.shape[1]), np.array(owner, np.int64), np.array(need)
+        self.length = np.maximum(np.linalg.norm(self.vectors, axis=1), 1e-9)
+        self.vectors /= self.length[:, None]
+        self.gate = np.zeros((len(self.items), len(terms.words)), bool)
+        for i, g in enumerate(gates):
+            self.gate[i, g] = True
+        self.n = np.array([i.n for i in self.items], np.int64)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, near: float = NEAR, covered: float = COVERED) -> DataFrame:
@@ -222,13 +234,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     out = None
     for r in range(rounds):
         part = [tuple(x) for x in items.filter(F.pmod(F.xxhash64("t", "k"), F.lit(rounds)) == r).orderBy("k", "t").collect()]
-        words = [_words(pa.array([t or ""]))[0] for _, t, _ in part]
+        words, answered = ([_words(pa.array([x[i] or ""]))[0] for x in part] for i in (1, 2))
         if not any(len(h) for h in words):
             continue
-        terms = Terms(np.concatenate(words))
+        terms = Terms(np.concatenate(words + answered))
         weight = weights(texts, terms, words)
         vectors = latent_space(texts, terms, weight)
-        shared = docs.sparkSession.sparkContext.broadcast((terms, vectors, *prepare(part, words, terms, weight, vectors)))
+        shared = docs.sparkSession.sparkContext.broadcast((terms, vectors, Bench(part, words, answered, terms, weight, vectors)))
         found = source.mapInArrow(_search(shared, near, covered), kinds)
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], kinds) if out is None else out
@@ -236,32 +248,41 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 def _search(shared, near: float, covered: float):
     def run(parts):
-        terms, vectors, items, queries, owner = shared.value
-        length = np.maximum(np.linalg.norm(queries, axis=1), 1e-9)
-        queries = queries / length[:, None]
+        terms, vectors, bench = shared.value
         for q, h, first in _slices(parts, 1):
             w, start, text = windows(terms, vectors, h, first)
-            own = np.maximum(np.linalg.norm(w, axis=1), 1e-9)
+            own = np.linalg.norm(w, axis=1)
+            # a window with most of a piece is also as long as most of it
+            some = np.flatnonzero(own >= near * bench.length.min(initial=np.inf))
+            w, start, text, own = w[some], start[some], text[some], own[some]
+            at, k = terms.find(h)
             best: dict[tuple[int, int], list[float]] = {}
-            for at in range(0, len(queries), 2048):
-                cosine = w @ queries[at : at + 2048].T
-                # a window with most of a piece is also as long as most of it
-                enough = cosine >= near * length[at : at + 2048]
-                cosine /= own[:, None]
-                for i, j in np.argwhere(enough & (cosine >= near)):
-                    item = items[owner[at + j]]
-                    key = int(text[i]), int(owner[at + j])
+            for b in range(0, len(bench.vectors), 1024):
+                product = w @ bench.vectors[b : b + 1024].T
+                i, j = np.nonzero(product >= near * own[:, None])
+                both = product[i, j] >= near * bench.length[b + j]
+                i, j = i[both], j[both]
+                cosine = product[i, j] / own[i]
+                item = bench.owner[b + j]
+                low, high = np.maximum(first[text[i]], start[i] - bench.n[item]), np.minimum(first[text[i] + 1], start[i] + PASSAGE + bench.n[item])
+                # how many of the words that must be there are there
+                t0, t1 = np.searchsorted(at, low), np.searchsorted(at, high)
+                ends = np.cumsum(t1 - t0)
+                row = np.repeat(np.arange(len(i)), t1 - t0)
+                place = np.arange(len(row)) - np.repeat(ends - (t1 - t0), t1 - t0) + np.repeat(t0, t1 - t0)
+                there = np.bincount(row[bench.gate[item[row], k[place]]], minlength=len(i))
+                for x in np.flatnonzero(there >= bench.need[item]):
+                    key, c = (int(text[i[x]]), int(item[x])), min(float(cosine[x]), 1.0)
                     if key in best:
-                        best[key][0] = max(best[key][0], float(cosine[i, j]))
+                        best[key][0] = max(best[key][0], c)
                         continue
-                    a, b = max(first[text[i]], start[i] - item.n), min(first[text[i] + 1], start[i] + PASSAGE + item.n)
-                    around = h[a:b].tolist()
-                    share = item.common(around) / item.n
-                    if share >= covered and item.answered(around):
-                        best[key] = [float(min(cosine[i, j], 1)), share]
+                    one, around = bench.items[item[x]], h[low[x] : high[x]].tolist()
+                    share = one.common(around) / one.n
+                    if share >= covered and one.answered(around):
+                        best[key] = [c, share]
             if best:
                 rows = sorted(best.items())
                 ids = q.column(0).take(pa.array([d for (d, _), _ in rows]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([items[k].key for (_, k), _ in rows]), pa.array([x[0] for _, x in rows]), pa.array([x[1] for _, x in rows])], names=["doc_id", "item_id", "cosine", "lcs"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([bench.items[m].key for (_, m), _ in rows]), pa.array([x[0] for _, x in rows]), pa.array([x[1] for _, x in rows])], names=["doc_id", "item_id", "cosine", "lcs"])
 
     return run
