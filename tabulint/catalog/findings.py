@@ -132,7 +132,7 @@ def kind_counts(spark, sf_dir):
       1 AS line_start, CAST(o_totalprice / 2000 AS INTEGER) AS line_end, CAST(o_orderkey % 8 AS INTEGER) AS param_count FROM orders)
     SELECT symbol_id, 'LongFunction' AS finding, CAST(line_end AS BIGINT) AS value FROM s WHERE kind <> 'Class' AND line_end > 50
     UNION ALL SELECT symbol_id, 'TooManyParams', CAST(param_count AS BIGINT) FROM s WHERE kind <> 'Class' AND param_count > 5
-    UNION ALL SELECT c.symbol_id, 'GodClass', n FROM (SELECT parent_id, count(*) AS n FROM s WHERE kind = 'Method' GROUP BY 1 HAVING count(*) > 6) JOIN s c ON c.symbol_id = parent_id AND c.kind = 'Class'"""
+    UNION ALL SELECT c.symbol_id, 'GodClass', n FROM (SELECT parent_id AS pid, count(*) AS n FROM s WHERE kind = 'Method' GROUP BY 1 HAVING count(*) > 6) JOIN s c ON c.symbol_id = pid AND c.kind = 'Class'"""
 )
 def complexity_findings(spark, sf_dir):
     """A3, A4: long functions, many parameters, classes of many methods."""

@@ -46,7 +46,7 @@ ROUTES_SQL = r"""
     SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^[^?#]*', 0), '^/+|/+$', '', 'g') AS url_path FROM pages)),
   c AS (SELECT page_id * 10 AS call_seq, CASE page_id % 3 WHEN 0 THEN 'get' ELSE 'post' END AS verb, CASE WHEN page_id % 5 = 0 THEN '/api' ELSE '' END || '/' || url_path AS path FROM (
     SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^[^?#]*', 0), '^/+|/+$', '', 'g') AS url_path FROM pages)),
-  pat AS (SELECT DISTINCT path, array_to_string(list_transform(string_split(regexp_replace(path, '^/+|/+$', '', 'g'), '/'), s -> CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '*' ELSE s END), '/') AS p FROM (SELECT path FROM r UNION SELECT path FROM c)),
+  pat AS (SELECT DISTINCT path, array_to_string(list_transform(string_split(regexp_replace(path, '^/+|/+$', '', 'g'), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '*' ELSE s END), '/') AS p FROM (SELECT path FROM r UNION SELECT path FROM c)),
   dep AS (SELECT path, p, CASE WHEN p LIKE 'api/%' THEN CASE WHEN regexp_matches(p[5:], '^v[0-9]+$') THEN '' ELSE regexp_replace(p[5:], '^v[0-9]+/', '') END ELSE p END AS d FROM pat),
   rr AS (SELECT r.*, p, d FROM r JOIN dep USING (path)), cc AS (SELECT c.*, p, d FROM c JOIN dep USING (path)),
   m AS (SELECT call_seq, 0 AS tier, route_seq FROM cc JOIN rr ON cc.p = rr.p AND (cc.verb = rr.verb OR rr.verb = 'any' OR cc.verb = 'any')
@@ -98,16 +98,16 @@ def endpoint_view_orphans(spark, sf_dir):
 
 @_r.add(
     """WITH s AS (SELECT o_orderkey AS id, o_custkey % 50 AS g, CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS a, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + o_orderkey % 40 - 5 AS z FROM orders),
-    p AS (SELECT l_orderkey * 10 + l_linenumber AS pid, l_suppkey % 50 AS g, CAST(epoch(l_shipdate) AS BIGINT) // 86400 AS t FROM lineitem WHERE l_linenumber = 1)
-    SELECT pid, span FROM (SELECT p.pid, s.id AS span, row_number() OVER (PARTITION BY p.pid ORDER BY z - a, a, z, s.id) AS rn FROM p LEFT JOIN s ON s.g = p.g AND t BETWEEN a AND z) WHERE rn = 1"""
+    p AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS pid, l_suppkey % 50 AS g, CAST(epoch(l_shipdate) AS BIGINT) // 86400 AS t FROM lineitem WHERE l_linenumber = 1)
+    SELECT pid, t, span FROM (SELECT p.pid, p.t, s.id AS span, row_number() OVER (PARTITION BY p.pid, p.g, p.t ORDER BY z - a, a, z, s.id) AS rn FROM p LEFT JOIN s ON s.g = p.g AND t BETWEEN a AND z) WHERE rn = 1"""
 )
 def enclosing_spans(spark, sf_dir):
     """The narrowest span around each point."""
     day = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 86400)
     start = day("o_orderdate")
     spans = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("g"), start.alias("a"), (start + F.col("o_orderkey") % 40 - 5).alias("z"))
-    points = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), (F.col("l_suppkey") % 50).alias("g"), day("l_shipdate").alias("t"))
-    return J.enclosing(points, spans, "g", "t", "a", "z", "id", 16).select("pid", "span")
+    points = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), (F.col("l_suppkey") % 50).alias("g"), day("l_shipdate").alias("t")).distinct()
+    return J.enclosing(points, spans, "g", "t", "a", "z", "id", 16).select("pid", "t", "span")
 
 
 def _turns(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

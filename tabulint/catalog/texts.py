@@ -26,7 +26,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lines(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang")
 
 
-@_r.add(f"SELECT source, count(*) AS n_lines, sum(length(line)) AS n_chars, max(length(line)) AS longest FROM ({LINES_SQL}) GROUP BY source")
+@_r.add(f"SELECT source, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, max(length(line)) AS longest FROM ({LINES_SQL}) GROUP BY source")
 def lines_by_source(spark, sf_dir):
     """Shared line reader."""
     return document_lines(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.max(F.length("line")).alias("longest"))
@@ -124,9 +124,9 @@ def inline_scripts(spark, sf_dir):
 
 @_r.add(
     r"""WITH n AS (SELECT c_name AS name FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT s_name FROM supplier),
-    w AS (SELECT name, list_filter(string_split_regex(regexp_replace(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g'), '([^_])([A-Z])', '\1_\2', 'g'), '_'), x -> x <> '') AS ws FROM n)
-    SELECT name, array_to_string(list_transform(ws, x -> lower(x)), '_') AS snake, array_to_string(list_transform(ws, x -> upper(x)), '_') AS screaming,
-    array_to_string(list_transform(ws, x -> upper(x[1]) || lower(x[2:])), '') AS pascal FROM w"""
+    w AS (SELECT name, list_filter(string_split_regex(regexp_replace(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g'), '([^_])([A-Z])', '\1_\2', 'g'), '_'), lambda x: x <> '') AS ws FROM n)
+    SELECT name, array_to_string(list_transform(ws, lambda x: lower(x)), '_') AS snake, array_to_string(list_transform(ws, lambda x: upper(x)), '_') AS screaming,
+    array_to_string(list_transform(ws, lambda x: upper(x[1]) || lower(x[2:])), '') AS pascal FROM w"""
 )
 def naming_conventions(spark, sf_dir):
     """2.11 case family: names in snake, screaming and Pascal case."""
@@ -137,7 +137,7 @@ def naming_conventions(spark, sf_dir):
 
 @_r.add(
     r"""SELECT DISTINCT url, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^[^?#]*', 0), '^/+', ''), '/+$', ''), '/'),
-    s -> CASE WHEN regexp_matches(s, '^[0-9]+$') OR s LIKE '{%' OR s LIKE ':%' OR contains(s, '${') THEN '*' ELSE s END), '/') AS pattern FROM pages"""
+    lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') OR s LIKE '{%' OR s LIKE ':%' OR contains(s, '${') THEN '*' ELSE s END), '/') AS pattern FROM pages"""
 )
 def url_patterns(spark, sf_dir):
     """2.11 URL family: route patterns of page addresses."""

@@ -53,9 +53,10 @@ def bounded_paths(entries: DataFrame, edges: DataFrame, sinks: DataFrame, most_d
     return found if most_rows is None else found.orderBy("entry", "sink").limit(most_rows)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 60, cut: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 60) -> DataFrame:
     """(node, rank): power iteration with parallel edges counted and the rank of
-    nodes without edges spread evenly.  Lineage is cut every `cut` rounds."""
+    nodes without outgoing edges spread evenly.  Each round is written, so
+    lineage stays short."""
     spark = nodes.sparkSession
     e = edges.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("k"))
     out = e.groupBy("src").agg(F.sum("k").alias("deg"))
@@ -64,11 +65,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     n = base.count()
     rank = saved(base.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank")), "ranks")
     for k in range(rounds):
-        lost = rank.agg((F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)) * (damping / max(n, 1))).alias("lost"))
-        got = rank.join(share, rank["node"] == share["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = rank.select("node", "dangling").join(got, "node", "left").join(F.broadcast(lost)).select("node", "dangling", (F.lit((1 - damping) / max(n, 1)) + F.col("lost") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if (k + 1) % cut == 0:
-            rank = saved(rank, "ranks")
+        # one number a round; as a part of the plan it would double the plan each time
+        lost = rank.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
+        got = rank.join(share, rank["node"] == share["src"]).select(F.col("dst").alias("node"), (damping * F.col("rank") * F.col("share")).alias("x"), F.lit(None).cast("boolean").alias("dangling"))
+        base = rank.select("node", F.lit((1 - damping) / max(n, 1) + damping * lost / max(n, 1)).alias("x"), "dangling")
+        rank = saved(base.unionAll(got).groupBy("node").agg(F.max("dangling").alias("dangling"), F.sum("x").alias("rank")), "ranks")
     return rank.select("node", "rank")
 
 
