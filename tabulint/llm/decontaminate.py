@@ -7,7 +7,8 @@
    value decomposition of their TF-IDF matrix A takes one scan, which sums
    Y = A'(A G) for a random orthonormal G; the Nystrom form Y (G'Y)^-1 Y' of A'A
    then gives the leading singular values and vectors.  Texts and items are
-   folded in: V' x over the singular values.
+   folded in: V' x over the roots of the singular values, so that neither the few
+   directions that all passages share nor those of single words decide.
 3. Every 32-word window, one each 16 words, of every text is compared by exact
    cosine in that space with every piece of every item, in blocks.
 4. For windows near enough that hold the item's answer, or half of its rarest
@@ -137,7 +138,7 @@ def latent_space(texts: DataFrame, terms: Terms, weight: np.ndarray, rank: int =
     left, singular, _ = np.linalg.svd(y @ (vectors[:, ok] / np.sqrt(values[ok])), full_matrices=False)
     # the squares of `singular` are the eigenvalues of A'A
     best = singular[:rank] > 1e-5 * singular.max()
-    basis = left[:, :rank][:, best] / singular[:rank][best]
+    basis = left[:, :rank][:, best] / np.sqrt(singular[:rank][best])
     return (weight[:, None] * basis[np.arange(len(weight)) % terms.size]).astype(np.float32)
 
 
