@@ -1,0 +1,51 @@
+"""The registered queries and the pipeline on the smallest tables."""
+
+from __future__ import annotations
+
+import re
+from pathlib import Path
+
+import pytest
+
+from tabulint.llm import registry
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no tables here")
+
+COLUMNS = {
+    "op1_near_duplicates": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op2_decontamination": {"doc_id", "item_id"},
+    "op3_mixing": {"doc_id", "size", "source_size", "target", "taken"},
+    "op4_secrets": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+    "op5_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
+    "op6_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op7_transport_streams": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"},
+    "op8_context_mixing": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
+    "op9_repeated_spans": {"doc_id", "n_words", "n_removed", "kept_sha256"},
+    "op10_quality": {"doc_id", "held_out", "score", "predicted"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_query(spark, name):
+    out = registry.QUERIES[name](spark, DATA)
+    assert COLUMNS[name] <= set(out.columns)
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    got = out.count()
+    assert got <= n if name.startswith("op2") else got == n
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA).cache()
+        assert docs.columns == columns, name
+        after = [r.doc_id for r in docs.select("doc_id").collect()]
+        assert len(after) == len(set(after)) and set(after) <= before
+        before = set(after)
+    assert not [r for r in docs.select("text").collect() if re.search(r"[0-9a-f]{24,}", r.text)]
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert {r.doc_id for r in out.collect()} == before
