@@ -16,7 +16,7 @@ minimizers at equal offsets, so:
 4. The coordinates go back to the texts, which lose the covered words.
 
 What is shuffled is a row per path, about a sixth of the words, once as a bare
-minimizer and once with its coordinate, and the texts once.
+minimizer and once with its coordinate, and the texts twice, one after the other.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def removals(tagged: DataFrame, span: int) -> DataFrame:
                 doc = q.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(w)), pa.array(doc[text[row]]), pa.array(coordinate)], names=["w", "doc", "at"])
 
-    apart = tagged.join(wanted, ["doc", "part"]).select("doc", "part", "text", "at").mapInArrow(windows, "w long, doc long, at long")
+    apart = saved(tagged.join(wanted, ["doc", "part"]).select("doc", "part", "text", "at").mapInArrow(windows, "w long, doc long, at long"), "windows")
     known = apart.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).filter("n > 1")
     later = apart.join(known, "w").filter("doc <> first.doc or at <> first.at").select("doc", part.alias("part"), cut(F.lit(span)))
     return whole.unionAll(later).groupBy("doc", "part").agg(F.collect_list("cut").alias("cuts"))
