@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulint.functions.scalar import is_auxiliary, is_test, last_segment
 from tabulint.operators import aggregates as A
-from tabulint.operators import detectors, infra, joins, taint
+from tabulint.operators import detectors, folds, infra, joins, taint
 from tabulint.operators import findings as P
 from tabulint.operators import graph as G
 from tabulint.operators.lines import LONGEST, lines
@@ -79,6 +79,7 @@ def analyse(files: DataFrame) -> dict[str, DataFrame]:
     heavy = heavy.select(F.col("path").alias("file"), F.col("line_start").alias("line"), F.col("finding").alias("kind"), F.lit("Low").alias("severity"), F.lit(0.9).alias("confidence"), F.concat_ws(" ", F.col("finding"), F.col("value").cast("string")).alias("message"), F.col("name").alias("symbol"))
     passes = [
         dead_code(symbols, calls), duplicates(symbols), heavy, shape(detectors.security(rows)), shape(taint.findings(files).withColumnRenamed("via", "message")), shape(detectors.rust(rows)), shape(detectors.datagrams(rows)),
+        shape(folds.folded(files)), shape(folds.split_messages(rows)), shape(folds.unchecked_lengths(rows.filter(F.col("lang").isin("Rust", "Go", "JavaScript", "TypeScript", "Java")))),
         *[shape(f(rows.filter(F.col("lang") == lang)).withColumn("confidence", F.lit(None).cast("double"))) for f, lang in ((infra.dockerfile, "Dockerfile"), (infra.terraform, "Terraform"))],
         shape(infra.kubernetes(docs).withColumn("confidence", F.lit(None).cast("double"))), failures,
     ]
