@@ -248,7 +248,8 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str =
         roots = components(stars.unionAll(extra))
     first = nodes.join(roots, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = roots.join(first, "root").select("node", "component_id")
-    named_nodes = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    # a table of its own, so that the nodes with most copies are split in the join with the documents
+    named_nodes = saved(nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "named")
     out = sk.select("doc_id", "n_shingles", "node").join(named_nodes, "node", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
