@@ -133,7 +133,7 @@ def removals(tagged: DataFrame, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(w)), pa.array(doc[text[row]]), pa.array(coordinate)], names=["w", "doc", "at"])
 
     apart = saved(tagged.join(wanted, ["doc", "part"]).select("doc", "part", "text", "at").mapInArrow(windows, "w long, doc long, at long"), "windows")
-    known = apart.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).filter("n > 1")
+    known = saved(apart.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).filter("n > 1").select("w", "first"), "known")
     later = apart.join(known, "w").filter("doc <> first.doc or at <> first.at").select("doc", part.alias("part"), cut(F.lit(span)))
     return whole.unionAll(later).groupBy("doc", "part").agg(F.collect_list("cut").alias("cuts"))
 
