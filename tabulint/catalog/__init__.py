@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulint.catalog import findings, graphs, joins, texts
+from tabulint.catalog import findings, graphs, joins, reports, texts
 
 QUERIES, ORACLES = {}, {}
-for part in (texts, joins, findings, graphs):
+for part in (texts, joins, findings, graphs, reports):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
