@@ -173,6 +173,52 @@ def html_facts(path: str, text: str) -> list[dict]:
     return rows
 
 
+_GROUP = re.compile(r"->group\s*\(\s*(?:function|fn|static function)|Route::group\s*\(")
+_VERB_ROUTE = re.compile(r"(?:Route::|->)(get|post|put|patch|delete|any)\s*\(\s*['\"]([^'\"]*)['\"]")
+_RESOURCE = re.compile(r"(?:Route::|->)(apiResource|resource)\s*\(\s*['\"]([^'\"]*)['\"]")
+_MATCH = re.compile(r"Route::match\s*\(\s*\[([^\]]*)\]\s*,\s*['\"]([^'\"]*)['\"]")
+# The routes of a resource, and which of them an interface keeps.
+RESOURCE = (("get", ""), ("get", "/create"), ("post", ""), ("get", "/{id}"), ("get", "/{id}/edit"), ("put", "/{id}"), ("delete", "/{id}"))
+
+
+def _words(text: str, name: str) -> list[str]:
+    found = re.search(rf"{name}\s*\(\s*(\[[^\]]*\]|'[^']*'|\"[^\"]*\")|['\"]{name}['\"]\s*=>\s*(\[[^\]]*\]|'[^']*'|\"[^\"]*\")", text)
+    return re.findall(r"['\"]([^'\"]+)['\"]", found[1] or found[2]) if found else []
+
+
+def framework_routes(text: str, prefix: str = "") -> list[tuple[str, str, list[str], int]]:
+    """(verb, path, middleware, line) of a route file, with the prefixes and the
+    middleware of the groups around; `prefix` is that of the whole file."""
+    out, frames, depth, statement, first = [], [], 0, "", 1
+    for ln, line in enumerate(text.splitlines(), 1):
+        if not line.strip() or line.lstrip().startswith(("//", "*", "#", "<?")):
+            continue
+        first = ln if not statement else first
+        statement += line + "\n"
+        opened, closed = line.count("{"), line.count("}")
+        if _GROUP.search(statement) and opened:
+            frames.append((depth, "/".join(_words(statement, "prefix")), _words(statement, "middleware")))
+            statement = ""
+        elif ";" in line:
+            join = lambda p: "/" + "/".join(x.strip("/") for x in (prefix, *(f[1] for f in frames), p) if x.strip("/"))  # noqa: E731, B023
+            guards = [m for f in frames for m in f[2]] + _words(statement, "middleware")
+            if m := _RESOURCE.search(statement):
+                parts = m[2].strip("/").split(".")
+                base = "/".join(f"{x}/{{{x.rstrip('s')}}}" for x in parts[:-1]) + ("/" if parts[:-1] else "") + parts[-1]
+                kept = [r for r in RESOURCE if m[1] == "resource" or r[1] not in ("/create", "/{id}/edit")]
+                out += [(v, join(base) + p.replace("id", parts[-1].rstrip("s")), guards, first) for v, p in kept]
+            elif m := _MATCH.search(statement):
+                out += [(v.lower(), join(m[2]), guards, first) for v in re.findall(r"['\"](\w+)['\"]", m[1])]
+            elif m := _VERB_ROUTE.search(statement):
+                out.append((m[1], join(m[2]), guards, first))
+            statement = ""
+        depth += opened - closed
+        while frames and depth <= frames[-1][0]:
+            frames.pop()
+            statement = ""
+    return out
+
+
 def facts(path: str, lang: str, text: str) -> list[dict]:
     try:
         if lang == "Python":

@@ -83,6 +83,18 @@ def main_language(files: DataFrame) -> DataFrame:
     return votes.orderBy(F.desc("votes"), rank).limit(1)
 
 
+def framework(files: DataFrame) -> DataFrame:
+    """One row (framework): by what the manifest requires, else by the files of a
+    blog system, else Unknown."""
+    requires = F.when(F.col("path") == "composer.json", F.get_json_object("text", "$.require"))
+    keys = F.json_object_keys(requires)
+    has = lambda *names: F.coalesce(F.max(F.arrays_overlap(keys, F.array(*map(F.lit, names)))), F.lit(False))
+    blog = F.coalesce(F.max((F.col("path") == "wp-config.php") | F.col("path").startswith("wp-content/")), F.lit(False))
+    manifest = F.coalesce(F.max(F.col("path") == "composer.json"), F.lit(False))
+    name = F.when(has("laravel/framework"), "Laravel").when(has("symfony/framework-bundle", "symfony/symfony"), "Symfony").when(manifest & blog, "WordPress").otherwise("Unknown")
+    return files.agg(name.alias("framework"))
+
+
 def lcov(lines: DataFrame, file: str = "report") -> DataFrame:
     """(report, path, ln or function, hits) of coverage lines (report, ln, line).
     The file a record belongs to is carried forward within its report; a record

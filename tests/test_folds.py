@@ -2,8 +2,11 @@ from __future__ import annotations
 
 
 from tabulint.operators import folds as D
+from tabulint.operators.libraries import misuse
 from tabulint.operators.lines import lines
 from tabulint.plans import explore as E
+from tabulint.sources import extract as X
+from tabulint.sources import files as S
 
 
 def test_lock_over_await():
@@ -63,3 +66,32 @@ def test_questions(spark):
     assert [(r.path, r.start) for r in E.deletions(symbols, symbols.filter("path = 'p.py'")).collect()] == [("p.py", 7), ("p.py", 1)]
     wrap = spark.createDataFrame([("api", "/x")], "via string, route string")
     assert E.promoted(wrap.select("route").limit(0), wrap, spark.createDataFrame([("api",)], "name string")).count() == 1
+
+
+def test_library_rules(spark):
+    rows = spark.createDataFrame([("a.rs", "Rust", 1, "let t = interval(d);"), ("b.rs", "Rust", 1, "interval(d)"), ("b.rs", "Rust", 2, "t.set_missed_tick_behavior(x)"), ("a.rs", "Rust", 2, "mem::forget(g)"), ("a.rs", "Rust", 3, "// mem::forget(g)"), ("a.rs", "Rust", 4, "UDP_BUFFER_SIZE")], "path string, lang string, ln int, line string")
+    deps = spark.createDataFrame([("tokio",)], "name string")
+    assert {(r.path, r.ln) for r in misuse(rows, deps).collect()} == {("a.rs", 1), ("a.rs", 2)}
+    assert {(r.path, r.ln) for r in misuse(rows, deps.limit(0)).collect()} <= {("a.rs", 2)}
+
+
+def test_framework(spark):
+    of = lambda *rows: S.framework(spark.createDataFrame(list(rows), "path string, text string")).first().framework
+    assert of(("composer.json", '{"require": {"laravel/framework": "^11"}}')) == "Laravel"
+    assert of(("composer.json", '{"require": {"symfony/symfony": "1"}}')) == "Symfony"
+    assert of(("composer.json", "{}"), ("wp-config.php", "")) == "WordPress" and of(("a.php", "")) == "Unknown"
+
+
+def test_framework_routes():
+    text = """<?php
+Route::get('/open', 'A@b');
+Route::middleware(['auth'])->prefix('admin')->group(function () {
+    Route::post('users', [U::class, 'store'])->middleware('can:x');
+    Route::apiResource('posts', P::class);
+});
+Route::match(['get', 'post'], 'both', 'A@c');
+"""
+    got = X.framework_routes(text, prefix="api")
+    assert ("get", "/api/open", [], 2) in got and ("post", "/api/admin/users", ["auth", "can:x"], 4) in got
+    assert [(v, p) for v, p, m, ln in got if ln == 5] == [("get", "/api/admin/posts"), ("post", "/api/admin/posts"), ("get", "/api/admin/posts/{post}"), ("put", "/api/admin/posts/{post}"), ("delete", "/api/admin/posts/{post}")]
+    assert [(v, p, m) for v, p, m, ln in got if ln == 7] == [("get", "/api/both", []), ("post", "/api/both", [])]
