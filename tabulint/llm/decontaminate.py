@@ -10,10 +10,13 @@
    folded in: V' x over the roots of the singular values, so that neither the few
    directions that all passages share nor those of single words decide.
 3. Every 32-word window, one each 16 words, of every text is compared by exact
-   cosine in that space with every piece of every item, in blocks.
-4. For windows near enough that hold the item's answer, or half of its rarest
-   words, the longest common subsequence of the item and the
-   text around the window must cover most of the item.
+   cosine in that space with every piece of every item, in blocks; items of fewer
+   words are compared with windows of 16, 8 or 4, no longer than they are.
+4. For windows near enough, the longest common subsequence of the item and the text
+   around the window must cover most of the item, and the item's answer must be
+   there.  The subsequence is not computed where too few of the item's words are.
+5. Items that stand in a text word for word are found from their rarest word,
+   whatever the cosine.
 
 Nothing is shuffled but sums of fixed size; a text is judged inside one task.
 """
@@ -28,13 +31,17 @@ from pyspark.sql import functions as F
 from tabulint.llm import dense, textkit
 
 RANK, EXTRA = 64, 8
-STEP, PASSAGE = 16, 32
+PASSAGE = 32
+#: Words of the windows; an item has the longest that is no longer than itself.
+SIZES = (4, 8, 16, PASSAGE)
+#: Items of a round for each of which the space gets a further dimension beyond RANK.
+PER_RANK = 4
 #: Items searched for at a time; more go in further rounds, so what is broadcast is bounded.
 ITEMS = 1_000
 #: Rows of the term matrix; with more terms than that, some share a row.
 ROWS = 1 << 14
 STOP = 1e-3
-NEAR, COVERED, ANSWERED = 0.4, 0.6, 0.5
+NEAR, COVERED = 0.4, 0.6
 
 
 class Terms:
@@ -142,11 +149,11 @@ def latent_space(texts: DataFrame, terms: Terms, weight: np.ndarray, rank: int =
     return (weight[:, None] * basis[np.arange(len(weight)) % terms.size]).astype(np.float32)
 
 
-def windows(terms: Terms, vectors: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vectors, first words, texts) of the 32-word windows, one each 16 words,
-    that hold a term; a text's last window is what is left."""
+def windows(terms: Terms, vectors: np.ndarray, h: np.ndarray, first: np.ndarray, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, first words, texts) of the windows of `size` words, one each half of
+    that, that hold a term; a text's last window is what is left."""
     at, k = terms.find(h)
-    base, step = groups(first, at, STEP)
+    base, step = groups(first, at, size // 2)
     steps = np.zeros((base[-1] + 1, vectors.shape[1]), np.float32)
     if len(k):
         start = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
@@ -155,7 +162,7 @@ def windows(terms: Terms, vectors: np.ndarray, h: np.ndarray, first: np.ndarray)
     follows = np.append(text[1:] == text[:-1], False) if len(text) else np.zeros(0, bool)
     both = steps[:-1] + steps[1:] * follows[:, None]
     use = np.flatnonzero(both.any(axis=1))
-    return both[use], first[text[use]] + (use - base[text[use]]) * STEP, text[use]
+    return both[use], first[text[use]] + (use - base[text[use]]) * (size // 2), text[use]
 
 
 class Item:
@@ -182,34 +189,60 @@ class Item:
         return not n or any(words[i : i + n] == self.answer for i in range(len(words) - n + 1))
 
 
+class Pieces:
+    """The pieces of the items that go with windows of one size: vectors of length
+    one, their lengths before, and each piece's item."""
+
+    def __init__(self, vectors: list[np.ndarray], owner: list[int], rank: int):
+        self.vectors, self.owner = np.array(vectors, np.float32).reshape(len(vectors), rank), np.array(owner, np.int64)
+        self.length = np.maximum(np.linalg.norm(self.vectors, axis=1), 1e-9)
+        self.vectors /= self.length[:, None]
+
+
 class Bench:
-    """The items of a round, the vectors of their pieces, each piece's item, and
-    for each item the terms of which `need` must be near a match."""
+    """The items of a round, their pieces by window size, their terms, of which
+    `need` occurrences must be near a match to cover the item, and their rarest
+    words' places, by term."""
 
-    def __init__(self, rows: list, words: list[np.ndarray], answers: list[np.ndarray], terms: Terms, weight: np.ndarray, vectors: np.ndarray):
-        self.items, queries, owner, gates, need = [], [], [], [], []
+    def __init__(self, rows: list, words: list[np.ndarray], answers: list[np.ndarray], terms: Terms, weight: np.ndarray, vectors: np.ndarray, covered: float):
+        self.items, self.words, anchors, found = [], [], [], {}
         for (key, _, _), h, answer in zip(rows, words, answers):
             if not len(h):
                 continue
             k = terms.find(h)[1]  # every word of an item is a term
-            distinct = np.unique(k)
-            rare = distinct[np.argsort(-weight[distinct], kind="stable")][: max(1, min(5, len(distinct) // 3))]
-            gate = np.unique(terms.find(answer)[1]) if len(answer) else rare
-            gates.append(gate)
-            need.append(len(gate) if len(answer) else -(-len(gate) * ANSWERED // 1))
             self.items.append(Item(key, h, answer.tolist()))
+            self.words.append(h)
+            rarest = int(np.argmax(weight[k]))
+            anchors.append((int(k[rarest]), rarest))
+            size = max([s for s in SIZES if s <= len(h)], default=SIZES[0])
             # pieces like the texts' windows, and a last one that ends with the item
-            starts = [0] if len(h) <= PASSAGE + STEP // 2 else [*range(0, len(h) - PASSAGE, STEP), len(h) - PASSAGE]
+            starts = [0] if len(h) <= size + size // 4 else [*range(0, len(h) - size, size // 2), len(h) - size]
+            queries, owner = found.setdefault(size, ([], []))
             for s in starts:
-                queries.append(vectors[k[s:] if len(starts) == 1 else k[s : s + PASSAGE]].sum(0))
+                queries.append(vectors[k[s:] if len(starts) == 1 else k[s : s + size]].sum(0))
                 owner.append(len(self.items) - 1)
-        self.vectors, self.owner, self.need = np.array(queries, np.float32).reshape(len(queries), vectors.shape[1]), np.array(owner, np.int64), np.array(need)
-        self.length = np.maximum(np.linalg.norm(self.vectors, axis=1), 1e-9)
-        self.vectors /= self.length[:, None]
+        self.pieces = {size: Pieces(*x, vectors.shape[1]) for size, x in sorted(found.items())}
         self.gate = np.zeros((len(self.items), len(terms.words)), bool)
-        for i, g in enumerate(gates):
-            self.gate[i, g] = True
+        for i, h in enumerate(self.words):
+            self.gate[i, terms.find(h)[1]] = True
         self.n = np.array([i.n for i in self.items], np.int64)
+        self.need = np.ceil(self.n * covered - 1e-9)
+        term, self.offset = np.array(anchors, np.int64).reshape(-1, 2).T
+        self.anchored = np.argsort(term, kind="stable")
+        self.by_term = np.searchsorted(term[self.anchored], np.arange(len(terms.words) + 1))
+
+    def verbatim(self, h: np.ndarray, first: np.ndarray, at: np.ndarray, k: np.ndarray):
+        """(text, item, first word) of the items that stand in the texts."""
+        many = self.by_term[k + 1] - self.by_term[k]
+        place = np.repeat(at, many)
+        item = self.anchored[np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.by_term[k], many)]
+        start, text = place - self.offset[item], np.searchsorted(first, place, side="right") - 1
+        ok = np.flatnonzero((start >= first[text]) & (start + self.n[item] <= first[text + 1]))
+        heads, tails = (np.array([w[i] for w in self.words], np.uint64) for i in (0, -1))
+        ok = ok[(h[start[ok]] == heads[item[ok]]) & (h[start[ok] + self.n[item[ok]] - 1] == tails[item[ok]])]
+        for x in ok.tolist():
+            if np.array_equal(h[start[x] : start[x] + self.n[item[x]]], self.words[item[x]]):
+                yield int(text[x]), int(item[x]), int(start[x])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, near: float = NEAR, covered: float = COVERED) -> DataFrame:
@@ -218,9 +251,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     in the longest common subsequence.
 
     Words are runs other than white space, A-Z lower-cased.  `answer`: column of
-    the benchmark whose words must follow each other near the match; without it,
-    half of the item's rarest words must be there.  Null and empty texts and items
-    match nothing; items of a few words are rarely near a 32-word window.  Repeated
+    the benchmark whose words must follow each other near the match; without it the
+    subsequence alone decides.  Null and empty texts and items match nothing; items
+    that stand word for word are always found, with cosine 1.  Repeated
     documents give repeated rows, repeated items a row for each.  Items go in
     rounds of ITEMS, so what is broadcast is bounded.
     """
@@ -240,8 +273,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
             continue
         terms = Terms(np.concatenate(words + answered))
         weight = weights(texts, terms, words)
-        vectors = latent_space(texts, terms, weight)
-        shared = docs.sparkSession.sparkContext.broadcast((terms, vectors, Bench(part, words, answered, terms, weight, vectors)))
+        vectors = latent_space(texts, terms, weight, max(RANK, len(part) // PER_RANK))
+        shared = docs.sparkSession.sparkContext.broadcast((terms, vectors, Bench(part, words, answered, terms, weight, vectors, covered)))
         found = source.mapInArrow(_search(shared, near, covered), kinds)
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], kinds) if out is None else out
@@ -251,36 +284,41 @@ def _search(shared, near: float, covered: float):
     def run(parts):
         terms, vectors, bench = shared.value
         for q, h, first in _slices(parts, 1):
-            w, start, text = windows(terms, vectors, h, first)
-            own = np.linalg.norm(w, axis=1)
-            # a window with most of a piece is also as long as most of it
-            some = np.flatnonzero(own >= near * bench.length.min(initial=np.inf))
-            w, start, text, own = w[some], start[some], text[some], own[some]
             at, k = terms.find(h)
             best: dict[tuple[int, int], list[float]] = {}
-            for b in range(0, len(bench.vectors), 1024):
-                product = w @ bench.vectors[b : b + 1024].T
-                i, j = np.nonzero(product >= near * own[:, None])
-                both = product[i, j] >= near * bench.length[b + j]
-                i, j = i[both], j[both]
-                cosine = product[i, j] / own[i]
-                item = bench.owner[b + j]
-                low, high = np.maximum(first[text[i]], start[i] - bench.n[item]), np.minimum(first[text[i] + 1], start[i] + PASSAGE + bench.n[item])
-                # how many of the words that must be there are there
-                t0, t1 = np.searchsorted(at, low), np.searchsorted(at, high)
-                ends = np.cumsum(t1 - t0)
-                row = np.repeat(np.arange(len(i)), t1 - t0)
-                place = np.arange(len(row)) - np.repeat(ends - (t1 - t0), t1 - t0) + np.repeat(t0, t1 - t0)
-                there = np.bincount(row[bench.gate[item[row], k[place]]], minlength=len(i))
-                for x in np.flatnonzero(there >= bench.need[item]):
-                    key, c = (int(text[i[x]]), int(item[x])), min(float(cosine[x]), 1.0)
-                    if key in best:
-                        best[key][0] = max(best[key][0], c)
-                        continue
-                    one, around = bench.items[item[x]], h[low[x] : high[x]].tolist()
-                    share = one.common(around) / one.n
-                    if share >= covered and one.answered(around):
-                        best[key] = [c, share]
+            for t, m, s in bench.verbatim(h, first, at, k):
+                n = int(bench.n[m])
+                if bench.items[m].answered(h[max(first[t], s - n) : min(first[t + 1], s + 2 * n)].tolist()):
+                    best[t, m] = [1.0, 1.0]
+            for size, pieces in bench.pieces.items():
+                w, start, text = windows(terms, vectors, h, first, size)
+                own = np.linalg.norm(w, axis=1)
+                # a window with most of a piece is also as long as most of it
+                some = np.flatnonzero(own >= near * pieces.length.min(initial=np.inf))
+                w, start, text, own = w[some], start[some], text[some], own[some]
+                for b in range(0, len(pieces.vectors), 1024):
+                    product = w @ pieces.vectors[b : b + 1024].T
+                    i, j = np.nonzero(product >= near * own[:, None])
+                    both = product[i, j] >= near * pieces.length[b + j]
+                    i, j = i[both], j[both]
+                    cosine = product[i, j] / own[i]
+                    item = pieces.owner[b + j]
+                    low, high = np.maximum(first[text[i]], start[i] - bench.n[item]), np.minimum(first[text[i] + 1], start[i] + size + bench.n[item])
+                    # how many of the item's words are there: no fewer than a subsequence of them
+                    t0, t1 = np.searchsorted(at, low), np.searchsorted(at, high)
+                    ends = np.cumsum(t1 - t0)
+                    row = np.repeat(np.arange(len(i)), t1 - t0)
+                    place = np.arange(len(row)) - np.repeat(ends - (t1 - t0), t1 - t0) + np.repeat(t0, t1 - t0)
+                    there = np.bincount(row[bench.gate[item[row], k[place]]], minlength=len(i))
+                    for x in np.flatnonzero(there >= bench.need[item]):
+                        key, c = (int(text[i[x]]), int(item[x])), min(float(cosine[x]), 1.0)
+                        if key in best:
+                            best[key][0] = max(best[key][0], c)
+                            continue
+                        one, around = bench.items[item[x]], h[low[x] : high[x]].tolist()
+                        share = one.common(around) / one.n
+                        if share >= covered and one.answered(around):
+                            best[key] = [c, share]
             if best:
                 rows = sorted(best.items())
                 ids = q.column(0).take(pa.array([d for (d, _), _ in rows]))

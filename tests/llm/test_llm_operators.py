@@ -118,6 +118,28 @@ def test_decontamination(spark, docs):
     assert decontaminate.matches(extra, wrong, answer="a").count() == 0
 
 
+def test_decontamination_leaves_the_choice_to_the_subsequence(spark):
+    """Reworded items without most of their rarest words, and short ones word for word."""
+    import random
+
+    rnd = random.Random(8)
+    word = lambda: f"w{int(rnd.paretovariate(0.7)) % 4000}"
+    texts, items, sure = [], [], set()
+    for i in range(120):
+        item = [word() for _ in range(30 if i < 80 else 6)]
+        there = list(item)
+        if i < 80:  # the three rarest words are other ones
+            for p in sorted(range(30), key=lambda p: -int(item[p][1:]))[:3]:
+                there[p] = f"x{rnd.randrange(900)}"
+        texts.append((i, " ".join([*(word() for _ in range(60)), *there, *(word() for _ in range(60))])))
+        items.append((i, " ".join(item)))
+        sure.add((i, i))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()}
+    assert {p for p in sure if p[1] >= 80} <= found
+    assert len({p for p in sure if p[1] < 80} & found) >= 72
+
+
 def test_subsequence_length():
     import numpy as np
 
