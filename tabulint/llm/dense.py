@@ -47,9 +47,14 @@ def total(rows: DataFrame, shape: tuple[int, ...], task: Callable[[Iterator[pa.R
     are added up where they meet, one row at a time, first within PARTS groups of
     tasks and then over these, so the last step does not grow with the tasks.  The
     driver gets one array, part after part."""
+    return folded(rows.mapInArrow(lambda parts: pieces(task(parts)), SCHEMA), shape, groups, kind)
+
+
+def folded(rows: DataFrame, shape: tuple[int, ...], groups: int = 12, kind: type = np.float64) -> np.ndarray:
+    """Sum of the arrays of `shape` whose pieces (SCHEMA) are given."""
     numbers = int(np.prod(shape))
     many = -(-numbers // PIECE)
-    got = rows.mapInArrow(lambda parts: pieces(task(parts)), SCHEMA).repartition("piece", "part").mapInArrow(_fold, SCHEMA)
+    got = rows.repartition("piece", "part").mapInArrow(_fold, SCHEMA)
     got = got.withColumn("part", F.lit(0).cast("long")).repartition(max(1, min(groups, many)), "piece").mapInArrow(_fold, SCHEMA)
     out = np.zeros(many * PIECE, kind)
     for r in got.toLocalIterator():

@@ -104,8 +104,8 @@ GOOD = 0.3
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document, learned outside the held-out fifth."""
-    docs = documents(spark, sf_dir).withColumn("held_out", features.bucket("doc_id", 5) == 1)
-    out = contextmix.score(docs, docs.filter("not held_out"), keep=("doc_id", "held_out"))
+    docs = documents(spark, sf_dir).withColumn("held_out", features.bucket("doc_id", 5) == 1).withColumn("learn", ~F.col("held_out"))
+    out = contextmix.score(docs, "learn", keep=("doc_id", "held_out"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 

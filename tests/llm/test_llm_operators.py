@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tabulint.llm import contextmix, curriculum, decontaminate, langid, neardup, quality, secrets, substrings, tokens, transport
+from tabulint.llm import curriculum, decontaminate, langid, neardup, quality, secrets, substrings, tokens, transport
 
 FOLD = {i: i + 32 for i in range(65, 91)}
 WORD = re.compile(r"[^ \t-\r]+")
@@ -330,75 +330,6 @@ def test_transport_damage(spark):
     assert got[5].packets == got[6].packets == 0 and got[5].units == []
 
 
-def test_context_mixing(docs, rows):
-    learn = docs.filter("doc_id % 5 <> 1")
-    got = contextmix.score(docs, learn).collect()
-    count = Counter()
-    for r in rows:
-        if r[0] is not None and r[0] % 5 != 1:
-            count.update([*words(r[1]), None])
-    n, v = sum(count.values()), len(count)
-    by = {r[0]: [*words(r[1]), None] for r in rows}
-    assert len(got) == len(rows)
-    for r in got:
-        w = by[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-        assert r.score < 0 and math.isfinite(r.score)
-    same = {r.score for r in got if by[r.doc_id] == by[6]}
-    assert max(same) - min(same) < 1e-6
-
-
-def test_context_mixing_is_a_probability():
-    """All bytes after a word's start share out no more than the whole."""
-    import numpy as np
-
-    m = contextmix.Model(np.zeros((contextmix._BASE[-1], 2), np.float32))
-    data = np.arange(256, dtype=np.uint8)
-    bits = m.cost(np.arange(257), data)
-    assert (2.0**-bits).sum() == pytest.approx(1.0)
-
-
-def test_context_mixing_without_training(docs, nothing):
-    assert all(r.n_known == 0 and r.train_tokens == 0 for r in contextmix.score(docs, nothing).collect())
-    assert contextmix.score(nothing, docs).count() == 0
-
-
-def test_context_mixing_learns_every_prefix(spark, docs, rows, monkeypatch):
-    """The paths of all words, over the edges of many buckets, are the counts of
-    words with these leading bits, and the scores do not depend on the buckets."""
-    import numpy as np
-
-    learn = docs.filter("doc_id % 5 <> 1").select(F.coalesce("text", F.lit("")).alias("text"))
-    vocabulary = contextmix.vocabulary(learn, docs.select(F.coalesce("text", F.lit("")).alias("text"))).localCheckpoint()
-    count = Counter(w.encode() + b" " for r in rows if r[0] is not None and r[0] % 5 != 1 for w in words(r[1]))
-    every = sorted({w.encode() + b" " for r in rows for w in words(r[1])})
-    bit_text = lambda w: "".join(f"{b:08b}" for b in w)
-    short = [w for w in every if len(w) <= 64]
-    expected = Counter()
-    for w in every:
-        for b in range(8 * min(len(w), 64) + 1):
-            expected[bit_text(w[:64])[:b]] += count[w]
-    one = {r["doc_id"]: r["score"] for r in contextmix.score(docs, docs.filter("doc_id % 5 <> 1")).collect()}
-    monkeypatch.setattr(contextmix, "BUCKET", 500)
-    buckets = contextmix.sorted_buckets(vocabulary)
-    assert buckets.count() > 20
-    ends, seen = contextmix.edges_of(buckets), []
-    for batch in buckets.toArrow().to_batches():
-        for bucket, offsets, data, n in contextmix.opened([batch]):
-            path = contextmix.paths(offsets, data, n, *ends[bucket])
-            for i in range(len(n)):
-                w = data[offsets[i] : offsets[i + 1]].tobytes()
-                seen.append(w)
-                if len(w) <= 64:
-                    at = 8 * offsets[i] + i
-                    assert path[at : at + 8 * len(w) + 1].tolist() == [expected[bit_text(w)[:b]] for b in range(8 * len(w) + 1)]
-    assert sorted(seen) == every and len(short) > 500
-    many = {r["doc_id"]: r["score"] for r in contextmix.score(docs, docs.filter("doc_id % 5 <> 1")).collect()}
-    assert many == pytest.approx(one)
-    assert min(contextmix.slot_bits(3_000_000)[1:]) == 22 and np.array_equal(contextmix._bits_in(sum(1 << b for b in contextmix.slot_bits(3_000_000))), contextmix.slot_bits(3_000_000))
-
-
 def test_repeated_spans(docs, rows):
     got = Counter(tuple(r) for r in substrings.without_repeats(docs).collect())
     seen, expected, done = set(), Counter(), {}
