@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulint.llm import textkit
@@ -16,18 +16,24 @@ def bucket(doc_id: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def sampled(labelled: DataFrame, label: str, text: str, per_label: int, most_labels: int = 256) -> tuple[list[str], DataFrame]:
-    """(labels, rows (label, text)) with about `per_label` rows of each label at
-    most, chosen by a hash of the text, so reruns and other partitionings choose
-    the same.  Labels beyond the `most_labels` most frequent ones are not
-    learned."""
-    counts = labelled.groupBy(F.col(label).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_labels).collect()
+def sampled(labelled: DataFrame, label: str, text: str, per_label: int, most_rows: int = 8_000, least: int = 8) -> tuple[list[str], DataFrame]:
+    """(labels, rows (label, text)) with `per_label` rows of each label, or all it has;
+    fewer, but no fewer than `least`, where labels times rows would pass `most_rows`.
+
+    Every label is there.  Rows are chosen one by one, by a hash of the text and the
+    row's place in the scan, so of a text with many copies as many come as of other
+    rows, and reruns on the same files choose the same.
+    """
+    counts = labelled.groupBy(F.col(label).alias("l")).count().orderBy("l").collect()
     if not counts:
         return [], labelled.select(F.col(label).alias("label"), F.col(text).alias("text")).limit(0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, per_label / r["count"]))])
-    u = F.pmod(F.xxhash64(F.col(text), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.select(F.col(label).alias("label"), F.col(text).alias("text"), (u < F.try_element_at(share, F.col(label))).alias("in"))
-    return sorted(r["l"] for r in counts), rows.filter("in").select("label", "text")
+    each = max(least, min(per_label, most_rows // len(counts)))
+    # four times as many, so that the exact choice is among few rows
+    share = labelled.sparkSession.createDataFrame([(r["l"], min(1.0, (4 * each + 100) / r["count"])) for r in counts], f"l {labelled.schema[label].dataType.simpleString()}, share double")
+    rows = labelled.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.monotonically_increasing_id(), F.lit(11)).alias("h"))
+    rows = rows.join(F.broadcast(share), F.col("label") == F.col("l")).filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * float(1 << 30))
+    best = Window.partitionBy("label").orderBy("h", "text")
+    return [r["l"] for r in counts], rows.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= each).select("label", "text")
 
 
 class Grams:
@@ -90,7 +96,58 @@ class Grams:
         return out.reshape(len(texts), self.dims)
 
 
-def collected(rows: DataFrame, grams: Grams) -> tuple[list[str], np.ndarray]:
+class Gaps:
+    """Counts of how far back each word stood last, in powers of two (0: never), and of
+    two such numbers in a row: repeated words and lines show here, whatever they say."""
+
+    LEVELS = 12
+    dims = LEVELS * (LEVELS + 1)
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Dense counts, a row per text."""
+        offsets, data = textkit.buffers(texts)
+        starts, ends, first = textkit.spans(offsets, data)
+        h = textkit.hash_words(data, starts, ends, fold=True)
+        text = np.repeat(np.arange(len(texts)), np.diff(first))
+        order = np.lexsort((np.arange(len(h)), h, text))
+        again = np.append(False, (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])) if len(h) else np.zeros(0, bool)
+        gap = np.zeros(len(h), np.int64)
+        gap[order[again]] = order[again] - order[np.flatnonzero(again) - 1]
+        level = np.where(gap > 0, np.minimum(np.log2(np.maximum(gap, 1)).astype(np.int64) + 1, self.LEVELS - 1), 0)
+        one = text * self.dims + level
+        follows = np.flatnonzero(text[1:] == text[:-1])
+        two = text[follows] * self.dims + self.LEVELS + level[follows] * self.LEVELS + level[follows + 1]
+        return np.bincount(np.append(one, two), minlength=len(texts) * self.dims).astype(np.float64).reshape(len(texts), self.dims)
+
+
+class Words:
+    """Counts of hashed words, A-Z lower-cased."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Dense counts, a row per text."""
+        offsets, data = textkit.buffers(texts)
+        starts, ends, first = textkit.spans(offsets, data)
+        h = textkit.hash_words(data, starts, ends, fold=True) % np.uint64(self.dims)
+        text = np.repeat(np.arange(len(texts)), np.diff(first))
+        return np.bincount(text * self.dims + h.astype(np.int64), minlength=len(texts) * self.dims).astype(np.float64).reshape(len(texts), self.dims)
+
+
+class Blocks:
+    """Several kinds of counts side by side."""
+
+    def __init__(self, *parts):
+        self.parts = parts
+        self.bounds = np.cumsum([0, *(p.dims for p in parts)])
+        self.dims = int(self.bounds[-1])
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        return np.hstack([p.counts(texts) for p in self.parts])
+
+
+def collected(rows: DataFrame, grams) -> tuple[list[str], np.ndarray]:
     """Labels and dense counts of a bounded sample.  The executors make sparse
     counts, so the driver gets at most `dims` numbers per row, whatever the
     length of the texts."""

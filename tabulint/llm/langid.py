@@ -31,57 +31,68 @@ FAMILIES = {
 DIMS = 1 << 13
 
 
-def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear support vector machine (squared hinge loss,
-    accelerated gradient); y holds +1 and -1, and both classes weigh the same."""
-    n, pos = len(y), max(1, int((y > 0).sum()))
-    weight = np.where(y > 0, 0.5 / pos, 0.5 / max(1, n - pos)).astype(np.float32)
-    v = np.ones(x.shape[1], np.float32)
+def svms(x: np.ndarray, y: np.ndarray, strength: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias, a column each, of linear support vector machines (squared
+    hinge loss, accelerated gradient).  y has a column of +1, -1 and 0 (not looked at)
+    for each; in each both classes weigh the same.
+
+    Weights are sums of the rows, so the descent runs on the rows' coefficients with
+    their inner products.
+    """
+    pos, neg = np.maximum((y > 0).sum(0), 1), np.maximum((y < 0).sum(0), 1)
+    weight = np.where(y > 0, 0.5 / pos, np.where(y < 0, 0.5 / neg, 0)).astype(np.float32)
+    y = y.astype(np.float32)
+    k = x @ x.T
+    v = np.ones(y.shape, np.float32)
     for _ in range(12):
-        v = x.T @ (weight * (x @ v))
-        v /= max(float(np.linalg.norm(v)), 1e-12)
-    rate = 1 / (2 * (float(np.linalg.norm(x.T @ (weight * (x @ v)))) + 1) * 1.2 + strength)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    pw, pb = w, b
-    for k in range(steps):
-        m = k / (k + 3)
-        zw, zb = w + m * (w - pw), b + m * (b - pb)
-        g = -2 * weight * y * np.maximum(0, 1 - y * (x @ zw + zb))
-        pw, pb = w, b
-        w, b = zw - rate * (x.T @ g + strength * zw), zb - rate * float(g.sum())
-    return w, b
-
-
-def fit(labelled: DataFrame, lang: str, text: str, families: dict[str, str], per_language: int) -> dict:
+        v = weight * (k @ v)
+        v /= np.maximum(np.sqrt((v * v).sum(0)), 1e-30)
+    rate = 1 / (2 * (np.sqrt(((weight * (k @ v)) ** 2).sum(0)) + 1) * 1.2 + strength)
+    a, b = np.zeros(y.shape, np.float32), np.zeros(y.shape[1], np.float32)
+    pa_, pb = a, b
+    for i in range(steps):
+        m = i / (i + 3)
+        za, zb = a + m * (a - pa_), b + m * (b - pb)
+        g = -2 * weight * y * np.maximum(0, 1 - y * (k @ za + zb))
+        pa_, pb = a, b
+        a, b = za - rate * (g + strength * za), zb - rate * g.sum(0)
+    return x.T @ a, b
+
+
+def fit(labelled: DataFrame, lang: str, text: str, families: dict[str, str], per_language: int, most_rows: int = 8_000) -> dict:
     """The model: languages by family, and a weight column with bias for each
-    family and each pair.  It learns from about `per_language` rows a language."""
+    family and each pair.  It learns from `per_language` rows a language, or fewer so
+    that all languages together have about `most_rows` (features.sampled)."""
     grams = features.Grams(DIMS, (2, 3), shape=False)
-    names, rows = features.sampled(labelled, lang, text, per_language)
+    names, rows = features.sampled(labelled, lang, text, per_language, most_rows)
     labels, counts = features.collected(rows, grams)
     labels = np.array(labels, dtype=object)
-    names = [n for n in names if (labels == n).any()]
+    names = sorted(set(labels.tolist()))
     groups: dict[str, list[str]] = {}
     for n in names:
         groups.setdefault(families.get(n, n), []).append(n)
     model = {"grams": grams, "families": sorted(groups), "groups": groups, "pairs": [], "weights": np.zeros((DIMS, 0), np.float32), "bias": np.zeros(0)}
     if not names:
         return model
-    x = counts / np.maximum(counts.sum(1, keepdims=True) / 2, 1)
-    scale = 1 / (x.std(0) + 1e-4)
+    counts /= np.maximum(counts.sum(1, keepdims=True) / 2, 1)
+    x = counts
+    scale = 1 / (x.std(0) + np.float32(1e-4))
     scale /= np.sqrt(np.mean((x * scale) ** 2) * DIMS)
     x = (x * scale).astype(np.float32)
     family = np.array([families.get(n, n) for n in labels], dtype=object)
-    columns = []
-    for f in model["families"] if len(groups) > 1 else []:
-        columns.append(svm(x, np.where(family == f, 1, -1).astype(np.float32)))
+    weights, bias = [np.zeros((DIMS, 0), np.float32)], [np.zeros(0)]
+    if len(groups) > 1:
+        w, b = svms(x, np.stack([np.where(family == f, 1, -1) for f in model["families"]], 1))
+        weights.append(w), bias.append(b)
     for f in model["families"]:
-        for a, b in combinations(groups[f], 2):
-            at = (labels == a) | (labels == b)
-            model["pairs"].append((f, a, b))
-            columns.append(svm(x[at], np.where(labels[at] == a, 1, -1).astype(np.float32)))
-    if columns:
-        model["weights"] = np.stack([w * scale for w, _ in columns], 1).astype(np.float32)
-        model["bias"] = np.array([b for _, b in columns])
+        pairs = list(combinations(groups[f], 2))
+        if pairs:
+            at = family == f
+            w, b = svms(x[at], np.stack([(labels[at] == a).astype(np.int8) - (labels[at] == c) for a, c in pairs], 1))
+            model["pairs"] += [(f, a, c) for a, c in pairs]
+            weights.append(w), bias.append(b)
+    model["weights"] = (np.hstack(weights) * scale[:, None]).astype(np.float32)
+    model["bias"] = np.concatenate(bias)
     return model
 
 
@@ -121,15 +132,16 @@ def predict(model: dict, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return list(out), score
 
 
-def identify(docs: DataFrame, learn_from: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), families: dict[str, str] | None = None, per_language: int = 600) -> DataFrame:
+def identify(docs: DataFrame, learn_from: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), families: dict[str, str] | None = None, per_language: int = 600, most_rows: int = 8_000) -> DataFrame:
     """The `keep` columns with lang_pred and score (0 to 1) of every whole text.
 
     learn_from: rows (text, lang) to learn from; null languages teach nothing.
     A null text, or one with no letter, is `und` with score 0, as is every text
     if there is nothing to learn from.  Ties go to the first language by code
-    point.  Repeated rows stay.
+    point.  Repeated rows stay.  Whole texts are read, a batch of about a megabyte or
+    one longer text at a time.
     """
-    model = fit(learn_from.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), lang_col, text_col, FAMILIES if families is None else families, per_language)
+    model = fit(learn_from.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), lang_col, text_col, FAMILIES if families is None else families, per_language, most_rows)
     out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
 
     def run(parts):
