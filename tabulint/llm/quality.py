@@ -1,10 +1,12 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A bounded, labelled sample gives a TF-IDF space of hashed n-grams, a randomised
-singular value decomposition of it, and the sample's own vectors.  Those vectors
-are broadcast (at most 2 * per_label rows of `rank` numbers).  Every document's
-cosines with all of them are exact, computed in blocks, and its nearest ones
-vote, weighted by similarity.
+A bounded, labelled sample gives a TF-IDF space, a randomised singular value
+decomposition of it, and the sample's own vectors.  The space has four blocks of equal
+length: hashed lower-cased words and hashed lower-cased letter n-grams (what a text
+says), n-grams of its shape (letters as a or A, digits as 0: how it is laid out), and
+how far back its words stood last (what it repeats).  The vectors are broadcast (at
+most 2 * per_label rows of `rank` numbers).  Every document's cosines with all of them
+are exact, computed in blocks, and its nearest ones vote, weighted by similarity.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 
 from tabulint.llm import features, textkit
 
-DIMS, RANK = 1 << 12, 32
+WORDS, LETTERS, SHAPES, RANK = 1 << 12, 1 << 12, 1 << 11, 48
 
 
 def randomised_svd(x: np.ndarray, rank: int, rounds: int = 3) -> np.ndarray:
@@ -39,7 +41,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, on: str, text: str, per_
     """The space and the sample's vectors.  The sample is chosen from the labels
     alone, by a hash of their key, at most `per_label` rows of each label: small
     enough to broadcast, so the texts are not shuffled."""
-    grams = features.Grams(DIMS, (2, 3), shape=True)
+    grams = features.Blocks(features.Words(WORDS), features.Grams(LETTERS, (3,), shape=False), features.Grams(SHAPES, (2, 3), shape=True), features.Gaps())
     known = labels.select(on, F.col(label).cast("int").alias("label")).filter(F.col(on).isNotNull())
     picks = [known.filter(F.col("label") == v).orderBy(F.xxhash64(on), on).limit(per_label) for v in (0, 1)]
     rows = docs.select(on, F.col(text).alias("text")).filter("text is not null").join(F.broadcast(picks[0].unionAll(picks[1])), on)
@@ -56,7 +58,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, on: str, text: str, per_
 
 
 def weighed(model: dict, counts: np.ndarray) -> np.ndarray:
-    return unit(np.log1p(counts).astype(np.float32) * model["idf"])
+    """Weighted counts, each block brought to length one."""
+    x = np.log1p(counts).astype(np.float32) * model["idf"]
+    bounds = model["grams"].bounds
+    for i, j in zip(bounds, bounds[1:]):
+        x[:, i:j] = unit(x[:, i:j])
+    return x
 
 
 def vote(model: dict, texts: pa.Array, neighbours: int) -> np.ndarray:
@@ -67,7 +74,7 @@ def vote(model: dict, texts: pa.Array, neighbours: int) -> np.ndarray:
     z = unit(weighed(model, model["grams"].counts(texts)) @ model["basis"])
     k = min(neighbours, len(labels))
     near = z @ model["vectors"].T
-    at = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(labels) else np.tile(np.arange(k), (len(z), 1))
+    at = np.argsort(-near, axis=1, kind="stable")[:, :k]
     weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** 4
     total = weight.sum(1)
     return np.where(total > 1e-9, (weight * labels[at]).sum(1) / np.maximum(total, 1e-9), prior)
@@ -79,7 +86,9 @@ def scores(docs: DataFrame, labels: DataFrame, label_col: str, on: str = "doc_id
 
     labels: rows (on, label 0 or 1) for documents to learn from; others teach
     nothing.  A text without n-grams (null or empty) gets the sample's share of
-    label 1; without a sample it is 0.5.  Repeated rows stay.
+    label 1; without a sample it is 0.5.  Of equally near rows the first in the sample's
+    order vote.  Repeated rows stay.  Whole texts are read, at most 256 or one long one
+    at a time.
     """
     model = fit(docs, labels, label_col, on, text_col, per_label)
     out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType(), False)])
