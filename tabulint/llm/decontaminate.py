@@ -1,8 +1,8 @@
 """Finding benchmark items, also reworded ones, by latent semantic retrieval.
 
 1. The words of the benchmark are the terms; a scan counts them over all texts.
-   Terms that make up more than a thousandth of all words are stop words, unless
-   an item has hardly any others.  The rest get inverse-frequency weights.
+   Terms that make up more than a thousandth of all words (of 20,000 at least) are stop
+   words.  All get inverse-frequency weights, stop words a quarter.
 2. Texts are cut into passages of 32 words.  A distributed randomised singular
    value decomposition of their TF-IDF matrix A takes one scan, which sums
    Y = A'(A G) for a random orthonormal G; the Nystrom form Y (G'Y)^-1 Y' of A'A
@@ -12,13 +12,19 @@
 3. Every 32-word window, one each 16 words, of every text is compared by exact
    cosine in that space with every piece of every item, in blocks; items of fewer
    words are compared with windows of 16, 8 or 4, no longer than they are.
-4. For windows near enough, the longest common subsequence of the item and the text
-   around the window must cover most of the item, and the item's answer must be
-   there.  The subsequence is not computed where too few of the item's words are.
+4. A window near enough is a match if the longest common subsequence of the item and
+   the text around the window covers most of the item: words may be replaced, left out
+   or put in.  Or, for a paraphrase with clauses in another order, if the window is
+   nearer still, words with half the weight of the item's are there, and the longest
+   common subsequences of all words, and of those that are not stop words, cover a good
+   part of them.  The item's answer must be there, if it has one.  Subsequences are not computed where
+   too few of the item's words are.
 5. Items that stand in a text word for word are found from their rarest word,
    whatever the cosine.
 
-Nothing is shuffled but sums of fixed size; a text is judged inside one task.
+There is one space for the whole benchmark, so that an item is found or not whatever
+else is searched for.  Nothing is shuffled but sums that are as large as the
+benchmark; a text is judged inside one task.
 """
 
 from __future__ import annotations
@@ -30,18 +36,21 @@ from pyspark.sql import functions as F
 
 from tabulint.llm import dense, textkit
 
-RANK, EXTRA = 64, 8
+#: Dimensions of the space: RANK at least, one for PER_RANK items, MOST_RANK at most.
+RANK, PER_RANK, MOST_RANK, EXTRA = 64, 4, 512, 8
 PASSAGE = 32
 #: Words of the windows; an item has the longest that is no longer than itself.
 SIZES = (4, 8, 16, PASSAGE)
-#: Items of a round for each of which the space gets a further dimension beyond RANK.
-PER_RANK = 4
-#: Items searched for at a time; more go in further rounds, so what is broadcast is bounded.
-ITEMS = 1_000
-#: Rows of the term matrix; with more terms than that, some share a row.
-ROWS = 1 << 14
+#: Items that are broadcast and searched for at a time; more go in further scans, in the same space.
+ITEMS = 5_000
 STOP = 1e-3
-NEAR, COVERED = 0.4, 0.6
+#: Stop words have this share of their weight, and all weigh less than any other word.
+LIGHT, COMMON = 0.5, 2.0
+#: Least cosine, and share of an item's words in the common subsequence.
+NEAR, COVERED = 0.3, 0.6
+#: For paraphrases: least cosine, share of the weight that is there, share of the words
+#: in the common subsequence, and of those other than stop words in theirs.
+NEARER, WEIGHT, PARTLY, IN_ORDER = 0.6, 0.5, 0.4, 0.35
 
 
 class Terms:
@@ -54,7 +63,6 @@ class Terms:
         self.words = self.words[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.words >> np.uint64(44)] = True
-        self.size = min(len(self.words), ROWS)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in h that hold a term, their terms)."""
@@ -72,7 +80,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _slices(parts, column: int, most: int = 1 << 19):
     for p in parts:
-        for q in textkit.batches(p, "text", most):
+        for q in textkit.batches(p, p.schema.names[column], most):
             yield q, *_words(q.column(column))
 
 
@@ -84,8 +92,8 @@ def groups(first: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np
     return base, base[text] + (at - first[text]) // size
 
 
-def weights(texts: DataFrame, terms: Terms, items: list[np.ndarray]) -> np.ndarray:
-    """A weight per term, 0 for stop words."""
+def weights(texts: DataFrame, terms: Terms) -> np.ndarray:
+    """A weight per term, that of stop words below COMMON."""
     shared = texts.sparkSession.sparkContext.broadcast(terms)
 
     def task(parts):
@@ -96,13 +104,9 @@ def weights(texts: DataFrame, terms: Terms, items: list[np.ndarray]) -> np.ndarr
         return out
 
     n = dense.total(texts, (len(terms.words) + 1,), task)
-    out = np.log((n[-1] + 2) / (n[:-1] + 1))
-    stop = n[:-1] > STOP * max(n[-1], 1000)
-    for h in items:
-        k = terms.find(h)[1]
-        if (~stop[k]).sum() < 4:
-            stop[k] = False
-    return np.where(stop, 0, out).astype(np.float32)
+    weight = np.log((n[-1] + 2) / (n[:-1] + 1))
+    common = n[:-1] > STOP * max(n[-1], 20_000)
+    return np.where(common, np.minimum(LIGHT * weight, 0.99 * COMMON), np.maximum(weight, COMMON)).astype(np.float32)
 
 
 def gram_times(texts: DataFrame, terms: Terms, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -119,7 +123,7 @@ def gram_times(texts: DataFrame, terms: Terms, weight: np.ndarray, basis: np.nda
             if not len(k):
                 continue
             _, passage = groups(first, at, PASSAGE)
-            w, row = weight[k], k % len(basis)
+            w, row = weight[k], k
             start = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
             own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
             y = np.add.reduceat(w[:, None] * basis[row], start, axis=0) / np.add.reduceat(w * w, start)[:, None]
@@ -133,8 +137,8 @@ def gram_times(texts: DataFrame, terms: Terms, weight: np.ndarray, basis: np.nda
 
 def latent_space(texts: DataFrame, terms: Terms, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
     """A row per term: what an occurrence of it adds to a folded-in vector."""
-    width = min(rank + EXTRA, terms.size)
-    g = np.linalg.qr(np.random.default_rng(7).standard_normal((terms.size, width)))[0]
+    width = min(rank + EXTRA, len(weight))
+    g = np.linalg.qr(np.random.default_rng(7).standard_normal((len(weight), width)))[0]
     y = gram_times(texts, terms, weight, g)
     # a small shift keeps the root stable
     shift = 1e-7 * max(float(np.linalg.norm(y)), 1e-9)
@@ -146,7 +150,7 @@ def latent_space(texts: DataFrame, terms: Terms, weight: np.ndarray, rank: int =
     # the squares of `singular` are the eigenvalues of A'A
     best = singular[:rank] > 1e-5 * singular.max()
     basis = left[:, :rank][:, best] / np.sqrt(singular[:rank][best])
-    return (weight[:, None] * basis[np.arange(len(weight)) % terms.size]).astype(np.float32)
+    return (weight[:, None] * basis).astype(np.float32)
 
 
 def windows(terms: Terms, vectors: np.ndarray, h: np.ndarray, first: np.ndarray, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,13 +169,12 @@ def windows(terms: Terms, vectors: np.ndarray, h: np.ndarray, first: np.ndarray,
     return both[use], first[text[use]] + (use - base[text[use]]) * (size // 2), text[use]
 
 
-class Item:
-    """An item's words as positions, for bit-parallel subsequence lengths."""
+class Places:
+    """Places of words, for bit-parallel subsequence lengths."""
 
-    def __init__(self, key, words: np.ndarray, answer: list[int]):
-        self.key, self.n, self.answer = key, len(words), answer
-        self.places: dict[int, int] = {}
-        for i, w in enumerate(words.tolist()):
+    def __init__(self, words: list[int]):
+        self.n, self.places = len(words), {}
+        for i, w in enumerate(words):
             self.places[w] = self.places.get(w, 0) | 1 << i
 
     def common(self, words: list[int]) -> int:
@@ -184,10 +187,26 @@ class Item:
                 v = (v + u | v - u) & full
         return self.n - v.bit_count()
 
+
+class Item:
+    """An item's words, those that are not stop words, and its answer's."""
+
+    def __init__(self, key, words: np.ndarray, content: np.ndarray, answer: list[int]):
+        self.key, self.n, self.answer = key, len(words), answer
+        self.all, self.content = Places(words.tolist()), Places(content.tolist())
+
     def answered(self, words: list[int]) -> bool:
         n = len(self.answer)
         return not n or any(words[i : i + n] == self.answer for i in range(len(words) - n + 1))
 
+    def match(self, words: list[int], covered: float, like: bool) -> float:
+        """Share of the common subsequence if the words are a match, or 0; `like`:
+        they may be a paraphrase."""
+        share = self.all.common(words) / self.n
+        if share < covered and not (like and share >= PARTLY and self.content.n and self.content.common(words) >= IN_ORDER * self.content.n):
+            return 0.0
+        return share if self.answered(words) else 0.0
+
 
 class Pieces:
     """The pieces of the items that go with windows of one size: vectors of length
@@ -200,18 +219,22 @@ class Pieces:
 
 
 class Bench:
-    """The items of a round, their pieces by window size, their terms, of which
-    `need` occurrences must be near a match to cover the item, and their rarest
-    words' places, by term."""
+    """The items of a scan, their pieces by window size, their words, of which `need`
+    occurrences must be near a match to cover the item, and their rarest words' places,
+    by term."""
 
     def __init__(self, rows: list, words: list[np.ndarray], answers: list[np.ndarray], terms: Terms, weight: np.ndarray, vectors: np.ndarray, covered: float):
-        self.items, self.words, anchors, found = [], [], [], {}
+        self.items, self.words, anchors, found, keys = [], [], [], {}, []
+        self.weight, whole = weight, []
         for (key, _, _), h, answer in zip(rows, words, answers):
             if not len(h):
                 continue
             k = terms.find(h)[1]  # every word of an item is a term
-            self.items.append(Item(key, h, answer.tolist()))
+            self.items.append(Item(key, h, h[weight[k] >= COMMON], answer.tolist()))
             self.words.append(h)
+            own = np.unique(k)
+            whole.append(float(weight[own].sum()))
+            keys.append(self._key(np.full(len(own), len(self.items) - 1), own))
             rarest = int(np.argmax(weight[k]))
             anchors.append((int(k[rarest]), rarest))
             size = max([s for s in SIZES if s <= len(h)], default=SIZES[0])
@@ -222,15 +245,30 @@ class Bench:
                 queries.append(vectors[k[s:] if len(starts) == 1 else k[s : s + size]].sum(0))
                 owner.append(len(self.items) - 1)
         self.pieces = {size: Pieces(*x, vectors.shape[1]) for size, x in sorted(found.items())}
-        self.gate = np.zeros((len(self.items), len(terms.words)), bool)
-        for i, h in enumerate(self.words):
-            self.gate[i, terms.find(h)[1]] = True
+        # a bit table of the items' terms: what it lets through is checked on the words
+        keys = np.concatenate([np.zeros(0, np.uint64), *keys])
+        self.shift = np.uint64(64 - max(16, (16 * len(keys)).bit_length()))
+        self.gate = np.zeros(1 << int(64 - self.shift), bool)
+        self.gate[keys >> self.shift] = True
+        self.whole = np.maximum(np.array(whole), 1e-9)
         self.n = np.array([i.n for i in self.items], np.int64)
         self.need = np.ceil(self.n * covered - 1e-9)
         term, self.offset = np.array(anchors, np.int64).reshape(-1, 2).T
         self.anchored = np.argsort(term, kind="stable")
         self.by_term = np.searchsorted(term[self.anchored], np.arange(len(terms.words) + 1))
 
+    @staticmethod
+    def _key(item: np.ndarray, term: np.ndarray) -> np.ndarray:
+        return textkit.mix64(item.astype(np.uint64) << np.uint64(32) | term.astype(np.uint64))
+
+    def there(self, item: np.ndarray, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the items: how many of the terms, whose row each is in, are its
+        own, and the share of its weight that they have."""
+        own = np.flatnonzero(self.gate[self._key(item[row], term) >> self.shift])
+        row, term = row[own], term[own]
+        once = np.unique(row.astype(np.int64) << 32 | term)
+        return np.bincount(row, minlength=len(item)), np.bincount(once >> 32, self.weight[once & (1 << 32) - 1], len(item)) / self.whole[item]
+
     def verbatim(self, h: np.ndarray, first: np.ndarray, at: np.ndarray, k: np.ndarray):
         """(text, item, first word) of the items that stand in the texts."""
         many = self.by_term[k + 1] - self.by_term[k]
@@ -245,83 +283,117 @@ class Bench:
                 yield int(text[x]), int(item[x]), int(start[x])
 
 
+def prepared(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, answer: str | None, covered: float) -> list:
+    """Broadcasts (terms, vectors, Bench), one for each ITEMS items or so."""
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    answers = F.col(answer).cast("string") if answer else F.lit(None).cast("string")
+    rows = [tuple(x) for x in benchmark.select(F.col(item_id).alias("k"), F.col(item_text).alias("t"), answers.alias("a")).orderBy("k", "t").collect()]
+    words, answered = ([_words(pa.array([x[i] or ""]))[0] for x in rows] for i in (1, 2))
+    if not any(len(h) for h in words):
+        return []
+    terms = Terms(np.concatenate(words + answered))
+    weight = weights(texts, terms)
+    vectors = latent_space(texts, terms, weight, min(MOST_RANK, max(RANK, len(rows) // PER_RANK)))
+    out = []
+    for i in range(0, len(rows), ITEMS):
+        part = slice(i, i + ITEMS)
+        if any(len(h) for h in words[part]):
+            out.append(docs.sparkSession.sparkContext.broadcast((terms, vectors, Bench(rows[part], words[part], answered[part], terms, weight, vectors, covered))))
+    return out
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, near: float = NEAR, covered: float = COVERED) -> DataFrame:
     """Rows (doc_id, item_id, cosine, lcs) for each document and benchmark item
     found in it: the best cosine of its windows, and the share of the item's words
     in the longest common subsequence.
 
     Words are runs other than white space, A-Z lower-cased.  `answer`: column of
-    the benchmark whose words must follow each other near the match; without it the
-    subsequence alone decides.  Null and empty texts and items match nothing; items
-    that stand word for word are always found, with cosine 1.  Repeated
-    documents give repeated rows, repeated items a row for each.  Items go in
-    rounds of ITEMS, so what is broadcast is bounded.
+    the benchmark whose words must follow each other near the match; without it, or
+    where it is null or blank, the subsequence alone decides.  Null and empty texts and
+    items match nothing; items that stand word for word are always found, with cosine
+    1.  Repeated documents give repeated rows, repeated items a row for each.
     """
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kinds = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {benchmark.schema[item_id].dataType.simpleString()}, cosine double, lcs double"
-    answers = F.col(answer).cast("string") if answer else F.lit(None).cast("string")
-    items = benchmark.select(F.col(item_id).alias("k"), F.col(item_text).alias("t"), answers.alias("a"))
-    rounds = -(-items.count() // ITEMS)
-    if not rounds:
-        return docs.sparkSession.createDataFrame([], kinds)
+
+    def run(shared):
+        def rows(parts):
+            for q, bench, best in _search(shared, parts, 1, near, covered):
+                if best:
+                    found = sorted(best.items())
+                    ids = q.column(0).take(pa.array([d for (d, _), _ in found]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([bench.items[m].key for (_, m), _ in found]), pa.array([x[0] for _, x in found]), pa.array([x[1] for _, x in found])], names=["doc_id", "item_id", "cosine", "lcs"])
+
+        return rows
+
     out = None
-    for r in range(rounds):
-        part = [tuple(x) for x in items.filter(F.pmod(F.xxhash64("t", "k"), F.lit(rounds)) == r).orderBy("k", "t").collect()]
-        words, answered = ([_words(pa.array([x[i] or ""]))[0] for x in part] for i in (1, 2))
-        if not any(len(h) for h in words):
-            continue
-        terms = Terms(np.concatenate(words + answered))
-        weight = weights(texts, terms, words)
-        vectors = latent_space(texts, terms, weight, max(RANK, len(part) // PER_RANK))
-        shared = docs.sparkSession.sparkContext.broadcast((terms, vectors, Bench(part, words, answered, terms, weight, vectors, covered)))
-        found = source.mapInArrow(_search(shared, near, covered), kinds)
+    for shared in prepared(docs, benchmark, text, item_id, item_text, answer, covered):
+        found = source.mapInArrow(run(shared), kinds)
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], kinds) if out is None else out
 
 
-def _search(shared, near: float, covered: float):
-    def run(parts):
-        terms, vectors, bench = shared.value
-        for q, h, first in _slices(parts, 1):
-            at, k = terms.find(h)
-            best: dict[tuple[int, int], list[float]] = {}
-            for t, m, s in bench.verbatim(h, first, at, k):
-                n = int(bench.n[m])
-                if bench.items[m].answered(h[max(first[t], s - n) : min(first[t + 1], s + 2 * n)].tolist()):
-                    best[t, m] = [1.0, 1.0]
-            for size, pieces in bench.pieces.items():
-                w, start, text = windows(terms, vectors, h, first, size)
-                own = np.linalg.norm(w, axis=1)
-                # a window with most of a piece is also as long as most of it
-                some = np.flatnonzero(own >= near * pieces.length.min(initial=np.inf))
-                w, start, text, own = w[some], start[some], text[some], own[some]
-                for b in range(0, len(pieces.vectors), 1024):
-                    product = w @ pieces.vectors[b : b + 1024].T
-                    i, j = np.nonzero(product >= near * own[:, None])
-                    both = product[i, j] >= near * pieces.length[b + j]
-                    i, j = i[both], j[both]
-                    cosine = product[i, j] / own[i]
-                    item = pieces.owner[b + j]
-                    low, high = np.maximum(first[text[i]], start[i] - bench.n[item]), np.minimum(first[text[i] + 1], start[i] + size + bench.n[item])
-                    # how many of the item's words are there: no fewer than a subsequence of them
-                    t0, t1 = np.searchsorted(at, low), np.searchsorted(at, high)
-                    ends = np.cumsum(t1 - t0)
-                    row = np.repeat(np.arange(len(i)), t1 - t0)
-                    place = np.arange(len(row)) - np.repeat(ends - (t1 - t0), t1 - t0) + np.repeat(t0, t1 - t0)
-                    there = np.bincount(row[bench.gate[item[row], k[place]]], minlength=len(i))
-                    for x in np.flatnonzero(there >= bench.need[item]):
-                        key, c = (int(text[i[x]]), int(item[x])), min(float(cosine[x]), 1.0)
-                        if key in best:
-                            best[key][0] = max(best[key][0], c)
-                            continue
-                        one, around = bench.items[item[x]], h[low[x] : high[x]].tolist()
-                        share = one.common(around) / one.n
-                        if share >= covered and one.answered(around):
-                            best[key] = [c, share]
-            if best:
-                rows = sorted(best.items())
-                ids = q.column(0).take(pa.array([d for (d, _), _ in rows]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([bench.items[m].key for (_, m), _ in rows]), pa.array([x[0] for _, x in rows]), pa.array([x[1] for _, x in rows])], names=["doc_id", "item_id", "cosine", "lcs"])
-
-    return run
+def without(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, near: float = NEAR, covered: float = COVERED) -> DataFrame:
+    """The `keep` columns of the rows in whose text matches() finds no item.  Each row
+    is judged by its own text; null and empty texts stay."""
+    out = docs.select(*keep, F.col(text).alias("__text"))
+    schema = out.schema
+
+    def run(shared):
+        def rows(parts):
+            for q, _, best in _search(shared, parts, len(keep), near, covered):
+                clean = np.ones(q.num_rows, bool)
+                clean[[t for t, _ in best]] = False
+                yield q.filter(pa.array(clean))
+
+        return rows
+
+    for shared in prepared(docs, benchmark, text, item_id, item_text, answer, covered):
+        out = out.mapInArrow(run(shared), schema)
+    return out.select(*keep)
+
+
+def _search(shared, parts, column: int, near: float, covered: float):
+    """(batch, items, {(text, item): [cosine, share]}) for all slices of the rows."""
+    terms, vectors, bench = shared.value
+    for q, h, first in _slices(parts, column):
+        at, k = terms.find(h)
+        best: dict[tuple[int, int], list[float]] = {}
+        for t, m, s in bench.verbatim(h, first, at, k):
+            n = int(bench.n[m])
+            if bench.items[m].answered(h[max(first[t], s - n) : min(first[t + 1], s + 2 * n)].tolist()):
+                best[t, m] = [1.0, 1.0]
+        for size, pieces in bench.pieces.items():
+            w, start, text = windows(terms, vectors, h, first, size)
+            own = np.linalg.norm(w, axis=1)
+            # a window with most of a piece is also as long as most of it
+            some = np.flatnonzero(own >= near * pieces.length.min(initial=np.inf))
+            w, start, text, own = w[some], start[some], text[some], own[some]
+            for b in range(0, len(pieces.vectors), 1024):
+                product = w @ pieces.vectors[b : b + 1024].T
+                i, j = np.nonzero(product >= near * own[:, None])
+                both = product[i, j] >= near * pieces.length[b + j]
+                i, j = i[both], j[both]
+                for x, c, share in _judged(bench, h, first, at, k, size, start[i], text[i], product[i, j] / own[i], pieces.owner[b + j], covered, best):
+                    best[x] = [max(best[x][0], c), max(best[x][1], share)] if x in best else [c, share]
+        yield q, bench, best
+
+
+def _judged(bench: Bench, h, first, at, k, size, start, text, cosine, item, covered, best):
+    """((text, item), cosine, share) of the candidates that are matches."""
+    low, high = np.maximum(first[text], start - bench.n[item]), np.minimum(first[text + 1], start + size + bench.n[item])
+    t0, t1 = np.searchsorted(at, low), np.searchsorted(at, high)
+    for a in range(0, len(item), 1 << 14):
+        z = slice(a, a + (1 << 14))
+        many = t1[z] - t0[z]
+        row = np.repeat(np.arange(len(many)), many)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(t0[z], many)
+        # how many of the item's words are there: no fewer than a subsequence of them
+        there, weight = bench.there(item[z], row, k[place])
+        like = (cosine[z] >= NEARER) & (weight >= WEIGHT)
+        for x in np.flatnonzero((there >= bench.need[item[z]]) | like):
+            key, c = (int(text[a + x]), int(item[a + x])), min(float(cosine[a + x]), 1.0)
+            if key in best:
+                yield key, c, best[key][1]
+            elif share := bench.items[key[1]].match(h[low[a + x] : high[a + x]].tolist(), covered, bool(like[x])):
+                yield key, c, share
