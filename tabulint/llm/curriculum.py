@@ -89,10 +89,10 @@ def schedules(ramps: tuple) -> Column:
     return F.element_at(knots, (F.col("rank") % len(ramps) + 1).cast("int"))
 
 
-def assign(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, ramps: tuple = RAMPS, doc_id: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def assign(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, ramps: tuple = RAMPS, doc_id: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per document with doc_id, source, size (words), source_size, target,
     taken (words that the mix takes, repeats counted) and positions (training
-    times, one per copy taken).
+    times, one per copy taken), and the `keep` columns.
 
     A source's documents, in hash order and over again, are taken as long as the
     tokens before a copy's middle are under the target, so what is taken is off
@@ -101,7 +101,7 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most:
     and equal rows are interchangeable.  An empty table gives an empty one.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *keep)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("order", order).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -115,7 +115,7 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most:
     within = W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         r.join(k, (F.col("r.bucket") == F.col("k.bucket")) & F.col("r.source").eqNullSafe(F.col("k.source")))
-        .select("r.doc_id", "r.source", "r.bucket", "r.order", "r.size", "k.bucket_start", "k.rank", "k.source_size", "k.target")
+        .select("r.doc_id", "r.source", "r.bucket", "r.order", "r.size", *(F.col(f"r.{c}") for c in keep), "k.bucket_start", "k.rank", "k.source_size", "k.target")
         .withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     )
     middle = F.col("start") + F.col("size") / 2
@@ -129,6 +129,7 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most:
         "target",
         (F.size("copies") * F.col("size")).alias("taken"),
         F.transform("copies", lambda c: demand_inverse((c * F.col("source_size") + middle) / F.col("target"), schedules(ramps))).alias("positions"),
+        *keep,
     )
 
 

@@ -144,7 +144,7 @@ def test_subsequence_length():
     import numpy as np
 
     h = np.array([5, 6, 7, 5, 8], np.uint64)
-    one = decontaminate.Item(1, h, [])
+    one = decontaminate.Places(h.tolist())
     assert one.common([5, 6, 7, 5, 8]) == 5 and one.common([8, 5, 7]) == 2 and one.common([]) == 0 and one.common([5, 9, 5, 9, 8]) == 3
 
 

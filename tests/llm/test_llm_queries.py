@@ -48,4 +48,10 @@ def test_pipeline(spark):
         before = set(after)
     assert not [r for r in docs.select("text").collect() if re.search(r"[0-9a-f]{24,}", r.text)]
     out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert {r.doc_id for r in out.collect()} == before
+    rows = out.collect()
+    assert {r.doc_id for r in rows} <= before and set(columns) <= set(out.columns)
+    copies = {}
+    for r in rows:
+        copies.setdefault(r.doc_id, set()).add(r.copy)
+        assert 0 <= r.position <= 1 and r.copy < 3
+    assert sum(len(c) for c in copies.values()) == len(rows)
