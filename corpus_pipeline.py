@@ -1,7 +1,10 @@
 """A training-corpus pipeline: five stages from documents to a training order.
 
 Every stage works on all that the stage before kept and is written as Parquet
-before the next reads it.  Clean documents stay; the last stage adds columns.
+before the next reads it.  Decisions are made on rows, never on ids, so rows that
+share a doc_id or have none are judged apart; further columns are carried along
+whatever their names.  The last stage gives a row for each time the mix takes a
+document, in training order.
 """
 
 from __future__ import annotations
@@ -14,46 +17,49 @@ from pyspark.sql import functions as F
 from tabulint.llm import curriculum, decontaminate, neardup, q_tables, quality, secrets
 from tabulint.plans.durable import saved
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def held(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): whole rows beside what an operator reads, so that no name
+    of a column can clash with the operator's."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled neighbours vote for."""
-    found = quality.scores(docs, q_tables.quality_labels(spark, sf_dir), "quality", keep=COLUMNS)
-    return found.filter(F.col("score") >= q_tables.GOOD).select(*COLUMNS)
+    """Documents that the nearest labelled neighbours vote for.  Null and empty texts
+    get the sample's share of good ones; without labels every document stays."""
+    found = quality.scores(held(docs), q_tables.quality_labels(spark, sf_dir), "quality", keep=("row",))
+    return found.filter(F.col("score") >= q_tables.GOOD).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies over 5-word shingles: the one
-    of smallest id.  Of repeated rows of it one stays."""
-    classes = saved(neardup.classes(docs, shingle=5, percent=80), "classes")
-    kept = classes.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
-    repeated = classes.groupBy("doc_id").count().filter("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """One document of each class of near copies over 5-word shingles, the first row of
+    it; texts without words stay.  The rows are numbered in a table of their own, so that
+    every reading of them has the same numbers."""
+    numbered = saved(held(docs).select("row", "text", F.monotonically_increasing_id().alias("number")), "numbered")
+    kept = neardup.classes(numbered, shingle=5, percent=80, doc_id="number").filter("kept").select("doc_id")
+    return numbered.join(kept, F.col("number") == F.col("doc_id"), "left_semi").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    found = saved(decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("found_id")).distinct(), "found")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti").select(*COLUMNS)
+    return decontaminate.without(held(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("row",)).select("row.*")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark in the text."""
-    marked = secrets.scan(docs.select(*COLUMNS), secrets.default_samples(spark))
+    """All documents, with secrets replaced by a mark in the text; n_chars follows."""
+    marked = secrets.scan(held(docs), secrets.default_samples(spark))
     text = F.when(F.col("text").isNotNull(), secrets.redact(F.col("text"), F.col("secrets")))
-    return marked.withColumn("text", text).withColumn("n_chars", F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    size = F.when(F.size("secrets") > 0, F.char_length(text).cast("long")).otherwise(F.col("row.n_chars"))
+    return marked.select(F.col("row").withField("text", text).withField("n_chars", size).alias("row")).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the words the mix takes of them and their training
-    positions, range-sorted by the first; documents that it does not take have
-    none and come last."""
-    plan = curriculum.assign(docs).select("doc_id", "size", "source_size", "target", "taken", "positions")
-    placed = docs.select(*COLUMNS).join(plan.withColumnRenamed("doc_id", "mixed_id"), F.col("doc_id").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
-    first = F.col("position").asc_nulls_last()
-    return placed.withColumn("position", F.get("positions", F.lit(0))).repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, "doc_id")
+    """A row for each time the mix takes a document, range-sorted by training position;
+    documents that it does not take go.  Columns of the mix that the documents have too
+    are not added."""
+    taken = curriculum.training_order(curriculum.assign(docs.select("doc_id", "text", "source", F.struct("*").alias("row")), keep=("row",)))
+    more = [c for c in ("size", "source_size", "target", "taken", "copy", "position") if c not in docs.columns]
+    return taken.select("row.*", *more)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
