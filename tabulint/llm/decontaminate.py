@@ -2,7 +2,7 @@
 
 1. The words of the benchmark are the terms; a scan counts them over all texts.
    Terms that make up more than a thousandth of all words (of 20,000 at least) are stop
-   words.  All get inverse-frequency weights, stop words a quarter.
+   words.  All get inverse-frequency weights, stop words half of theirs.
 2. Texts are cut into passages of 32 words.  A distributed randomised singular
    value decomposition of their TF-IDF matrix A takes one scan, which sums
    Y = A'(A G) for a random orthonormal G; the Nystrom form Y (G'Y)^-1 Y' of A'A
@@ -44,10 +44,10 @@ SIZES = (4, 8, 16, PASSAGE)
 #: Items that are broadcast and searched for at a time; more go in further scans, in the same space.
 ITEMS = 5_000
 STOP = 1e-3
-#: Stop words have this share of their weight, and all weigh less than any other word.
+#: Stop words have this share of their weight, and weigh less than any other word.
 LIGHT, COMMON = 0.5, 2.0
 #: Least cosine, and share of an item's words in the common subsequence.
-NEAR, COVERED = 0.3, 0.6
+NEAR, COVERED = 0.4, 0.6
 #: For paraphrases: least cosine, share of the weight that is there, share of the words
 #: in the common subsequence, and of those other than stop words in theirs.
 NEARER, WEIGHT, PARTLY, IN_ORDER = 0.6, 0.5, 0.4, 0.35
@@ -153,18 +153,37 @@ def latent_space(texts: DataFrame, terms: Terms, weight: np.ndarray, rank: int =
     return (weight[:, None] * basis).astype(np.float32)
 
 
-def windows(terms: Terms, vectors: np.ndarray, h: np.ndarray, first: np.ndarray, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vectors, first words, texts) of the windows of `size` words, one each half of
-    that, that hold a term; a text's last window is what is left."""
-    at, k = terms.find(h)
-    base, step = groups(first, at, size // 2)
-    steps = np.zeros((base[-1] + 1, vectors.shape[1]), np.float32)
+def stepped(terms: Terms, vectors: np.ndarray, at: np.ndarray, k: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of the pieces of `size` words that do not cross texts, number of the
+    first piece of each text)."""
+    base, step = groups(first, at, size)
+    out = np.zeros((base[-1] + 1, vectors.shape[1]), np.float32)
     if len(k):
         start = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
-        steps[step[start]] = np.add.reduceat(vectors[k], start, axis=0)
+        out[step[start]] = np.add.reduceat(vectors[k], start, axis=0)
+    return out, base
+
+
+def doubled(steps: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """stepped() of twice the size."""
+    wide = np.append(0, np.cumsum(-(-np.diff(base) // 2)))
+    text = np.repeat(np.arange(len(wide) - 1), np.diff(wide))
+    left = base[text] + 2 * (np.arange(wide[-1]) - wide[text])
+    out = np.zeros((wide[-1] + 1, steps.shape[1]), np.float32)
+    out[:-1] = steps[left]
+    both = np.flatnonzero(left + 1 < base[text + 1])
+    out[both] += steps[left[both] + 1]
+    return out, wide
+
+
+def windows(steps: np.ndarray, base: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, first words, texts) of the windows of `size` words, one each half of
+    that, that hold a term; a text's last window is what is left.  steps, base: of half
+    the size."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(base))
-    follows = np.append(text[1:] == text[:-1], False) if len(text) else np.zeros(0, bool)
-    both = steps[:-1] + steps[1:] * follows[:, None]
+    both = steps[:-1].copy()
+    follows = np.flatnonzero(text[1:] == text[:-1])
+    both[follows] += steps[follows + 1]
     use = np.flatnonzero(both.any(axis=1))
     return both[use], first[text[use]] + (use - base[text[use]]) * (size // 2), text[use]
 
@@ -232,9 +251,9 @@ class Bench:
             k = terms.find(h)[1]  # every word of an item is a term
             self.items.append(Item(key, h, h[weight[k] >= COMMON], answer.tolist()))
             self.words.append(h)
-            own = np.unique(k)
+            own, times = np.unique(k, return_counts=True)
             whole.append(float(weight[own].sum()))
-            keys.append(self._key(np.full(len(own), len(self.items) - 1), own))
+            keys.append((self._key(np.full(len(own), len(self.items) - 1), own), np.minimum(times, 255)))
             rarest = int(np.argmax(weight[k]))
             anchors.append((int(k[rarest]), rarest))
             size = max([s for s in SIZES if s <= len(h)], default=SIZES[0])
@@ -245,11 +264,11 @@ class Bench:
                 queries.append(vectors[k[s:] if len(starts) == 1 else k[s : s + size]].sum(0))
                 owner.append(len(self.items) - 1)
         self.pieces = {size: Pieces(*x, vectors.shape[1]) for size, x in sorted(found.items())}
-        # a bit table of the items' terms: what it lets through is checked on the words
-        keys = np.concatenate([np.zeros(0, np.uint64), *keys])
-        self.shift = np.uint64(64 - max(16, (16 * len(keys)).bit_length()))
-        self.gate = np.zeros(1 << int(64 - self.shift), bool)
-        self.gate[keys >> self.shift] = True
+        # how often an item has a term, by hash: what it lets through is checked on the words
+        places = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in keys)])
+        self.shift = np.uint64(64 - max(16, (16 * len(places)).bit_length()))
+        self.times = np.zeros(1 << int(64 - self.shift), np.uint8)
+        np.maximum.at(self.times, places >> self.shift, np.concatenate([np.zeros(0, np.int64), *(x for _, x in keys)]).astype(np.uint8))
         self.whole = np.maximum(np.array(whole), 1e-9)
         self.n = np.array([i.n for i in self.items], np.int64)
         self.need = np.ceil(self.n * covered - 1e-9)
@@ -263,11 +282,14 @@ class Bench:
 
     def there(self, item: np.ndarray, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each of the items: how many of the terms, whose row each is in, are its
-        own, and the share of its weight that they have."""
-        own = np.flatnonzero(self.gate[self._key(item[row], term) >> self.shift])
-        row, term = row[own], term[own]
-        once = np.unique(row.astype(np.int64) << 32 | term)
-        return np.bincount(row, minlength=len(item)), np.bincount(once >> 32, self.weight[once & (1 << 32) - 1], len(item)) / self.whole[item]
+        own, each as often as it has it, and the share of its weight that they have."""
+        place = self._key(item[row], term) >> self.shift
+        own = np.flatnonzero(self.times[place])
+        pair = np.sort(row[own].astype(np.uint64) << np.uint64(40) | term[own].astype(np.uint64) << np.uint64(8) | self.times[place[own]])
+        new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+        once, many = pair[new], np.diff(np.append(new, len(pair)))
+        row, term, most = (once >> np.uint64(40)).astype(np.int64), (once >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.int64), (once & np.uint64(255)).astype(np.int64)
+        return np.bincount(row, np.minimum(many, most), len(item)), np.bincount(row, self.weight[term], len(item)) / self.whole[item]
 
     def verbatim(self, h: np.ndarray, first: np.ndarray, at: np.ndarray, k: np.ndarray):
         """(text, item, first word) of the items that stand in the texts."""
@@ -363,8 +385,11 @@ def _search(shared, parts, column: int, near: float, covered: float):
             n = int(bench.n[m])
             if bench.items[m].answered(h[max(first[t], s - n) : min(first[t + 1], s + 2 * n)].tolist()):
                 best[t, m] = [1.0, 1.0]
+        steps, wide = None, 0
         for size, pieces in bench.pieces.items():
-            w, start, text = windows(terms, vectors, h, first, size)
+            while wide < size // 2:  # half of the least size first, then twice as wide each time
+                steps, wide = (stepped(terms, vectors, at, k, first, size // 2), size // 2) if steps is None else (doubled(*steps), 2 * wide)
+            w, start, text = windows(*steps, first, size)
             own = np.linalg.norm(w, axis=1)
             # a window with most of a piece is also as long as most of it
             some = np.flatnonzero(own >= near * pieces.length.min(initial=np.inf))
