@@ -27,10 +27,22 @@ TIERS = ("public", "client", "application", "admin", "daemon")
 CONVENTIONS = {("Function", "Php"): "camel", ("Method", "Php"): "camel", ("Function", "JavaScript"): "camel", ("Method", "JavaScript"): "camel", ("Function", "TypeScript"): "camel", ("Method", "TypeScript"): "camel", ("Function", "Rust"): "snake", ("Method", "Rust"): "snake", ("Function", "Python"): "snake", ("Method", "Python"): "snake"} | {("Class", x): "pascal" for x in ("Php", "JavaScript", "TypeScript", "Rust", "Python", "Java")}
 
 
+# Receivers whose methods only change memory, verbs that delete only from a
+# store, and words that tell a store.
+BENIGN_RECEIVERS = ("vec", "string", "vecdeque", "hashmap", "btreemap", "hashset", "btreeset", "binaryheap", "bytesmut", "bytes", "pathbuf", "osstring")
+AMBIGUOUS_DELETION = ("delete", "destroy", "purge", "purgeexpired")
+STORAGE_HINTS = ("file", "fs", "db", "sql", "conn", "client", "store", "repo", "bucket", "disk", "storage", "table", "model", "record", "cache", "session", "collection", "dao", "registry", "queue", "index")
+
+
 def sink_of(name: Column, lang: Column) -> Column:
-    """What a call does by its last name; null if nothing dangerous."""
+    """What a call does by its last name; null if nothing dangerous.  Verbs that may
+    only change memory count where the receiver tells a store."""
+    full = F.lower(name)
     last = F.lower(S.last_segment(name))
-    kind = F.when(last.isin(*HARD_DELETION), "Deletion")
+    receiver = F.substring(full, F.lit(1), F.length(full) - F.length(last))
+    kind = F.when(full.rlike("^(" + "|".join(BENIGN_RECEIVERS) + ")::"), F.lit(None).cast("string")).when(last.isin(*HARD_DELETION), "Deletion")
+    kind = kind.when(last.isin(*AMBIGUOUS_DELETION) & ~S.any_contains(receiver, STORAGE_HINTS) & ~(lang == "Php"), F.lit(None).cast("string"))
+    kind = kind.when(~lang.isin(*NAMED) & last.isin(*AMBIGUOUS_DELETION), "Deletion")
     for k, names in SINKS.items():
         kind = kind.when(lang.isin(*NAMED) & last.isin(*names), k)
     return kind
@@ -46,13 +58,14 @@ def tier(name: Column, file: Column) -> Column:
     return F.when(s.rlike("daemon|api-remote|/remote"), 4).when(s.contains("admin"), 3).when(s.contains("application"), 2).when(s.contains("client"), 1).otherwise(0)
 
 
-def chains(symbols: DataFrame, calls: DataFrame, most_depth: int = 6, most_rows: int = 300) -> DataFrame:
+def chains(symbols: DataFrame, calls: DataFrame, most_depth: int = 6, most_rows: int | None = 300, guarded: DataFrame | None = None) -> DataFrame:
     """(entry, sink, name, depth, gated, severity, path): from each real entry point
     the first path by breadth to each kind and name of sink, of a report's length.
 
     The walk goes on from symbols met for the first time by an entry; whether a
     gate was passed and the most privileged tier crossed go along.  Among equal
-    lengths the least path is the first.
+    lengths the least path is the first.  guarded: (id), entry points behind a route's
+    authentication, which are gated from the start.  Without most_rows all are given.
     """
     s = symbols.select("id", "name", "full_name", "path", "lang", tier(F.col("full_name"), F.col("path")).alias("tier"))
     c = calls.filter("caller_id is not null").join(s.select(F.col("id").alias("caller_id"), "lang"), "caller_id")
@@ -61,6 +74,8 @@ def chains(symbols: DataFrame, calls: DataFrame, most_depth: int = 6, most_rows:
         "steps",
     )
     own_gate = step.groupBy(F.col("src").alias("id")).agg(F.max("gate").alias("gate"))
+    if guarded is not None:
+        own_gate = own_gate.unionAll(guarded.select("id", F.lit(True).alias("gate"))).groupBy("id").agg(F.max("gate").alias("gate"))
     nodes = saved(s.join(own_gate, "id", "left").withColumn("gate", F.coalesce("gate", F.lit(False)) | is_gate(F.col("name"))), "nodes")
     entry = nodes.join(symbols.filter(F.col("is_entry_point") & ~S.is_test(F.col("path"))).select("id"), "id")
     front = saved(entry.select(F.col("id").alias("entry"), F.col("id").alias("node"), F.col("gate").alias("gated"), F.col("tier").alias("low"), F.col("tier").alias("high"), F.array("full_name").alias("path")), "front")
@@ -80,7 +95,8 @@ def chains(symbols: DataFrame, calls: DataFrame, most_depth: int = 6, most_rows:
     base = F.coalesce(*[F.when(F.col("sink") == k, F.lit(v)) for k, v in UNGATED.items()])
     severity = F.when(F.col("gated"), F.lit("Low")).otherwise(base)
     severity = F.when(F.col("raised"), F.coalesce(*[F.when(severity == a, F.lit(b)) for a, b in RAISED.items()])).otherwise(severity)
-    return best.select("entry", "sink", F.col("sink_name").alias("name"), "depth", "gated", severity.alias("severity"), "path").orderBy("entry", "sink", "name").limit(most_rows)
+    out = best.select("entry", "sink", F.col("sink_name").alias("name"), "depth", "gated", severity.alias("severity"), "path")
+    return out if most_rows is None else out.orderBy("entry", "sink", "name").limit(most_rows)
 
 
 def naming(symbols: DataFrame, conventions: dict[tuple[str, str], str] | None = None) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulint.functions.scalar import is_comment_line, is_test, without_line_comment
+from tabulint.operators.joins import enclosing
 from tabulint.operators.lines import Rule, capped, is_hardcoded_secret, scan
 
 DYNAMIC = ("Php", "JavaScript", "TypeScript", "Python")
@@ -31,9 +32,33 @@ CODE = [
 COLUMNS = ["path", "ln", "kind", "severity", "confidence", "message"]
 
 
+#: Paths whose files no security detector looks at: libraries, build output, sample data.
+UNGUARDED = r"(^|.*/)(vendor|node_modules)/|storage/framework/|/(benchmarks|testdata|test-data|corpus)/|\.blade\.php$"
+
+
+def guarded(path: Column) -> Column:
+    """Whether security detectors look at a file: no library, no build output, no
+    sample data, no test; fixtures of tests are looked at."""
+    tests = path.rlike(r"/tests/|_test\.rs$") & ~path.contains("fixtures")
+    return ~path.rlike(UNGUARDED) & ~tests
+
+
+def forbidden_calls(lines: DataFrame, names: list[str]) -> DataFrame:
+    """Calls of functions that the settings forbid, where a line's first mention of the
+    name stands at the start of a word; in languages where names tell."""
+    code = lines.filter(F.col("lang").isin(*DYNAMIC) & ~is_comment_line(F.col("line")) & guarded(F.col("path")))
+    out = None
+    for n in dict.fromkeys(names):
+        at = F.instr("line", f"{n}(")
+        hit = code.filter((at > 0) & ((at == 1) | ~F.substr("line", at - 1, F.lit(1)).rlike("[A-Za-z0-9_]")))
+        hit = hit.select("path", "ln", F.lit("WeakCrypto").alias("kind"), F.lit("Critical").alias("severity"), F.lit(0.95).alias("confidence"), F.lit(f"forbidden function {n}()").alias("message"))
+        out = hit if out is None else out.unionByName(hit)
+    return lines.sparkSession.createDataFrame([], "path string, ln int, kind string, severity string, confidence double, message string") if out is None else out
+
+
 def security(lines: DataFrame) -> DataFrame:
-    """Weak hashes, eval and secrets; comment lines give nothing."""
-    code = lines.filter(~is_comment_line(F.col("line")))
+    """Weak hashes, eval and secrets; comment lines and unguarded files give nothing."""
+    code = lines.filter(~is_comment_line(F.col("line")) & guarded(F.col("path")))
     out = scan(code, CODE, lang="lang").select(*COLUMNS)
     weak = code.filter(F.col("lang").isin(*DYNAMIC) & F.col("line").rlike(r"(?<![A-Za-z0-9_$])(md5|sha1)\("))
     severity = F.when(F.col("line").rlike(SENSITIVE), "Critical").when(F.col("line").rlike(BENIGN), "Info").otherwise("Medium")
@@ -43,15 +68,22 @@ def security(lines: DataFrame) -> DataFrame:
     return out.unionByName(weak).unionByName(secret)
 
 
-def rust(lines: DataFrame, most_panics: int = 5) -> DataFrame:
-    """Rust findings.  The function a line stands in is the last declaration above
-    it; whether it is asynchronous or latency-sensitive follows from that line."""
+def rust(lines: DataFrame, most_panics: int = 5, symbols: DataFrame | None = None) -> DataFrame:
+    """Rust findings.  The function a line stands in is the innermost one of symbols
+    (id, path, name, kind, line_start, line_end) around it, or without symbols the last
+    declaration above it; whether it is asynchronous or latency-sensitive follows from
+    its declaration."""
     w = W.partitionBy("path").orderBy("ln")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     rows = lines.filter("lang = 'Rust'").withColumn("code", without_line_comment(F.col("line")))
     declares = F.col("code").rlike(r"\bfn\s+\w+")
     rows = rows.withColumn("fn", F.last(F.when(declares, F.regexp_extract("code", r"\bfn\s+(\w+)", 1)), ignorenulls=True).over(upto))
     rows = rows.withColumn("is_async", F.coalesce(F.last(F.when(declares, F.col("code").rlike(r"async\s+(fn|move)")), ignorenulls=True).over(upto), F.lit(False)))
+    if symbols is not None:
+        spans = symbols.filter(F.col("kind").isin("Function", "Method")).select("id", "path", "name", "line_start", "line_end")
+        starts = rows.filter(F.col("code").rlike(r"async\s+(fn|move)")).select(F.col("path").alias("__p"), F.col("ln").alias("__l"), F.lit(True).alias("__async"))
+        named = spans.join(starts, (F.col("path") == F.col("__p")) & (F.col("line_start") == F.col("__l")), "left").select(F.col("id").alias("span"), F.col("name").alias("fn"), F.coalesce("__async", F.lit(False)).alias("is_async"))
+        rows = enclosing(rows.drop("fn", "is_async"), spans, "path", "ln", "line_start", "line_end", "id", 64).join(named, "span", "left").withColumn("is_async", F.coalesce("is_async", F.lit(False))).drop("span")
     safe_near = F.max(F.upper("line").contains("SAFETY").cast("int")).over(w.rowsBetween(-3, 0)) == 1
     in_tests = F.coalesce(F.max(F.col("line").contains("#[cfg(test)]").cast("int")).over(upto), F.lit(0)) == 1
     rows = rows.withColumn("documented", safe_near).withColumn("test", in_tests | is_test(F.col("path"))).withColumn("hot", F.coalesce(F.col("fn").rlike(HOT), F.lit(False)))

@@ -112,6 +112,16 @@ def score(findings: DataFrame, symbols: Column | int, test_score: Column | int =
     return row.select(*WEIGHTS, test.cast("int").alias("test_coverage"), F.least(F.floor(F.round(mean, 6)), cap).cast("int").alias("overall"))
 
 
+def test_dimension(reach: DataFrame, roots: bool = True, full: float = 35.0) -> int:
+    """The score of tests from (functions, reached) by file: the share that tests reach,
+    of which `full` percent are as good as all; 0 without tests."""
+    if not roots:
+        return 0
+    n = reach.agg(F.sum("functions").alias("f"), F.sum("reached").alias("r")).first()
+    share = 100.0 * (n["r"] or 0) / n["f"] if n["f"] else 0.0
+    return int(min(share / full, 1.0) * 100 + 0.5)
+
+
 def triage(findings: DataFrame) -> DataFrame:
     """findings with route: auto_fix, ai_review or human."""
     return findings.withColumn("route", F.when(F.col("auto_fixable") & (F.col("confidence") >= 0.85), "auto_fix").when(F.col("confidence") >= 0.5, "ai_review").otherwise("human"))

@@ -1,30 +1,83 @@
-"""Graph operators over edge tables (src, dst)."""
+"""Graph operators over edge tables (src, dst).
+
+Rounds over tables hold for graphs of any size.  A graph of at most SMALL edges, which
+is counted first, is worked on by one task instead (localgraph.py), with the same result.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulint.operators import localgraph
 from tabulint.plans.durable import saved
 
+#: Edges and further nodes that one task takes: some tens of MB.
+SMALL = 500_000
+
+
+def is_small(*tables: DataFrame) -> bool:
+    """Whether saved tables together have at most SMALL rows."""
+    return sum(t.count() for t in tables) <= SMALL
+
+
+def in_one_task(nodes: DataFrame, edges: DataFrame, work, column: str, kind: str) -> DataFrame:
+    """(node, column): what work(n, src, dst, marked, shares) gives each node as a
+    number, null to leave the node out.  Edges (src, dst[, share]) and nodes (node) go to
+    one task, which numbers all names in order.  kind: the column's type, or `node` if its
+    numbers are nodes."""
+    name = edges.schema["src"].dataType.simpleString()
+    share = F.col("share") if "share" in edges.columns else F.lit(1.0)
+    rows = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), share.cast("double").alias("share"))
+    rows = rows.unionAll(nodes.select(F.col("node").cast(name).alias("a"), F.lit(None).cast(name).alias("b"), F.lit(None).cast("double").alias("share")).filter("a is not null"))
+
+    def run(parts):
+        got = pa.Table.from_batches(parts, schema=None) if (parts := [*parts]) else None
+        if got is None:
+            return
+        a, b, shares = (got.column(c).combine_chunks() for c in ("a", "b", "share"))
+        every = pc.unique(pa.concat_arrays([a, b.drop_null()]))
+        every = every.take(pc.sort_indices(every))
+        number = lambda x: pc.index_in(x, every).to_numpy(zero_copy_only=False).astype(np.int64)
+        edge = pc.is_valid(b)
+        marked = number(a.filter(pc.invert(edge)))
+        out = work(len(every), number(a.filter(edge)), number(b.filter(edge)), marked, shares.filter(edge).to_numpy(zero_copy_only=False)).astype(np.float64)
+        keep = np.flatnonzero(~np.isnan(out))
+        value = every.take(pa.array(out[keep].astype(np.int64))) if kind == "node" else pa.array(out[keep] if kind == "double" else out[keep].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([every.take(pa.array(keep)), value], names=["node", column])
+
+    return rows.coalesce(1).mapInArrow(run, f"node {name}, {column} {name if kind == 'node' else kind}")
+
 
 def reachable(seeds: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(node, depth): nodes reached from the seeds (node), by breadth.
 
     Each round joins the frontier with the edges and takes off what is known; the
-    frontier is written to the shared folder, so lineage stays short.
+    frontier is written to the shared folder, so lineage stays short.  An error if
+    `most_rounds` do not do.
     """
-    e = edges.select("src", "dst").distinct()
+    kind = seeds.schema["node"].dataType
+    e = saved(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges")
     frontier = saved(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
+    if is_small(e, frontier):
+
+        def work(n, src, dst, marked, _):
+            d = localgraph.depths(n, src, dst, marked).astype(np.float64)
+            return np.where(d < 0, np.nan, d)
+
+        return in_one_task(frontier, e, work, "depth", "int").select(F.col("node").cast(kind).alias("node"), "depth")
     known = frontier
     for d in range(1, most_rounds + 1):
         step = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = saved(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "reach")
         if frontier.isEmpty():
-            break
+            return known
         known = known.unionAll(frontier)
-    return known
+    raise RuntimeError(f"more than {most_rounds} steps from the seeds")
 
 
 def impact(targets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,8 +88,11 @@ def impact(targets: DataFrame, edges: DataFrame) -> DataFrame:
 def bounded_paths(entries: DataFrame, edges: DataFrame, sinks: DataFrame, most_depth: int = 6, most_rows: int | None = 300) -> DataFrame:
     """(entry, sink, depth, path): a shortest path of at most `most_depth` edges
     from each entry to each sink, the least one among equals.  Sinks are leaves.
-    most_rows keeps the first by (entry, sink), as a report does."""
-    e = edges.select("src", "dst").distinct()
+    most_rows keeps the first by (entry, sink), as a report does.  Only edges that lead
+    to a sink in as many steps are walked."""
+    e = saved(edges.select("src", "dst").distinct(), "edges")
+    useful = impact(sinks.select("node"), e).filter(F.col("depth") <= most_depth).select("node").unionAll(sinks.select("node")).distinct()
+    e = saved(e.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi"), "edges")
     leaf = sinks.select(F.col("node").alias("sink"))
     seen = saved(entries.select(F.col("node").alias("entry"), "node", F.array("node").alias("path")).distinct(), "paths")
     front, found = seen, None
@@ -61,15 +117,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     e = edges.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("k"))
     out = e.groupBy("src").agg(F.sum("k").alias("deg"))
     share = saved(e.join(out, "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("share")), "edges")
-    base = nodes.select("node").distinct()
+    base = saved(nodes.select("node").distinct(), "nodes")
     n = base.count()
+    if is_small(share, base):
+
+        def work(every, src, dst, _, shares):
+            return localgraph.pagerank(every, src, dst, shares, damping, rounds)
+
+        return in_one_task(base, share, work, "rank", "double").select(F.col("node").cast(nodes.schema["node"].dataType).alias("node"), "rank")
     rank = saved(base.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank")), "ranks")
-    for k in range(rounds):
+    for _ in range(rounds):
         # one number a round; as a part of the plan it would double the plan each time
         lost = rank.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
         got = rank.join(share, rank["node"] == share["src"]).select(F.col("dst").alias("node"), (damping * F.col("rank") * F.col("share")).alias("x"), F.lit(None).cast("boolean").alias("dangling"))
-        base = rank.select("node", F.lit((1 - damping) / max(n, 1) + damping * lost / max(n, 1)).alias("x"), "dangling")
-        rank = saved(base.unionAll(got).groupBy("node").agg(F.max("dangling").alias("dangling"), F.sum("x").alias("rank")), "ranks")
+        every = rank.select("node", F.lit((1 - damping) / max(n, 1) + damping * lost / max(n, 1)).alias("x"), "dangling")
+        rank = saved(every.unionAll(got).groupBy("node").agg(F.max("dangling").alias("dangling"), F.sum("x").alias("rank")), "ranks")
     return rank.select("node", "rank")
 
 
@@ -78,14 +140,33 @@ def strong_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200
 
     Colouring: every open node takes the greatest label that reaches it; within a
     colour, what reaches the colour's root backwards is its component; the rest
-    goes into the next round.
+    goes into the next round.  Before each, nodes without an edge in or without one
+    out are named, as they are alone.  An error if `most_rounds` do not do.
     """
+    kind = nodes.schema["node"].dataType
     left = saved(nodes.select("node").distinct(), "open")
     live = saved(edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
+    if is_small(left, live):
+
+        def work(n, src, dst, marked, _):
+            out = np.full(n, np.nan)
+            out[marked] = localgraph.components(n, src, dst)[marked]
+            return out
+
+        return in_one_task(left, live, work, "component", "node").select(F.col("node").cast(kind).alias("node"), F.col("component").cast(kind).alias("component"))
     done = None
-    for _ in range(most_rounds):
+    for r in range(most_rounds + 1):
         if left.isEmpty():
             break
+        if r == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        inner = live.select(F.col("src").alias("node")).distinct().intersect(live.select(F.col("dst").alias("node")).distinct())
+        alone = saved(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")), "components")
+        if not alone.isEmpty():
+            done = alone if done is None else done.unionAll(alone)
+            left = saved(left.join(alone, "node", "left_anti"), "open")
+            live = saved(live.join(left.withColumnRenamed("node", "src"), "src").join(left.withColumnRenamed("node", "dst"), "dst").select("src", "dst"), "edges")
+            continue
         colour = saved(left.withColumn("colour", F.col("node")), "colours")
         while True:
             pushed = live.join(colour, live["src"] == colour["node"]).select(F.col("dst").alias("node"), "colour")
@@ -113,6 +194,14 @@ def layers(components: DataFrame, edges: DataFrame, most_rounds: int = 1000) ->
     c = components
     across = edges.join(c.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").filter("a <> b").select("a", "b").distinct()
     across = saved(across, "edges")
+    if is_small(across, saved(c.select("component").distinct(), "components")):
+        kind = c.schema["component"].dataType
+
+        def work(n, src, dst, *_):
+            return localgraph.layers(n, src, dst)
+
+        lone = c.select(F.col("component").alias("node")).distinct()
+        return in_one_task(lone, across.select(F.col("a").alias("src"), F.col("b").alias("dst")), work, "layer", "int").select(F.col("node").cast(kind).alias("component"), "layer")
     layer = saved(c.select("component").distinct().withColumn("layer", F.lit(0)), "layers")
     for _ in range(most_rounds):
         push = across.join(layer, across["a"] == layer["component"]).select(F.col("b").alias("component"), (F.col("layer") + 1).alias("layer"))
@@ -120,8 +209,8 @@ def layers(components: DataFrame, edges: DataFrame, most_rounds: int = 1000) ->
         same = new.join(layer, ["component", "layer"], "left_anti").isEmpty()
         layer = new
         if same:
-            break
-    return layer
+            return layer
+    raise RuntimeError(f"a path of more than {most_rounds} components")
 
 
 def coupling(edges: DataFrame) -> DataFrame:
@@ -221,6 +310,22 @@ def per_component(edges: DataFrame, what: str, rounds: int = 20) -> DataFrame:
     return rows.groupBy("root").applyInPandas(community, f"node {kind}, community {kind}")
 
 
+def analysed(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The whole analysis of a directed graph, edges from a node to itself left out:
+    coupling, rank, components, cycles, layers with the longest path (`depth`, one row),
+    articulation points, communities, and the edges that lead from a layer to a higher
+    one (violations)."""
+    real = saved(edges.filter("src <> dst").select("src", "dst"), "edges")
+    parts = saved(strong_components(nodes, real), "components")
+    levels = saved(layers(parts, real), "layers")
+    of = lambda c: parts.join(levels, "component").select(F.col("node").alias(c), F.col("layer").alias(f"{c}_layer"))
+    across = real.distinct().join(of("src"), "src").join(of("dst"), "dst").filter("src_layer <> dst_layer")
+    return {
+        "coupling": coupling(real), "rank": pagerank(nodes, real), "components": parts, "cycles": cycles(parts), "layers": levels, "depth": levels.agg(F.coalesce(F.max("layer") + 1, F.lit(0)).alias("depth")),
+        "violations": across, "articulation": per_component(real, "articulation"), "communities": per_component(real, "community"),
+    }
+
+
 def heaviest(edges: DataFrame, k: int) -> DataFrame:
     """The k heaviest distinct edges with their multiplicity."""
     return edges.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).orderBy(F.desc("weight"), "src", "dst").limit(k)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulint.functions.scalar import affected, path_pattern, without_api_prefix
+from tabulint.functions.scalar import affected, last_segment, path_pattern, without_api_prefix
 
 #: The verbs that a route for any verb stands for.
 VERBS = ("get", "post", "put", "patch", "delete")
@@ -20,14 +20,16 @@ def candidates(symbols: DataFrame, name: Column, group: Column, order: list[str]
 
 
 def resolve(calls: DataFrame, symbols: DataFrame, tiers: list[tuple[Column, Column]], order: list[str]) -> DataFrame:
-    """calls (call_id, name, group) with `target` and `tier`: the first tier that
-    decides.  A tier is (key of a call, key of a symbol); it decides if one symbol
-    has the key, or else just one symbol of the call's own group.
+    """calls (call_id, name, group[, owner]) with `target` and `tier`: the first tier
+    that decides.  A tier is (key of a call, key of a symbol); it decides if one symbol
+    has the key, or else just one symbol of the call's own group.  `owner`: what else of
+    a call a key may name, as the class around it.
 
-    Keys are looked up once per distinct (name, group), and every tier's symbols
-    are reduced to a row per key first, so a common name does not multiply rows.
+    Keys are looked up once per distinct call, and every tier's symbols are reduced to a
+    row per key first, so a common name does not multiply rows.
     """
-    asked = calls.select("name", "group").distinct()
+    by = [c for c in ("name", "group", "owner") if c in calls.columns]
+    asked = calls.select(*by).distinct()
     picks = []
     for i, (call_key, symbol_key) in enumerate(tiers):
         local = candidates(symbols, symbol_key, F.col("group"), order).withColumnRenamed("name", "key")
@@ -36,8 +38,44 @@ def resolve(calls: DataFrame, symbols: DataFrame, tiers: list[tuple[Column, Colu
         asked = asked.withColumn(f"t{i}", F.when(F.col("n") == 1, F.col("only")).when(F.col("n_local") == 1, F.col("local_id"))).drop("key", "n", "only", "n_local", "local_id")
         picks.append(f"t{i}")
     tier = F.coalesce(*[F.when(F.col(p).isNotNull(), F.lit(i)) for i, p in enumerate(picks)])
-    decided = asked.select("name", "group", F.coalesce(*picks).alias("target"), tier.alias("tier"))
-    return calls.join(decided, ["name", "group"], "left")
+    decided = asked.select(*[F.col(c).alias(f"__{c}") for c in by], F.coalesce(*picks).alias("target"), tier.alias("tier"))
+    same = [calls[c].eqNullSafe(decided[f"__{c}"]) for c in by]
+    return calls.join(decided, same, "left").drop(*[f"__{c}" for c in by])
+
+
+#: How a call names its own object or class.
+OWN = r"^(\$this->|this\.|self\.|self::|Self::|static::|parent::|super\.)"
+
+
+def with_class(symbols: DataFrame) -> DataFrame:
+    """symbols (id, kind, parent_id) with class_id: a class itself, else the symbol's
+    parent."""
+    return symbols.withColumn("class_id", F.when(F.col("kind") == "Class", F.col("id")).otherwise(F.col("parent_id")))
+
+
+def method_tiers(symbols: DataFrame) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """(symbols with the keys of the tiers, tiers for resolve()) of object-oriented
+    code: a method of the class around the call, named by way of the object itself; a
+    method of a class named in the call, where one class only has that name; then the
+    full name, the name, what follows the last separator, and the last two parts.
+
+    symbols: (id, name, full_name, kind, parent_id, group, line_start); calls carry
+    `owner`, the id of the class around them."""
+    classes = symbols.filter("kind = 'Class'").groupBy("name").agg(F.count("*").alias("k"), F.min("id").alias("parent_id")).filter("k = 1").select("parent_id", F.col("name").alias("class_name"))
+    s = symbols.join(classes, "parent_id", "left")
+    last = last_segment(F.col("name"))
+    parts = lambda c: F.split(F.regexp_replace(c, r"->|\\|\.", "::"), "::")
+    two = lambda c: F.when(F.size(parts(c)) > 1, F.array_join(F.slice(parts(c), -2, 2), "::"))
+    method = F.col("kind") == "Method"
+    tiers = [
+        (F.when(F.col("name").rlike(OWN), F.concat_ws("#", "owner", last)), F.when(method, F.concat_ws("#", "parent_id", "name"))),
+        (F.when(F.size(parts(F.col("name"))) == 2, two(F.regexp_replace("name", r"^\$", ""))), F.when(method, F.concat_ws("::", "class_name", "name"))),
+        (F.col("name"), F.col("full_name")),
+        (F.col("name"), F.col("name")),
+        (last, F.col("name")),
+        (two(F.col("name")), two(F.col("full_name"))),
+    ]
+    return s, tiers
 
 
 def link_endpoints(calls: DataFrame, routes: DataFrame) -> DataFrame:
@@ -66,15 +104,16 @@ def enclosing(points: DataFrame, spans: DataFrame, group: str, at: str, start: s
     spans cover nothing); ties go to the earliest start, end, then the least id.
 
     A range join: both sides are cut into bins of `bin_size`, so it is an equi-join
-    on (group, bin), and a long span stands in the bins it covers only.
+    on (group, bin), and a long span stands in the bins it covers only.  A point without
+    a group or a place has no span.
     """
     b = lambda c: F.floor(F.col(c) / bin_size)
-    s = spans.filter(F.col(end) >= F.col(start)).select(F.col(group).alias("__g"), start, end, span_id, F.explode(F.sequence(b(start), b(end))).alias("__bin"))
-    p = points.withColumn("__bin", b(at))
-    inside = p.join(s, (p[group] == s["__g"]) & (p["__bin"] == s["__bin"]) & (p[at] >= s[start]) & (p[at] <= s[end]))
-    keys = points.columns
-    best = inside.groupBy(*keys).agg(F.min(F.struct((F.col(end) - F.col(start)).alias("w"), start, end, span_id)).alias("b"))
-    return points.join(best.select(*keys, F.col(f"b.{span_id}").alias("span")), keys, "left")
+    s = spans.filter(F.col(end) >= F.col(start)).select(F.col(group).alias("__g"), F.struct((F.col(end) - F.col(start)).alias("w"), F.col(start).alias("a"), F.col(end).alias("z"), F.col(span_id).alias("id")).alias("__s"), F.explode(F.sequence(b(start), b(end))).alias("__bin"))
+    # the narrowest span is looked for once per distinct place
+    places = points.select(F.col(group).alias("__g"), F.col(at).alias("__at")).distinct().withColumn("__bin", b("__at"))
+    inside = places.join(s, ["__g", "__bin"]).filter((F.col("__at") >= F.col("__s.a")) & (F.col("__at") <= F.col("__s.z")))
+    best = inside.groupBy("__g", "__at").agg(F.min("__s").alias("__b"))
+    return points.join(best, (points[group] == best["__g"]) & (points[at] == best["__at"]), "left").select(*points.columns, F.col("__b.id").alias("span"))
 
 
 def suppress(findings: DataFrame, sites: DataFrame, file: str = "file", line: str = "line") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -110,6 +149,16 @@ def lookup(symbols: DataFrame, query: str, full: str = "full_name", name: str =
     return hit.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best")
 
 
+def lookup_one(symbols: DataFrame, query: str, most: int = 10, full: str = "full_name", name: str = "name") -> DataFrame:
+    """The one symbol that lookup() finds; an error that lists the first ones if there
+    are several, or if there is none."""
+    found = lookup(symbols, query, full, name)
+    first = [r[full] for r in found.orderBy(full).limit(most + 1).collect()]
+    if len(first) != 1:
+        raise LookupError(f"{query!r} names no symbol" if not first else f"{query!r} may be any of {', '.join(first[:most])}" + " and more" * (len(first) > most))
+    return found
+
+
 def deoverlapped(spans: DataFrame, group: str, start: str = "start", end: str = "end") -> DataFrame:
     """Spans of a group merged where they overlap: gaps and islands by a running
     maximum of the ends before."""

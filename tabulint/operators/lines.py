@@ -90,26 +90,74 @@ def capped(hits: DataFrame, group: list[str], order: list[str], most: int) -> Da
     return hits.withColumn("rank", F.row_number().over(w)).withColumn("more", F.when(F.col("rank") == 1, F.greatest(n - most, F.lit(0))).otherwise(F.lit(0))).filter(F.col("rank") <= most)
 
 
-def line_kinds(rows: DataFrame, family: Column, path: str = "path") -> DataFrame:
-    """rows (path, ln, line) with `what`: code, comment or blank.  family: `slash`
-    (// and /* */), `hash` (#) or anything else, of which all lines are code.
-
-    Block comments go on over lines: a running count of their openings and
-    closings tells which lines begin inside one.  Comment marks inside string
-    literals are cut out first.
+#: How a language writes comments: `c` for // and /* */, with `'` where single quotes
+#: hold strings and `#` where that opens a line comment too; `hash` for # at the start of
+#: a line alone.  In any other language all lines that are not blank are code.
+SYNTAX = {
+    **dict.fromkeys(("Rust", "Go", "Java"), "c"),
+    **dict.fromkeys(("JavaScript", "TypeScript"), "c'"),
+    **dict.fromkeys(("Php", "PHP", "Terraform"), "c'#"),
+    **dict.fromkeys(("Python", "Yaml", "Kubernetes", "Docker", "Dockerfile"), "hash"),
+}
+
+
+def comment_syntax(lang: Column) -> Column:
+    """The syntax of a language's comments, `none` if none is known."""
+    known = F.create_map(*[F.lit(x) for pair in SYNTAX.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, lang), F.lit("none"))
+
+
+def _tokens(quotes: str, marks: str) -> tuple[str, str]:
+    """(pattern of a string or a comment, pattern of a line that leaves a block comment
+    open), for scanning from outside of any comment."""
+    strings = "|".join(rf"{q}(?:\\.|[^{q}\\])*+(?:{q}|\\?$)" for q in quotes)
+    block = r"/\*(?:(?!\*/).)*+"
+    line = "|".join([r"//.*", *(f"{m}.*" for m in marks)])
+    other = rf"[^{quotes}/{marks}]|/(?![/*])"
+    return rf"({strings})|{line}|{block}(?:\*/|$)", rf"^(?:{strings}|{block}\*/|{other})*+/\*"
+
+
+def _outside(line: Column, syntax: Column) -> tuple[Column, Column]:
+    """(whether a line holds code, whether it leaves a block comment open), if it
+    starts outside of one."""
+    code, opens = F.lit(True), F.lit(False)
+    for name, quotes, marks in (("c", '"', ""), ("c'", "\"'", ""), ("c'#", "\"'", "#")):
+        token, left_open = _tokens(quotes, marks)
+        code = F.when(syntax == name, F.regexp_replace(line, token, "$1").rlike(r"\S")).otherwise(code)
+        opens = F.when(syntax == name, line.rlike(left_open)).otherwise(opens)
+    return code, opens
+
+
+def line_kinds(rows: DataFrame, syntax: Column, path: str = "path") -> DataFrame:
+    """rows (path, ln, line) with `what`: code, comment or blank.  syntax: as in SYNTAX,
+    from comment_syntax().
+
+    A line that holds anything beside comments is code; strings are code, and what
+    stands in them opens no comment.  A line takes the state before it (inside a block
+    comment or not) to the one after it; both cases are read off the line alone, and the
+    state before a line follows from windows: the last line that ends the same way
+    whatever its start, turned over by the lines since that turn the state over.
     """
-    bare = F.regexp_replace(F.col("line"), r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`""", "''")
-    trimmed = F.trim(bare)
-    opened = F.regexp_count(F.regexp_replace(bare, r"/\*.*?\*/", ""), F.lit(r"/\*")).cast("int")
-    closed = F.regexp_count(F.regexp_replace(bare, r"/\*.*?\*/", ""), F.lit(r"\*/")).cast("int")
-    before = W.partitionBy(path).orderBy("ln").rowsBetween(W.unboundedPreceding, -1)
-    inside = (family == "slash") & (F.coalesce(F.sum(opened - closed).over(before), F.lit(0)) > 0)
-    left = F.when(inside, F.when(bare.contains("*/"), F.regexp_replace(bare, r"^.*?\*/", "")).otherwise(F.lit(""))).otherwise(bare)
-    code = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(left, r"/\*.*?\*/", ""), r"//.*$", ""), r"/\*.*$", "")) != ""
-    what = (
-        F.when(F.trim(F.col("line")) == "", "blank")
-        .when(family == "hash", F.when(trimmed.startswith("#"), "comment").otherwise("code"))
-        .when(family == "slash", F.when(code, "code").otherwise("comment"))
-        .otherwise("code")
-    )
-    return rows.withColumn("what", what)
+    line = F.col("line")
+    blank = line.rlike(r"^\s*$")
+    closing = F.instr(line, "*/")
+    rest = F.when(closing > 0, F.substr(line, closing + F.lit(2))).otherwise(F.lit(""))
+    code, opens = _outside(line, syntax)
+    code_after, opens_after = _outside(rest, syntax)
+    block = syntax.startswith("c") & ~blank
+    r = rows.withColumns({
+        "__code0": F.when(syntax == "hash", ~line.rlike(r"^\s*#")).otherwise(code),
+        "__code1": (closing > 0) & code_after,
+        "__end0": F.when(block, opens.cast("int")).otherwise(0),
+        "__end1": F.when(block, F.when(closing > 0, opens_after.cast("int")).otherwise(1)).otherwise(1),
+    })
+    turns = ((F.col("__end0") == 1) & (F.col("__end1") == 0)).cast("int")
+    ordered = W.partitionBy(path).orderBy("ln")
+    upto, before = ordered.rowsBetween(W.unboundedPreceding, 0), ordered.rowsBetween(W.unboundedPreceding, -1)
+    r = r.withColumn("__turns", F.sum(turns).over(upto))
+    settled = F.when(F.col("__end0") == F.col("__end1"), F.struct(F.col("__end0").alias("end"), F.col("__turns").alias("turns")))
+    r = r.withColumn("__last", F.last(settled, ignorenulls=True).over(before)).withColumn("__prior", F.lag("__turns", 1, 0).over(ordered))
+    inside = (F.coalesce(F.col("__last.end"), F.lit(0)) + F.col("__prior") - F.coalesce(F.col("__last.turns"), F.lit(0))) % 2 == 1
+    has_code = F.when(inside & syntax.startswith("c"), F.col("__code1")).otherwise(F.col("__code0"))
+    out = r.withColumn("what", F.when(blank, "blank").when(has_code, "code").otherwise("comment"))
+    return out.drop("__code0", "__code1", "__end0", "__end1", "__turns", "__last", "__prior")

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulint.operators.detectors import guarded
 from tabulint.plans.durable import saved
 
 # External input, sanitizers and sinks by language.
@@ -114,6 +115,14 @@ def fold(lines: list[str], lang: str, returning: frozenset[str]) -> list[tuple]:
     return out
 
 
+def safe_fold(lines: list[str], lang: str, returning: frozenset[str]) -> list[tuple]:
+    """fold(), without rows for a file that it cannot read: one file stops no other."""
+    try:
+        return fold(lines, lang, returning)
+    except Exception:  # noqa: BLE001
+        return []
+
+
 def scan(files: DataFrame, returning: frozenset[str] = frozenset()) -> DataFrame:
     """The fold's rows for files (path, lang, text)."""
     import pandas as pd
@@ -122,10 +131,10 @@ def scan(files: DataFrame, returning: frozenset[str] = frozenset()) -> DataFrame
 
     def run(parts):
         for p in parts:
-            rows = [(path, *r) for path, lang, text in zip(p["path"], p["lang"], p["text"]) for r in fold((text or "").splitlines(), LANGUAGES[lang], returning)]
+            rows = [(path, *r) for path, lang, text in zip(p["path"], p["lang"], p["text"]) for r in safe_fold((text or "").splitlines(), LANGUAGES[lang], returning)]
             yield pd.DataFrame(rows, columns=columns).astype({"ln": "int32"})
 
-    return files.filter(F.col("lang").isin(*LANGUAGES)).select("path", "lang", "text").mapInPandas(run, OUT)
+    return files.filter(F.col("lang").isin(*LANGUAGES) & guarded(F.col("path"))).select("path", "lang", "text").mapInPandas(run, OUT)
 
 
 def findings(files: DataFrame, most_returning: int = 100_000) -> DataFrame:

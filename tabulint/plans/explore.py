@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +60,17 @@ def audit(findings: DataFrame, least: str | None = None, most: int = 100, change
     return out.orderBy(severity_rank(F.col("severity")).desc(), "file", "line", "kind").limit(most)
 
 
+def limited(rows: DataFrame, order: list, most: int) -> tuple[DataFrame, int]:
+    """(the first rows, how many there are in all)."""
+    return rows.orderBy(*order).limit(most), rows.count()
+
+
 def relevance(findings: DataFrame, impacts: DataFrame, objectives: list[str], signed: bool = False) -> DataFrame:
     """findings with relevance: the weights of the objectives they hurt, less those
     they help if signed; findings of no weight go."""
     w = F.when(F.col("direction") == "Hurts", F.col("weight")).otherwise(-F.col("weight") if signed else F.lit(0))
     per = impacts.filter(F.col("objective").isin(*objectives)).groupBy("kind").agg(F.sum(w).alias("relevance"))
-    return findings.join(F.broadcast(per), "kind").filter("relevance <> 0")
+    return findings.join(per, "kind").filter("relevance <> 0")
 
 
 def promoted(http_calls: DataFrame, candidates: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -98,8 +105,9 @@ def renamed(files: DataFrame, lines: DataFrame, old: str, new: str) -> DataFrame
     and only where it stands as a whole word."""
     numbered = files.select("path", F.posexplode(F.split("text", "\n")).alias("ln", "line")).withColumn("ln", F.col("ln") + 1)
     marked = numbered.join(lines.select("path", "ln", F.lit(True).alias("hit")).distinct(), ["path", "ln"], "left")
-    word = rf"(?<![A-Za-z0-9_$]){old}(?![A-Za-z0-9_])"
-    done = marked.withColumn("line", F.when(F.col("hit"), F.regexp_replace("line", word, new)).otherwise(F.col("line")))
+    word = rf"(?<![A-Za-z0-9_$]){re.escape(old)}(?![A-Za-z0-9_])"
+    by = re.sub(r"([\\$])", r"\\\1", new)  # in a replacement these two have a meaning
+    done = marked.withColumn("line", F.when(F.col("hit"), F.regexp_replace("line", word, by)).otherwise(F.col("line")))
     return done.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 

@@ -112,6 +112,69 @@ def python_facts(path: str, text: str) -> list[dict]:
     return f.rows
 
 
+def signature(lines: list[str], at: int, most: int = 30) -> str:
+    """A line and those after it until its parentheses are closed."""
+    out, depth = [], 0
+    for line in lines[at : at + most]:
+        out.append(line.strip() if out else line.rstrip())
+        depth += line.count("(") - line.count(")")
+        if depth <= 0:
+            break
+    return " ".join(out)
+
+
+# Annotations and macros that register routes, with their verbs.
+_SPRING = re.compile(r"@(Get|Post|Put|Patch|Delete|Request)Mapping\b(?:\s*\(([^)]*)\))?")
+_JAX = re.compile(r"@(GET|POST|PUT|DELETE|PATCH)\b")
+_JAX_PATH = re.compile(r"@Path\s*\(\s*\"([^\"]*)\"")
+_MACRO = re.compile(r"#\[\s*(?:\w+::)?(get|post|put|patch|delete)\s*\(\s*\"([^\"]*)\"")
+_AXUM = re.compile(r"\.route\s*\(\s*\"([^\"]*)\"\s*,\s*(.*)")
+_GO_VERB = re.compile(r"\b\w+\.(GET|POST|PUT|PATCH|DELETE|Get|Post|Put|Patch|Delete)\s*\(\s*\"(/[^\"]*)\"")
+_GO_HANDLE = re.compile(r"\b\w+\.(?:HandleFunc|Handle)\s*\(\s*\"(?:(GET|POST|PUT|PATCH|DELETE)\s+)?(/[^\"]*)\"")
+
+
+def joined(*parts: str) -> str:
+    return "/" + "/".join(p.strip("/") for p in parts if p.strip("/"))
+
+
+def web_routes(lang: str, text: str) -> list[tuple[str, str, int]]:
+    """(verb, path, line) of the routes that annotations, attributes or calls of web
+    libraries register in Java, Rust and Go sources.  In Java the path of a class, on
+    the annotations above it, goes before those of its methods."""
+    out: list[tuple[str, str, int]] = []
+    lines = text.splitlines()
+    base, waiting = "", []
+    for ln, raw in enumerate(lines, 1):
+        line = signature(lines, ln - 1) if raw.count("(") > raw.count(")") else raw
+        if line.lstrip().startswith(("//", "*", "/*")):
+            continue
+        if lang == "Rust":
+            out += [(m[1], m[2], ln) for m in _MACRO.finditer(line)]
+            if m := _AXUM.search(line):
+                out += [(v, m[1], ln) for v in re.findall(r"\b(get|post|put|patch|delete|any)\s*\(", m[2])]
+        elif lang == "Go":
+            out += [(m[1].lower(), m[2], ln) for m in _GO_VERB.finditer(line)]
+            out += [((m[1] or "any").lower(), m[2], ln) for m in _GO_HANDLE.finditer(line)]
+        elif lang == "Java":
+            if m := _SPRING.search(line):
+                args = m[2] or ""
+                paths = re.findall(r"\"([^\"]*)\"", re.sub(r"(produces|consumes|params|headers|name)\s*=\s*(\{[^}]*\}|\"[^\"]*\")", "", args)) or [""]
+                verbs = [m[1].lower()] if m[1] != "Request" else [v.lower() for v in re.findall(r"RequestMethod\.(\w+)|\b(?:method\s*=\s*)(GET|POST|PUT|PATCH|DELETE)", args) for v in v if v] or ["any"]
+                waiting += [("spring", v, p, ln) for v in verbs for p in paths]
+            if m := _JAX.search(line):
+                waiting.append(("verb", m[1].lower(), "", ln))
+            if m := _JAX_PATH.search(line):
+                waiting.append(("path", "", m[1], ln))
+            if re.search(r"\b(class|interface|record)\s+\w+", line):
+                base = next((p for k, _, p, _ in waiting if k in ("spring", "path")), "")
+                waiting = []
+            elif waiting and not line.lstrip().startswith("@") and "(" in line:
+                path = next((p for k, _, p, _ in waiting if k == "path"), "")
+                out += [(v, joined(base, p if k == "spring" else path), at) for k, v, p, at in waiting if k != "path"]
+                waiting = []
+    return out
+
+
 def pattern_facts(path: str, lang: str, text: str, offset: int = 0) -> list[dict]:
     f, lines = Facts(path, lang), text.splitlines()
     stack: list[tuple[dict, int]] = []
@@ -120,8 +183,9 @@ def pattern_facts(path: str, lang: str, text: str, offset: int = 0) -> list[dict
         if raw.lstrip().startswith(("//", "*", "#!", "/*")) or len(raw) > 10_000:
             continue
         declared = None
+        whole = signature(lines, ln - 1) if raw.count("(") > raw.count(")") else raw
         for kind, p in _PATTERNS[lang]:
-            m = p.search(raw)
+            m = p.search(whole)
             if not m:
                 continue
             owner = next((s for s, _ in reversed(stack) if s["kind"] == "Class"), None)
@@ -148,6 +212,17 @@ def pattern_facts(path: str, lang: str, text: str, offset: int = 0) -> list[dict
         while stack and depth <= stack[-1][1] and (closed or opened):
             stack[-1][0]["line_end"] = ln
             stack.pop()
+    if lang in ("Java", "Rust", "Go"):
+        own = [r for r in f.rows if r["rel"] == "symbol" and r["kind"] != "Class"]
+        f.rows[:] = [r for r in f.rows if r["rel"] != "route"]
+        for verb, route, ln in web_routes(lang, text):
+            # the function whose declaration follows the annotation, or around the call
+            after = next((r for r in own if r["line_start"] >= ln and r["line_start"] - ln <= 5), None) if lang != "Go" else None
+            around = next((r for r in reversed(own) if r["line_start"] <= ln <= r["line_end"]), None)
+            handler = after or around
+            if after:
+                after["is_entry_point"] = True
+            f.put("route", verb=verb, route=route, line_start=ln, caller_id=handler and handler["id"])
     for row in f.rows:
         if row["rel"] == "symbol":
             f.finish(row, lines)
@@ -219,6 +294,14 @@ def framework_routes(text: str, prefix: str = "") -> list[tuple[str, str, list[s
     return out
 
 
+def safe_routes(path: str, text: str) -> list[tuple[str, str, list[str], int]]:
+    """framework_routes() of a file under its own prefix, none if it cannot be read."""
+    try:
+        return framework_routes(text, "api" if path.endswith("api.php") else "")
+    except Exception:  # noqa: BLE001
+        return []
+
+
 def facts(path: str, lang: str, text: str) -> list[dict]:
     try:
         if lang == "Python":
@@ -226,7 +309,7 @@ def facts(path: str, lang: str, text: str) -> list[dict]:
         if path.lower().endswith((".html", ".htm")):
             return html_facts(path, text)
         return pattern_facts(path, lang, text) if lang in _PATTERNS else []
-    except (SyntaxError, ValueError, RecursionError):
+    except Exception:  # noqa: BLE001  one file stops no other
         return [dict.fromkeys(FIELDS) | {"rel": "failure", "path": path, "lang": lang, "name": "ParseFailure", "seq": 0}]
 
 

@@ -27,24 +27,57 @@ def language(path: Column) -> Column:
     return F.coalesce(by_ext, infra)
 
 
+def is_kept(rel: Column, exclude: tuple[str, ...] = ()) -> Column:
+    """Whether a relative path is read: no build output, no minified script, no view
+    template, none of the parts to exclude."""
+    keep = ~rel.rlike(SKIPPED) & ~rel.rlike(r"\.min\.(js|css)$") & ~rel.endswith(".blade.php")
+    for part in exclude:
+        keep = keep & ~rel.contains(part)
+    return keep
+
+
+def readable(content: Column) -> Column:
+    """Bytes as text; lines that are not UTF-8 become empty."""
+    text = content.cast("string")
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.is_valid_utf8(x), x).otherwise(F.lit("")))
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.array_join(lines, "\n"))
+
+
+def hidden_text(spark: SparkSession, root: str, name: str) -> str | None:
+    """Text of a file that Spark's readers pass over for its name; None without one."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root, name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def read_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """files (path, file_id, lang, size_bytes, hash, text) of a tree by any Hadoop
-    path.  Paths and lengths are listed first, without the contents, so that
-    skipped files are never read; then binary and minified ones are dropped."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """files (path, file_id, lang, size_bytes, hash, text) of a tree by any Hadoop path.
+
+    Paths and lengths are listed first, without the contents; filters on paths, size and
+    the tree's own .gitignore leave the paths that are then read, so that nothing else
+    is.  Binary and minified files are dropped by their contents.  The driver holds the
+    paths of a tree, as Spark's own listing does; like that it passes over hidden files."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + base.split("://")[-1].replace(".", r"\."), "")
     rel = F.regexp_replace(path, "^/+", "")
-    listed = raw.filter(F.col("length") <= LARGEST).withColumn("rel", rel)
-    keep = ~F.col("rel").rlike(SKIPPED) & ~F.col("rel").rlike(r"\.min\.(js|css)$") & ~F.col("rel").endswith(".blade.php")
-    for part in exclude:
-        keep = keep & ~F.col("rel").contains(part)
-    files = listed.filter(keep).withColumn("lang", language(F.col("rel")))
+    patterns = (hidden_text(spark, root, ".gitignore") or "").splitlines()
+    kept = listing.filter(F.col("length") <= LARGEST).select("path", rel.alias("rel"))
+    names = [r["path"] for r in kept.filter(is_kept(F.col("rel"), exclude)).collect() if not ignored(r["rel"], patterns)]
+    raw = spark.read.format("binaryFile").load(names) if names else listing.limit(0)
+    files = raw.withColumn("rel", rel).withColumn("lang", language(F.col("rel")))
     head = F.decode(F.substring("content", 1, 8192), "ISO-8859-1")
-    text = F.decode("content", "UTF-8")
-    longest = F.array_max(F.transform(F.split(F.substring(text, 1, 65536), "\n"), F.length))
-    files = files.filter(F.instr(head, "\u0000") == 0).withColumn("text", text)
-    files = files.filter(~(F.col("lang").isin("JavaScript", "TypeScript") & (longest > 5000)))
+    files = files.filter(F.instr(head, "\u0000") == 0).withColumn("text", readable(F.col("content")))
+    longest = F.array_max(F.transform(F.split(F.substring("text", 1, 65536), "\n"), F.length))
+    minified = (F.col("lang").isin("JavaScript", "TypeScript") | F.col("rel").endswith(".css")) & (longest > 5000)
+    files = files.filter(~F.coalesce(minified, F.lit(False)))
     return files.select(F.col("rel").alias("path"), fnv1a64(F.col("rel")).alias("file_id"), "lang", F.col("length").alias("size_bytes"), F.xxhash64("content").alias("hash"), "text")
 
 
