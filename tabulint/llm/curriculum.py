@@ -103,19 +103,21 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *keep)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("order", order).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    # one column names a source's bucket, so that the join and the running totals are dealt out alike
+    cell = F.concat("bucket", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    rows = rows.withColumn("order", order).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS)).withColumn("cell", cell)
+    totals = rows.groupBy("source", "bucket", "cell").agg(F.sum("size").alias("bucket_size"))
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)))
     sources = targets(totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most)
     same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
     s, t = starts.alias("s"), sources.alias("t")
-    ready = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s.bucket", "s.bucket_start", "t.rank", "t.source_size", "t.target")
+    ready = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.cell", "s.bucket_start", "t.rank", "t.source_size", "t.target")
     r, k = rows.alias("r"), ready.alias("k")
-    within = W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("cell").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (
-        r.join(k, (F.col("r.bucket") == F.col("k.bucket")) & F.col("r.source").eqNullSafe(F.col("k.source")))
-        .select("r.doc_id", "r.source", "r.bucket", "r.order", "r.size", *(F.col(f"r.{c}") for c in keep), "k.bucket_start", "k.rank", "k.source_size", "k.target")
+        r.join(k, F.col("r.cell") == F.col("k.cell"))
+        .select("r.doc_id", "r.source", "r.cell", "r.order", "r.size", *(F.col(f"r.{c}") for c in keep), "k.bucket_start", "k.rank", "k.source_size", "k.target")
         .withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     )
     middle = F.col("start") + F.col("size") / 2
