@@ -24,6 +24,11 @@ def held(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), "doc_id", "text")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, number) in a table of its own, so that every reading has the same numbers."""
+    return saved(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled neighbours vote for.  Null and empty texts
     get the sample's share of good ones; without labels every document stays."""
@@ -33,11 +38,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies over 5-word shingles, the first row of
-    it; texts without words stay.  The rows are numbered in a table of their own, so that
-    every reading of them has the same numbers."""
-    numbered = saved(held(docs).select("row", "text", F.monotonically_increasing_id().alias("number")), "numbered")
-    kept = neardup.classes(numbered, shingle=5, percent=80, doc_id="number").filter("kept").select("doc_id")
-    return numbered.join(kept, F.col("number") == F.col("doc_id"), "left_semi").select("row.*")
+    it; texts without words stay."""
+    rows = numbered(docs)
+    kept = neardup.classes(rows.select("number", F.col("row.text").alias("text")), shingle=5, percent=80, doc_id="number").filter("kept").select("doc_id")
+    return rows.join(kept, F.col("number") == F.col("doc_id"), "left_semi").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +62,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     documents that it does not take go.  Columns of the mix that the documents have too
     are not added."""
     taken = curriculum.training_order(curriculum.assign(docs.select("doc_id", "text", "source", F.struct("*").alias("row")), keep=("row",)))
-    more = [c for c in ("size", "source_size", "target", "taken", "copy", "position") if c not in docs.columns]
-    return taken.select("row.*", *more)
+    return taken.select("row.*", *[c for c in ("size", "source_size", "target", "taken", "copy", "position") if c not in docs.columns])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
