@@ -79,36 +79,23 @@ def _score_sql(where: str, symbols: int) -> str:
       CAST(least(floor(round((security * 0.25 + architecture * 0.15 + performance * 0.10 + naming * 0.08 + complexity * 0.10 + infrastructure * 0.12) / 0.80, 6)), CASE WHEN nc > 0 THEN 79 WHEN nh > 0 THEN 89 ELSE 100 END) AS INTEGER) AS overall, nc FROM s)"""
 
 
-def _few(spark, sf_dir) -> DataFrame:
-    return findings(spark, sf_dir).filter("id % 331 = 5 and severity <> 'Critical'")
-
-
-FEW = "id % 331 = 5 AND severity <> 'Critical'"
-
-
 @_r.add(f"WITH {FINDINGS_SQL}, {_score_sql('true', 5000)} SELECT * EXCLUDE (nc) FROM o")
 def score_all(spark, sf_dir):
     """The score of all findings."""
     return P.score(findings(spark, sf_dir), 5000)
 
 
-@_r.add(f"WITH {FINDINGS_SQL}, {_score_sql(FEW, 300)} SELECT * EXCLUDE (nc) FROM o")
-def score_few(spark, sf_dir):
-    """P6 to P10 where no dimension is down to zero."""
-    return P.score(_few(spark, sf_dir), 300)
-
-
 @_r.add(f"WITH {FINDINGS_SQL} SELECT CASE WHEN auto_fixable AND confidence >= 0.85 THEN 'auto_fix' WHEN confidence >= 0.5 THEN 'ai_review' ELSE 'human' END AS route, count(*) AS n FROM f GROUP BY ALL")
 def triage_counts(spark, sf_dir):
     """What goes to automatic fixing, review or a person."""
     return P.triage(findings(spark, sf_dir)).groupBy("route").agg(F.count("*").alias("n"))
 
 
-@_r.add(f"WITH {FINDINGS_SQL}, {_score_sql(FEW, 300)} SELECT overall >= 85 AND security >= 90 AND c <= 0 AS passed, overall, security, c AS critical FROM o, (SELECT count(*) AS c FROM f WHERE {FEW} AND severity = 'Critical' AND kind <> 'DangerousChain')")
+@_r.add(f"WITH {FINDINGS_SQL}, {_score_sql('true', 5000)} SELECT overall >= 85 AND security >= 90 AND c <= 0 AS passed, overall, security, c AS critical FROM o, (SELECT count(*) AS c FROM f WHERE severity = 'Critical' AND kind <> 'DangerousChain')")
 def deploy_gate(spark, sf_dir):
     """The deploy gate."""
-    few = _few(spark, sf_dir)
-    return P.deploy_gate(P.score(few, 300), few, files=1)
+    every = findings(spark, sf_dir)
+    return P.deploy_gate(P.score(every, 5000), every, files=1)
 
 
 @_r.add(

@@ -98,7 +98,7 @@ def endpoint_view_orphans(spark, sf_dir):
 
 @_r.add(
     """WITH s AS (SELECT o_orderkey AS id, o_custkey % 50 AS g, CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS a, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + o_orderkey % 40 - 5 AS z FROM orders),
-    p AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS pid, l_suppkey % 50 AS g, CAST(epoch(l_shipdate) AS BIGINT) // 86400 AS t FROM lineitem WHERE l_linenumber = 1)
+    p AS (SELECT l_orderkey * 10 + l_linenumber AS pid, l_suppkey % 50 AS g, CAST(epoch(l_shipdate) AS BIGINT) // 86400 AS t FROM lineitem)
     SELECT pid, t, span FROM (SELECT p.pid, p.t, s.id AS span, row_number() OVER (PARTITION BY p.pid, p.g, p.t ORDER BY z - a, a, z, s.id) AS rn FROM p LEFT JOIN s ON s.g = p.g AND t BETWEEN a AND z) WHERE rn = 1"""
 )
 def enclosing_spans(spark, sf_dir):
@@ -106,7 +106,7 @@ def enclosing_spans(spark, sf_dir):
     day = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 86400)
     start = day("o_orderdate")
     spans = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("g"), start.alias("a"), (start + F.col("o_orderkey") % 40 - 5).alias("z"))
-    points = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), (F.col("l_suppkey") % 50).alias("g"), day("l_shipdate").alias("t")).distinct()
+    points = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), (F.col("l_suppkey") % 50).alias("g"), day("l_shipdate").alias("t"))
     return J.enclosing(points, spans, "g", "t", "a", "z", "id", 16).select("pid", "t", "span")
 
 
@@ -151,11 +151,40 @@ def baseline_counts(spark, sf_dir):
     return out
 
 
-@_r.add("SELECT p_partkey, p_name, 2 AS tier FROM part WHERE contains(lower(p_name), 'a1')")
+LOOKED_UP = ("small gizmo", "GIZMO", "lt")
+
+
+@_r.add(
+    f"""WITH q AS (SELECT unnest([{", ".join(f"'{x}'" for x in LOOKED_UP)}]) AS q), s AS (SELECT p_partkey, p_name, regexp_extract(p_name, '([^ ]*)$', 1) AS short FROM part),
+    t AS (SELECT q, p_partkey, CASE WHEN p_name = q THEN 0 WHEN short = q THEN 1 WHEN contains(lower(p_name), lower(q)) THEN 2 END AS tier FROM s, q)
+    SELECT q AS query, p_partkey, tier FROM t WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY q)"""
+)
 def symbol_lookup(spark, sf_dir):
     """Names by the whole name, else by a part of it in any case."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.substring_index("p_name", " ", -1).alias("short"))
-    return J.lookup(parts, "A1", full="p_name", name="short").select("p_partkey", "p_name", "tier")
+    found = [J.lookup(parts, q, full="p_name", name="short").select(F.lit(q).alias("query"), "p_partkey", "tier") for q in LOOKED_UP]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+@_r.add(
+    """WITH c AS (SELECT c_custkey AS k, c_nationkey AS cls, 'm' || (c_custkey % 40) AS name FROM customer),
+    m AS (SELECT cls, name, min(k) AS id, count(*) AS n FROM c GROUP BY ALL),
+    q AS (SELECT o_orderkey AS call_id, c_nationkey AS cls, 'm' || (o_orderkey % 40) AS name, o_orderkey % 2 = 0 AS own FROM orders JOIN customer ON c_custkey = o_custkey)
+    SELECT call_id, CASE WHEN m.n = 1 THEN m.id END AS target FROM q LEFT JOIN m ON m.name = q.name AND m.cls = CASE WHEN own THEN q.cls ELSE (q.cls + 1) % 25 END"""
+)
+def method_resolution(spark, sf_dir):
+    """Methods by the class around a call, and by a class that the call names."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    text = lambda c: F.col(c).cast("string")
+    classes = nation.select(F.concat(F.lit("K"), text("n_nationkey")).alias("id"), F.concat(F.lit("K"), text("n_nationkey")).alias("name"), F.concat(F.lit("app::K"), text("n_nationkey")).alias("full_name"), F.lit("Class").alias("kind"), F.lit(None).cast("string").alias("parent_id"), F.lit("a").alias("group"), F.lit(1).alias("line_start"))
+    method = F.concat(F.lit("m"), (F.col("c_custkey") % 40).cast("string"))
+    own = F.concat(F.lit("K"), text("c_nationkey"))
+    methods = customer.select(text("c_custkey").alias("id"), method.alias("name"), F.concat(F.lit("app::"), own, F.lit("::"), method, F.lit("#"), text("c_custkey")).alias("full_name"), F.lit("Method").alias("kind"), own.alias("parent_id"), text("c_custkey").alias("group"), F.lit(1).alias("line_start"))
+    symbols, tiers = J.method_tiers(classes.unionAll(methods))
+    name = F.concat(F.lit("m"), (F.col("o_orderkey") % 40).cast("string"))
+    call = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("$this->"), name)).otherwise(F.concat(F.lit("K"), ((F.col("c_nationkey") + 1) % 25).cast("string"), F.lit("::"), name))
+    calls = table(spark, sf_dir, "orders").join(customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("call_id"), call.alias("name"), F.lit("z").alias("group"), own.alias("owner"))
+    return J.resolve(calls, symbols, tiers[:2], ["group", "line_start"]).select("call_id", F.col("target").cast("long").alias("target"))
 
 
 @_r.add(

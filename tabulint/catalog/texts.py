@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tabulint.catalog.registry import Registry, table
 from tabulint.functions import scalar as S
 from tabulint.operators import aggregates as A
+from tabulint.operators import detectors
 from tabulint.operators import lines as L
+from tabulint.sources import extract as X
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -33,8 +35,8 @@ def lines_by_source(spark, sf_dir):
 
 
 @_r.add(
-    f"""SELECT lang, source, count(*) AS n_lines, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END)::BIGINT AS blank,
-    sum(CASE WHEN trim(line) <> '' THEN 1 ELSE 0 END)::BIGINT AS code FROM ({LINES_SQL}) GROUP BY GROUPING SETS ((lang), (source), ())"""
+    f"""SELECT lang, source, count(*) AS n_lines, sum(regexp_matches(line, '^\\s*$')::INT)::BIGINT AS blank,
+    sum((NOT regexp_matches(line, '^\\s*$'))::INT)::BIGINT AS code FROM ({LINES_SQL}) GROUP BY GROUPING SETS ((lang), (source), ())"""
 )
 def loc_rollup(spark, sf_dir):
     """A1, A2: lines by language, by source and in all, in one pass."""
@@ -78,23 +80,45 @@ def capped_hits(spark, sf_dir):
     return L.capped(hits, ["doc_id"], ["ln"], 5)
 
 
-RULES = [
-    L.Rule("EmailAddress", "Low", 0.6, r"[a-z0-9.]+@[a-z0-9.]+\.[a-z]+", message="address in text"),
-    L.Rule("LicenseLine", "Info", 0.9, r"Licensed under", message="license line"),
-    L.Rule("LongWord", "Info", 0.5, r"[a-z]{30,}", unless=r"https?://", message="word of 30 letters"),
-]
+# lines of code dealt out by line number, one for each rule and each exception to one
+CODE = ("$h = md5($password);", "eval($x);", "// eval($x);", "$h = md5($cacheKey);", "$h = sha1($body);", "$ok = 1;", "$key = 'x'; $retrieval(1);", "$api_key = 'Zx9Qp3Lm8Kv2';", "# md5($password);", "amd5($x); md5($y);")
 
 
 @_r.add(
-    f"""SELECT kind, severity, count(*) AS n FROM (
-    SELECT 'EmailAddress' AS kind, 'Low' AS severity FROM ({LINES_SQL}) WHERE regexp_matches(line, '[a-z0-9.]+@[a-z0-9.]+\\.[a-z]+')
-    UNION ALL SELECT 'LicenseLine', 'Info' FROM ({LINES_SQL}) WHERE regexp_matches(line, 'Licensed under')
-    UNION ALL SELECT 'LongWord', 'Info' FROM ({LINES_SQL}) WHERE regexp_matches(line, '[a-z]{{30,}}') AND NOT regexp_matches(line, 'https?://'))
-    GROUP BY kind, severity"""
+    f"""WITH l AS (SELECT doc_id, ln % 10 AS k FROM ({LINES_SQL})), f AS (SELECT CASE k WHEN 1 THEN 'EvalUsage' WHEN 7 THEN 'HardcodedSecret' ELSE 'WeakCrypto' END AS kind, CASE k WHEN 4 THEN 'Medium' WHEN 9 THEN 'Medium' ELSE 'Critical' END AS severity FROM l WHERE k IN (0, 1, 4, 7, 9))
+    SELECT kind, severity, count(*) AS n FROM f GROUP BY ALL"""
 )
-def rule_scan(spark, sf_dir):
-    """D1 to D24's stateless form: a table of rules over all lines in one pass."""
-    return L.scan(document_lines(spark, sf_dir), RULES).groupBy("kind", "severity").agg(F.count("*").alias("n"))
+def security_lines(spark, sf_dir):
+    """Weak hashes, eval and secrets over lines of code."""
+    line = F.element_at(F.array(*map(F.lit, CODE)), (F.col("ln") % 10 + 1).cast("int"))
+    rows = document_lines(spark, sf_dir).select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".php")).alias("path"), "ln", F.lit("Php").alias("lang"), line.alias("line"))
+    return detectors.security(rows).groupBy("kind", "severity").agg(F.count("*").alias("n"))
+
+
+@_r.add(f"WITH l AS (SELECT ln % 10 AS k FROM ({LINES_SQL})) SELECT CASE WHEN k = 4 THEN 'sha1' ELSE 'md5' END AS name, count(*) AS n FROM l WHERE k IN (0, 3, 4) GROUP BY ALL")
+def forbidden_functions(spark, sf_dir):
+    """Functions that the settings forbid, by the first mention on a line."""
+    line = F.element_at(F.array(*map(F.lit, CODE)), (F.col("ln") % 10 + 1).cast("int"))
+    vendor = F.when(F.col("half") == 1, "src/").otherwise("vendor/")
+    rows = document_lines(spark, sf_dir).select("doc_id", "ln", line.alias("line"), F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    rows = rows.select(F.concat(vendor, F.col("doc_id").cast("string"), F.lit(".php")).alias("path"), "ln", F.lit("Php").alias("lang"), "line")
+    return detectors.forbidden_calls(rows, ["md5", "sha1"]).groupBy(F.regexp_extract("message", r"(\w+)\(", 1).alias("name")).agg(F.count("*").alias("n"))
+
+
+RUST = ("pub fn handle_packet(x: u8) {", "    let b = buf.to_vec();", "    unsafe { x() }", "}", "fn cold() {", "    value.unwrap();", "    // SAFETY: checked", "    unsafe { y() }", "}", "let (tx, rx) = mpsc::channel();")
+
+
+@_r.add(
+    f"""WITH l AS (SELECT doc_id, ln, ln % 10 AS k FROM ({LINES_SQL})), p AS (SELECT doc_id, count(*) FILTER (k = 6) AS cold FROM l GROUP BY doc_id)
+    SELECT * FROM (SELECT 'HotPathAllocation' AS kind, 'Info' AS severity, count(*) FILTER (k = 2) AS n FROM l UNION ALL SELECT 'UnsafeUsage', 'Info', count(*) FILTER (k IN (3, 8)) FROM l
+      UNION ALL SELECT 'MissingSafetyComment', 'Low', count(*) FILTER (k = 3) FROM l UNION ALL SELECT 'PanicRisk', 'Info', sum(least(cold, 5) + (cold > 5)::INT)::BIGINT FROM p) WHERE n > 0"""
+)
+def rust_lines(spark, sf_dir):
+    """Rust rules by the function around a line, with a cap per file."""
+    line = F.element_at(F.array(*map(F.lit, RUST)), F.when(F.col("ln") % 10 == 0, 10).otherwise(F.col("ln") % 10).cast("int"))
+    path = F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".rs"))
+    rows = document_lines(spark, sf_dir).select(path.alias("path"), "ln", F.lit("Rust").alias("lang"), line.alias("line"))
+    return detectors.rust(rows).groupBy("kind", "severity").agg(F.count("*").alias("n"))
 
 
 @_r.add(
@@ -112,14 +136,13 @@ def duplicate_cascade(spark, sf_dir):
 
 
 @_r.add(
-    r"""SELECT page_id, CAST(i AS INTEGER) AS k, length(s[i]) AS n_chars FROM (
-    SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS s FROM pages), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)"""
+    r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS s FROM pages)
+    SELECT CAST(page_id AS VARCHAR) || '.html' AS path, unnest(regexp_extract_all(s, '([A-Za-z_$][A-Za-z0-9_]*)\s*\(', 1)) AS callee_name FROM s"""
 )
 def inline_scripts(spark, sf_dir):
-    """Inline scripts of pages."""
-    pages = table(spark, sf_dir, "pages")
-    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("k", "script"))
-    return found.select("page_id", (F.col("k") + 1).alias("k"), F.length("script").alias("n_chars"))
+    """Calls in the inline scripts of pages."""
+    files = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("JavaScript").alias("lang"), F.col("html").alias("text"))
+    return X.relation(X.extract(files), "call").select("path", "callee_name")
 
 
 @_r.add(
@@ -154,14 +177,3 @@ def advisory_match(spark, sf_dir):
     v = table(spark, sf_dir, "part").select("p_partkey", S.version(F.concat_ws(".", (F.col("p_size") % 3).cast("string"), (F.col("p_partkey") % 7).cast("string"), (F.col("p_partkey") % 11).cast("string"))).alias("version"))
     patched = F.array(*[S.version(F.lit(x)) for x in ("0.4.5", "1.6.0", "2.3.1")])
     return v.withColumn("patched", F.explode(patched)).filter(S.affected(F.col("version"), F.col("patched"))).select("p_partkey", F.col("patched.major").cast("int").alias("patched_major"))
-
-
-@_r.add(
-    """WITH p AS (SELECT doc_id, quality FROM labels) SELECT lang, count(*) AS found, sum(quality)::BIGINT AS hit, CASE WHEN count(*) > 0 THEN round(100.0 * sum(quality) / count(*), 1) ELSE 0 END AS percent
-    FROM documents JOIN p USING (doc_id) GROUP BY lang"""
-)
-def coverage_percent(spark, sf_dir):
-    """Found and hit counts with a percentage."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    out = rows.groupBy("lang").agg(F.count("*").alias("found"), F.sum("quality").alias("hit"))
-    return out.withColumn("percent", S.percent(F.col("hit"), F.col("found")))
