@@ -98,31 +98,85 @@ def _ticks(b: bytes) -> int:
     return (b[0] >> 1 & 7) << 30 | b[1] << 22 | (b[2] >> 1) << 15 | b[3] << 7 | b[4] >> 1
 
 
-def _section(data: bytes) -> bytes | None:
-    """Body between a section's header and its checksum; None if it is broken."""
-    data = data[1 + data[0] :] if data else b""
-    if len(data) < 12:
-        return None
-    end = 3 + ((data[1] & 15) << 8 | data[2])
-    if end > len(data) or end < 12 or crc32_mpeg(data[:end]):
-        return None
-    return data[8 : end - 4]
+class Sections:
+    """Puts the sections of one packet identifier together, which may go on over any
+    number of packets and share one."""
+
+    def __init__(self):
+        self.waiting: bytearray | None = None
+
+    def lose(self) -> None:
+        """What went before is incomplete."""
+        self.waiting = None
+
+    def feed(self, body: bytes, start: bool):
+        """(table, body between header and checksum) of the sections that end here; None
+        for a broken one."""
+        if start:
+            if not body or 1 + body[0] > len(body):
+                self.waiting = None
+                yield None
+                return
+            head, body = body[1 : 1 + body[0]], body[1 + body[0] :]
+            if self.waiting:
+                self.waiting += head
+                yield from self._ready(last=True)
+            self.waiting = bytearray(body)
+        elif self.waiting is not None:
+            self.waiting += body
+        yield from self._ready()
+
+    def _ready(self, last: bool = False):
+        data = self.waiting
+        while data:
+            if data[0] == 0xFF:  # nothing but filling follows
+                data.clear()
+                break
+            if len(data) < 3 or len(data) < (end := 3 + ((data[1] & 15) << 8 | data[2])):
+                if last:
+                    yield None
+                    data.clear()
+                return
+            one = bytes(data[:end])
+            del data[:end]
+            if end < 12 or crc32_mpeg(one):
+                yield None
+            elif one[5] & 1:  # valid from now on
+                yield one[0], one[8:-4]
+
+
+def _aligned(stream: bytes, at: int) -> int:
+    """The next place from which packets stand at their distance: three of them, or as
+    many as are left."""
+    at = stream.find(SYNC, at)
+    while at >= 0:
+        if all(stream[k] == SYNC for k in range(at, min(at + 2 * PACKET + 1, len(stream)), PACKET)):
+            return at
+        at = stream.find(SYNC, at + 1)
+    return len(stream)
 
 
 def parse_stream(stream: bytes) -> dict:
     """programs {number: map pid}, streams {pid: type}, packets, lost (breaks of
-    continuity), errors (bad syncs, sections or elementary packets), and units:
-    (pid, pts, dts, random access, payload) in order of their first packets."""
+    continuity), errors (lost alignment, packets marked as faulty, broken sections or
+    elementary packets), scrambled (packets that cannot be read), and units: (pid, pts,
+    dts, random access, payload, damaged) in order of their first packets.
+
+    A packet that repeats the one before it on its identifier byte for byte is passed
+    over once.  A unit of which a packet is lost, faulty or scrambled is given as far as
+    it is there and marked as damaged.
+    """
     programs: dict[int, int] = {}
     kinds: dict[int, int] = {}
-    maps: set[int] = set()
-    last: dict[int, int] = {}
+    of_map: dict[int, set[int]] = {}
+    tables: dict[int, Sections] = {PAT_PID: Sections()}
+    last: dict[int, tuple[int, bytes, bool]] = {}
     open_: dict[int, list] = {}
     units: list[tuple] = []
-    n = lost = errors = 0
+    n = lost = errors = scrambled = 0
 
     def close(pid: int) -> int:
-        slot, random, parts = open_.pop(pid)
+        slot, random, parts, damaged = open_.pop(pid)
         pes = b"".join(parts)
         if len(pes) < 9 or pes[:3] != b"\0\0\1":
             return 1
@@ -130,60 +184,96 @@ def parse_stream(stream: bytes) -> dict:
         marks = pes[7] >> 6
         pts = _ticks(pes[9:14]) if marks & 2 and len(pes) >= 14 else None
         dts = _ticks(pes[14:19]) if marks == 3 and len(pes) >= 19 else pts
-        units[slot] = (pid, pts, dts, random, pes[head : 6 + length if length else None])
-        return int(bool(length) and len(pes) < 6 + length)
-
-    for at in range(0, len(stream) - len(stream) % PACKET, PACKET):
-        n += 1
+        short = bool(length) and len(pes) < 6 + length
+        units[slot] = (pid, pts, dts, random, pes[head : 6 + length if length else None], damaged or short)
+        return int(short)
+
+    def break_(pid: int) -> None:
+        if pid in open_:
+            open_[pid][3] = True
+        if pid in tables:
+            tables[pid].lose()
+
+    at = 0
+    while at < len(stream):
         if stream[at] != SYNC:
             errors += 1
+            at = _aligned(stream, at)
+            continue
+        if at + PACKET > len(stream):
+            errors += 1
+            break
+        packet, at = stream[at : at + PACKET], at + PACKET
+        n += 1
+        b1, flags = packet[1], packet[3]
+        pid, start, body, random = (b1 & 31) << 8 | packet[2], b1 & 64, 4, False
+        if b1 & 128:
+            errors += 1
+            break_(pid)
+            last.pop(pid, None)
             continue
-        b1, flags = stream[at + 1], stream[at + 3]
-        pid, start, body, random = (b1 & 31) << 8 | stream[at + 2], b1 & 64, at + 4, False
         if pid == NULL_PID:
             continue
         jump = False
         if flags & 32:
-            length = stream[at + 4]
+            length = packet[4]
             if length:
-                random, jump = bool(stream[at + 5] & 64), bool(stream[at + 5] & 128)
-            body = at + 5 + length
+                random, jump = bool(packet[5] & 64), bool(packet[5] & 128)
+            body = 5 + length
         if not flags & 16:
             continue
+        if body > PACKET:
+            errors += 1
+            break_(pid)
+            continue
         c = flags & 15
-        if pid in last and not jump and c != last[pid] + 1 & 15:
-            if c == last[pid]:
-                continue  # a repeated packet
-            lost += 1
-        last[pid] = c
-        if pid in kinds:
+        if pid in last and not jump:
+            before, same, repeated = last[pid]
+            if c == before and packet == same and not repeated:
+                last[pid] = c, packet, True
+                continue
+            if c != before + 1 & 15:
+                lost += 1
+                break_(pid)
+        last[pid] = c, packet, False
+        if flags & 192:
+            scrambled += 1
+            break_(pid)
+            continue
+        if pid in tables:
+            for got in tables[pid].feed(packet[body:], bool(start)):
+                if got is None:
+                    errors += 1
+                    continue
+                table, s = got
+                if pid == PAT_PID and table == 0:
+                    listed = {s[i] << 8 | s[i + 1]: (s[i + 2] & 31) << 8 | s[i + 3] for i in range(0, len(s) - 3, 4)}
+                    programs.update({k: v for k, v in listed.items() if k})
+                    for v in programs.values():
+                        tables.setdefault(v, Sections())
+                elif pid != PAT_PID and table == 2 and len(s) >= 4:
+                    i, found = 4 + ((s[2] & 15) << 8 | s[3]), {}
+                    while i + 5 <= len(s):
+                        found[(s[i + 1] & 31) << 8 | s[i + 2]] = s[i]
+                        i += 5 + ((s[i + 3] & 15) << 8 | s[i + 4])
+                    for gone in of_map.get(pid, set()) - set(found):
+                        kinds.pop(gone, None)
+                    of_map[pid] = set(found)
+                    kinds.update(found)
+        elif pid in kinds:
             if start:
                 if pid in open_:
                     errors += close(pid)
-                open_[pid] = [len(units), random, [stream[body : at + PACKET]]]
+                open_[pid] = [len(units), random, [packet[body:]], False]
                 units.append(None)
             elif pid in open_:
-                open_[pid][2].append(stream[body : at + PACKET])
-        elif start and (pid == PAT_PID or pid in maps):
-            s = _section(stream[body : at + PACKET])
-            if s is None:
-                errors += 1
-            elif pid == PAT_PID:
-                for i in range(0, len(s) - 3, 4):
-                    if number := s[i] << 8 | s[i + 1]:
-                        programs[number] = (s[i + 2] & 31) << 8 | s[i + 3]
-                maps = set(programs.values())
-            else:
-                i = 4 + ((s[2] & 15) << 8 | s[3])
-                while i + 5 <= len(s):
-                    kinds[(s[i + 1] & 31) << 8 | s[i + 2]] = s[i]
-                    i += 5 + ((s[i + 3] & 15) << 8 | s[i + 4])
-    errors += (len(stream) % PACKET > 0) + sum(close(p) for p in list(open_))
-    return {"programs": programs, "streams": kinds, "packets": n, "lost": lost, "errors": errors, "units": [u for u in units if u]}
-
-
-UNITS = T.ArrayType(T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("pts", T.LongType()), T.StructField("dts", T.LongType()), T.StructField("random_access", T.BooleanType()), T.StructField("data", T.BinaryType())]))
-PARSED = [T.StructField("packets", T.LongType()), T.StructField("lost", T.LongType()), T.StructField("errors", T.LongType()), T.StructField("streams", T.MapType(T.IntegerType(), T.IntegerType())), T.StructField("units", UNITS)]
+                open_[pid][2].append(packet[body:])
+    errors += sum(close(p) for p in list(open_))
+    return {"programs": programs, "streams": kinds, "packets": n, "lost": lost, "errors": errors, "scrambled": scrambled, "units": [u for u in units if u]}
+
+
+UNITS = T.ArrayType(T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("pts", T.LongType()), T.StructField("dts", T.LongType()), T.StructField("random_access", T.BooleanType()), T.StructField("data", T.BinaryType()), T.StructField("damaged", T.BooleanType())]))
+PARSED = [T.StructField("packets", T.LongType()), T.StructField("lost", T.LongType()), T.StructField("errors", T.LongType()), T.StructField("scrambled", T.LongType()), T.StructField("streams", T.MapType(T.IntegerType(), T.IntegerType())), T.StructField("units", UNITS)]
 
 
 def _mapped(docs: DataFrame, column: str, keep: tuple[str, ...], fields: list[T.StructField], one) -> DataFrame:
@@ -204,13 +294,13 @@ def _mapped(docs: DataFrame, column: str, keep: tuple[str, ...], fields: list[T.
 
 
 def parse_streams(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row per stream: packets, lost, errors, streams (pid to type) and units.
-    A null or empty stream has none of them; damaged ones are counted in
-    `errors`, never raised."""
+    """A row per stream: packets, lost, errors, scrambled, streams (pid to type) and
+    units.  A null or empty stream has none of them; damaged ones are counted in
+    `errors`, never raised.  Repeated rows stay."""
 
     def one(data):
         r = parse_stream(data or b"")
-        return r["packets"], r["lost"], r["errors"], list(r["streams"].items()), [dict(zip(("pid", "pts", "dts", "random_access", "data"), u)) for u in r["units"]]
+        return r["packets"], r["lost"], r["errors"], r["scrambled"], list(r["streams"].items()), [dict(zip(("pid", "pts", "dts", "random_access", "data", "damaged"), u)) for u in r["units"]]
 
     return _mapped(media, column, keep, PARSED, one)
 
@@ -232,13 +322,15 @@ def _digest(data: bytes) -> tuple:
     payload = b"".join(u[4] for u in units)
     stamps = [u[1] for u in units if u[1] is not None]
     feature = f"programs={len(r['programs'])};streams={','.join(f'{p}:{k}' for p, k in sorted(r['streams'].items()))};packets={r['packets']};units={len(units)};lost={r['lost']};errors={r['errors']};pts={stamps[0] if stamps else ''}-{stamps[-1] if stamps else ''};random={sum(u[3] for u in units)}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, [u[1] for u in units], [u[3] for u in units]
 
 
 def stream_digests(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """store_texts() and the parse of its stored bytes in one pass per text,
-    for texts whose streams need not be kept: sizes, hashes and the feature."""
-    fields = [T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]
+    for texts whose streams need not be kept: sizes, hashes, the feature, and the units'
+    timestamps and random-access marks.  A null counts as empty, equal texts give equal
+    values, repeated rows stay; a text of any length is one stream."""
+    fields = [T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("stamps", T.ArrayType(T.LongType())), ("random_access", T.ArrayType(T.BooleanType())))]
 
     def one(t):
         raw = (t or "").encode()

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabulint.llm import curriculum, decontaminate, features, langid, quality
+from tabulint.llm import curriculum, decontaminate, features, langid, quality, transport
 from tests.llm.conftest import sentence
 
 
@@ -167,3 +167,67 @@ def test_stages_judge_rows_not_ids(spark, tmp_path):
     assert places == sorted(places)
     for f in stages.values():
         assert f(spark, docs.limit(0), d).count() == 0
+
+
+def packets_of(pid, body, start=True, counter=0):
+    """A section or a piece of one in packets, with the pointer before it."""
+    out, first = [], True
+    data = (b"\0" if start else b"") + body
+    while data or first:
+        part, data = data[:184], data[184:]
+        out.append(bytes([transport.SYNC]) + ((0x4000 if first and start else 0) | pid).to_bytes(2, "big") + bytes([0x10 | counter & 15]) + part.ljust(184, b"\xff"))
+        counter, first = counter + 1, False
+    return b"".join(out)
+
+
+def section(table, body):
+    head = bytes([table]) + (0xB000 | len(body) + 4).to_bytes(2, "big") + body
+    return head + transport.crc32_mpeg(head).to_bytes(4, "big")
+
+
+def long_tables(streams):
+    pat = section(0, (1).to_bytes(2, "big") + b"\xc1\0\0" + (1).to_bytes(2, "big") + (0xE000 | transport.PMT_PID).to_bytes(2, "big"))
+    listed = b"".join(bytes([transport.PRIVATE_DATA]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x06" + b"\x05\x04abcd" for p in streams)
+    pmt = section(2, (1).to_bytes(2, "big") + b"\xc1\0\0" + (0xE000 | streams[0]).to_bytes(2, "big") + b"\xf0\0" + listed)
+    return packets_of(0, pat) + packets_of(transport.PMT_PID, pmt)
+
+
+def test_tables_over_several_packets_and_in_pieces():
+    payload = bytes(range(256)) * 300
+    data = transport.write_stream(payload)[2 * transport.PACKET :]
+    many = [transport.DATA_PID, *range(0x200, 0x23C)]
+    stream = long_tables(many) + data
+    got = transport.parse_stream(stream)
+    assert len(long_tables(many)) > 4 * transport.PACKET and set(got["streams"]) == set(many) and (got["errors"], got["lost"]) == (0, 0)
+    assert b"".join(u[4] for u in got["units"]) == payload
+    # a table that begins in the packet in which another one ends
+    pat = section(0, (1).to_bytes(2, "big") + b"\xc1\0\0" + (1).to_bytes(2, "big") + (0xE000 | transport.PMT_PID).to_bytes(2, "big"))
+    both = packets_of(0, pat + pat)
+    assert transport.parse_stream(both)["programs"] == {1: transport.PMT_PID}
+
+
+def test_faults_are_counted_and_units_marked():
+    payload = bytes(range(256)) * 400
+    s = transport.write_stream(payload)
+    whole = transport.parse_stream(s)
+    assert not any(u[5] for u in whole["units"]) and len(whole["units"]) == 4
+    size = transport.PACKET
+    cut = s[: 10 * size] + s[10 * size + 7 :]  # bytes lost inside a packet
+    got = transport.parse_stream(cut)
+    assert got["errors"] >= 1 and [u[5] for u in got["units"]] == [True, False, False, False] and b"".join(u[4] for u in got["units"][1:]) == payload[transport.UNIT :]
+    junk = transport.parse_stream(b"junk\x47" + s)
+    assert junk["errors"] == 1 and junk["units"] == whole["units"]
+    marked = bytearray(s)
+    marked[5 * size + 1] |= 128
+    got = transport.parse_stream(bytes(marked))
+    assert got["errors"] >= 1 and got["units"][0][5] and not got["units"][1][5]
+    hidden = bytearray(s)
+    hidden[5 * size + 3] |= 128
+    got = transport.parse_stream(bytes(hidden))
+    assert got["scrambled"] == 1 and got["units"][0][5]
+    twice = s[: 6 * size] + s[5 * size : 6 * size] + s[6 * size :]
+    assert transport.parse_stream(twice)["units"] == whole["units"] and transport.parse_stream(twice)["lost"] == 0
+    other = bytearray(s[5 * size : 6 * size])
+    other[100] ^= 1  # the same counter with other bytes is no repeat
+    assert transport.parse_stream(s[: 6 * size] + bytes(other) + s[6 * size :])["lost"] >= 1
+    assert transport.parse_stream(b"")["packets"] == 0 and transport.parse_stream(b"\x47" * 50)["errors"] == 1
