@@ -1,9 +1,10 @@
 """Secret scanning with DataFrame functions only.
 
 Three patterns find the base spans.  Beside them, character Markov models of
-random strings and of ordinary identifiers are trained from labelled samples; a
-long run of token characters whose log-likelihood ratio favours the random model
-is a span of kind `markov`.  Positions count code points, ends are exclusive.
+random strings and of ordinary identifiers are trained from labelled samples; in a
+long run of token characters the part where the log-likelihood ratio favours the
+random model most is a span of kind `markov`, so that a name or a path before a key
+does not hide it.  Positions count code points, ends are exclusive.
 
 Positions come from splitting a text at the matches: a match starts after the
 lengths of all pieces and matches before it.  No pattern matches across lines.
@@ -26,8 +27,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Runs scored by the Markov models.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 _STATES = len(ALPHABET) + 1
-#: Bits for the random model, on average per character, from which a run is a span.
-THRESHOLD = 1.0
+#: Bits a character by which the random model must be the likelier one, least length of
+#: the part of a run where it is, and bits beyond those in all.
+THRESHOLD, LEAST_PART, LEAST_GAIN = 0.75, 16, 16.0
 
 # Parts of ordinary identifiers, the labelled sample of such strings.
 ORDINARY = """account action address agent amount application argument array attribute authentication author average background
@@ -141,28 +143,40 @@ def train(samples: DataFrame) -> list[float]:
     return [round(x, 6) for x in out]
 
 
-def ratio(value: Column, table: Column) -> Column:
-    """Mean log2 ratio per character of a string over ALPHABET."""
+def best_part(value: Column, table: Column, threshold: float) -> Column:
+    """struct<from, to, gain> of the part of a string over ALPHABET whose log2 ratios
+    exceed the threshold by most in sum (gain): a running sum that starts anew where it
+    would be negative, and its maximum.  The first among equals."""
     codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), _code)
-    total = F.aggregate(
-        codes,
-        F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")),
-        lambda s, c: F.struct(c.alias("last"), (s["sum"] + F.element_at(table, s["last"] * _STATES + c + 1)).alias("sum")),
-        lambda s: s["sum"],
-    )
-    return total / F.char_length(value)
+    zero, none = F.lit(0), F.lit(0.0)
+
+    def step(s, c):
+        extra = F.element_at(table, s["last"] * _STATES + c + 1) - threshold
+        fresh = s["sum"] <= 0
+        now, begin = F.when(fresh, extra).otherwise(s["sum"] + extra), F.when(fresh, s["at"]).otherwise(s["begin"])
+        more = now > s["gain"]
+        return F.struct(
+            c.alias("last"), (s["at"] + 1).alias("at"), now.alias("sum"), begin.alias("begin"),
+            F.when(more, begin).otherwise(s["from"]).alias("from"), F.when(more, s["at"] + 1).otherwise(s["to"]).alias("to"), F.when(more, now).otherwise(s["gain"]).alias("gain"),
+        )
+
+    start = F.struct(zero.alias("last"), zero.alias("at"), none.alias("sum"), zero.alias("begin"), zero.alias("from"), zero.alias("to"), none.alias("gain"))
+    return F.aggregate(codes, start, step, lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), s["gain"].alias("gain")))
 
 
 def scan(docs: DataFrame, samples: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with `secrets`: array<struct<start, rank, end, kind>> in order of
     start, then of KINDS.  Null and empty texts have none.  One scan of the
-    input, no shuffle; an existing column `secrets` is replaced."""
+    input, no shuffle; an existing column `secrets` is replaced, repeated rows stay.
+    Work grows with a text's length, and with the square of its matches over 256."""
     table = F.from_json(F.lit(str(train(samples))), "array<double>")
     text = F.coalesce(F.col(text_col), F.lit(""))
     tagged = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     assign = F.filter(found(text, ASSIGN, text.contains(":") | text.contains("=")), lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6)
     access = found(text, ACCESS, text.contains("AKIA"))
-    markov = F.filter(found(text, CANDIDATE, F.lit(True)), lambda s: ratio(s["match"], table) >= threshold)
+    parts = F.transform(found(text, CANDIDATE, F.lit(True)), lambda s: F.struct(s["start"].alias("at"), best_part(s["match"], table, threshold).alias("b")))
+    long = F.filter(parts, lambda s: (s["b"]["to"] - s["b"]["from"] >= LEAST_PART) & (s["b"]["gain"] >= LEAST_GAIN))
+    markov = F.transform(long, lambda s: F.struct((s["at"] + s["b"]["from"]).alias("start"), (s["at"] + s["b"]["to"]).alias("end")))
     spans = F.concat(tagged(assign, "assign"), tagged(access, "access"), tagged(found(text, HEX, F.lit(True)), "hex"), tagged(markov, "markov"))
     return docs.withColumn("secrets", F.array_sort(spans))
 

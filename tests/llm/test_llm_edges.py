@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabulint.llm import curriculum, decontaminate, features, langid, quality, transport
+from tabulint.llm import curriculum, decontaminate, features, langid, quality, secrets, transport
 from tests.llm.conftest import sentence
 
 
@@ -231,3 +231,37 @@ def test_faults_are_counted_and_units_marked():
     other[100] ^= 1  # the same counter with other bytes is no repeat
     assert transport.parse_stream(s[: 6 * size] + bytes(other) + s[6 * size :])["lost"] >= 1
     assert transport.parse_stream(b"")["packets"] == 0 and transport.parse_stream(b"\x47" * 50)["errors"] == 1
+
+
+# words that the operator's own samples do not hold
+HELD_OUT = """timer upload download render widget session ticket vector tensor kernel socket stream shader sprite canvas pixel matrix gradient optimizer learning
+benutzer kennwort anmeldung verbindung einstellung datenbank tabelle spalte zeile schluessel rechnung bestellung kunde lieferung lager artikel preis menge""".split()
+
+
+def test_random_parts_are_told_from_names(spark):
+    """Keys by alphabet, length and what stands before them, and identifiers."""
+    import string
+
+    rnd = random.Random(5)
+    alphabets = {"base64": string.ascii_letters + string.digits + "+/", "letters": string.ascii_letters + string.digits, "upper": string.ascii_uppercase + string.digits}
+    before = ("", "aws_secret_access_key=", "database_connection_credential=", "services/billing/production/")
+    rows = []
+    for kind, letters in alphabets.items():
+        for n in (20, 32, 40):
+            for b in before:
+                rows += [(f"{kind} {n}", "see " + b + "".join(rnd.choice(letters) for _ in range(n)) + " there") for _ in range(25)]
+    for _ in range(400):
+        w = [rnd.choice(HELD_OUT) for _ in range(rnd.randint(3, 5))]
+        style = rnd.randrange(5)
+        name = ("_".join(w), w[0] + "".join(x.capitalize() for x in w[1:]), "-".join(w), "/" + "/".join(w), "_".join(w).upper())[style]
+        rows.append(("name", f"see {name} there"))
+    table = spark.createDataFrame(rows, "kind string, text string")
+    got = secrets.scan(table, secrets.default_samples(spark)).select("kind", F.exists("secrets", lambda s: s["kind"] == "markov").alias("hit")).collect()
+    share = {k: np.mean([r.hit for r in got if r.kind == k]) for k in {r.kind for r in got}}
+    assert share.pop("name") <= 0.03, share
+    assert all(v >= (0.7 if k.endswith(" 20") else 0.93) for k, v in share.items()), share
+    # the part is the key, not the name before it
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8hT2Lk4v"
+    (one,) = secrets.scan(spark.createDataFrame([(f"x aws_secret_access_key={key} y",)], "text string"), secrets.default_samples(spark)).collect()
+    (span,) = [s for s in one.secrets if s.kind == "markov"]
+    assert span.start >= 18 and span.end <= 24 + len(key) and span.end - span.start >= 30
