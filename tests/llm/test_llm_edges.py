@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabulint.llm import curriculum, decontaminate, features, langid, quality, secrets, transport
+from tabulint.llm import curriculum, decontaminate, features, langid, quality, secrets, substrings, transport
 from tests.llm.conftest import sentence
 
 
@@ -265,3 +265,31 @@ def test_random_parts_are_told_from_names(spark):
     (one,) = secrets.scan(spark.createDataFrame([(f"x aws_secret_access_key={key} y",)], "text string"), secrets.default_samples(spark)).collect()
     (span,) = [s for s in one.secrets if s.kind == "markov"]
     assert span.start >= 18 and span.end <= 24 + len(key) and span.end - span.start >= 30
+
+
+def test_longest_repeated_spans(spark):
+    """Every window that also starts earlier lies in a span that its source holds too."""
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(400)}" for _ in range(160)]
+    texts = [base[:120], base[10:75] + [f"x{i}" for i in range(9)] + base[70:130], [f"y{i}" for i in range(30)] + base[40:160], base[:120], base[:25] * 3]
+    rows = [(f"d{i}", " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(base[100:150])), ("d9", None)]
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    got = substrings.repeated_spans(table).collect()
+    words = {d: (t or "").split() for d, t in rows}
+    seen, covered = {}, set()
+    order = sorted(words, key=lambda d: (d is not None, d or ""))
+    for d in order:
+        for i in range(len(words[d]) - 19):
+            k = tuple(words[d][i : i + 20])
+            if k in seen:
+                covered |= {(d, i)}
+            seen.setdefault(k, (d, i))
+    spans = {(r.doc_id, i) for r in got for i in range(r.start, r.start + r.words - 19)}
+    assert spans == covered
+    for r in got:
+        assert words[r.doc_id][r.start : r.start + r.words] == words[r.source_id][r.source_start : r.source_start + r.words]
+        assert (r.source_id is not None, r.source_id or "", r.source_start) < (r.doc_id is not None, r.doc_id or "", r.start)
+    assert max(r.words for r in got if r.doc_id == "d3") >= 100
+    removed = {r.doc_id: r.n_removed for r in substrings.without_repeats(table).collect()}
+    gone = {d: len({i + k for x, i in covered if x == d for k in range(20)}) for d in words}
+    assert removed == gone
