@@ -52,3 +52,46 @@ def markdown(score: DataFrame, findings: DataFrame, most: int = 200) -> str:
     for r in findings.orderBy(severity_rank(F.col("severity")).desc(), "file", "line", "kind").limit(most).collect():
         out.append(f"| {r.file} | {r.line} | {r.kind} | {str(r.message).replace('|', chr(92) + '|')} |")
     return "\n".join(out) + "\n"
+
+
+def verdict(score: DataFrame, findings: DataFrame, gate: DataFrame, most: int = 20) -> str:
+    """The outcome of a check as JSON: passed, scores, counts by severity, and the
+    first findings, worst first."""
+    passed, s = gate.first(), score.first().asDict()
+    counts = {r["severity"]: r["count"] for r in findings.groupBy("severity").count().collect()}
+    first = findings.orderBy(severity_rank(F.col("severity")).desc(), "file", "line", "kind").limit(most).collect()
+    rows = [{"file": r.file, "line": r.line, "kind": r.kind, "severity": r.severity, "message": r.message} for r in first]
+    return json.dumps({"passed": bool(passed.passed), "scores": s, "findings": counts, "total": sum(counts.values()), "first": rows}, sort_keys=True)
+
+
+def statistics(score: DataFrame, findings: DataFrame, at: str) -> DataFrame:
+    """One row (value) for a log of checks, to be appended as text: when, the overall
+    score, and findings by severity."""
+    counts = findings.groupBy().agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("Critical", "High", "Medium", "Low", "Info")])
+    return score.select("overall", "security").join(counts).select(F.to_json(F.struct(F.lit(at).alias("at"), "*")).alias("value"))
+
+
+def html(score: DataFrame, findings: DataFrame, most: int = 500) -> str:
+    """A page of the score and the first findings, worst first, with all text escaped."""
+    from html import escape
+
+    cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{escape(str(v))}</{tag}>" for v in values) + "</tr>"
+    total = findings.count()
+    rows = findings.orderBy(severity_rank(F.col("severity")).desc(), "file", "line", "kind").limit(most).collect()
+    scores = "".join(cells("td", x) for x in score.first().asDict().items())
+    listed = "".join(cells("td", (r.severity, r.kind, r.file, r.line, r.message)) for r in rows)
+    style = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px 8px;text-align:left}"
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>Report</title><style>{style}</style></head><body><h1>Report</h1><table>{scores}</table><h2>{total} findings</h2><table>{cells('th', ('severity', 'kind', 'file', 'line', 'message'))}{listed}</table></body></html>\n"
+
+
+def terminal(findings: DataFrame, lines: DataFrame, around: int = 2, most: int = 20) -> str:
+    """The first findings with the source lines around them, the line itself marked."""
+    kept = findings.orderBy(severity_rank(F.col("severity")).desc(), "file", "line", "kind").limit(most).collect()
+    source: dict = {}
+    for r in frames(findings, lines, around, most).collect():
+        source.setdefault((r.file, r.line), {})[r.ln] = r.text
+    out = []
+    for r in kept:
+        out.append(f"{r.severity} {r.kind} {r.file}:{r.line}  {r.message}")
+        out += [f"{'>' if ln == r.line else ' '} {ln:>5} | {text}" for ln, text in sorted(source.get((r.file, r.line), {}).items())]
+    return "\n".join(out) + "\n"
