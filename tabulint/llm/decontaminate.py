@@ -43,6 +43,8 @@ PASSAGE = 32
 SIZES = (4, 8, 16, PASSAGE)
 #: Items that are broadcast and searched for at a time; more go in further scans, in the same space.
 ITEMS = 5_000
+#: Cells of the largest table of items by terms that is laid out whole (a byte each).
+MATRIX = 1 << 25
 STOP = 1e-3
 #: Stop words have this share of their weight, and weigh less than any other word.
 LIGHT, COMMON = 0.5, 2.0
@@ -78,7 +80,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return textkit.hash_words(data, starts, ends, fold=True), first
 
 
-def _slices(parts, column: int, most: int = 1 << 19):
+def _slices(parts, column: int, most: int = 1 << 18):
     for p in parts:
         for q in textkit.batches(p, p.schema.names[column], most):
             yield q, *_words(q.column(column))
@@ -253,7 +255,7 @@ class Bench:
             self.words.append(h)
             own, times = np.unique(k, return_counts=True)
             whole.append(float(weight[own].sum()))
-            keys.append((self._key(np.full(len(own), len(self.items) - 1), own), np.minimum(times, 255)))
+            keys.append((own, len(self.items) - 1, np.minimum(times, 255)))
             rarest = int(np.argmax(weight[k]))
             anchors.append((int(k[rarest]), rarest))
             size = max([s for s in SIZES if s <= len(h)], default=SIZES[0])
@@ -264,11 +266,14 @@ class Bench:
                 queries.append(vectors[k[s:] if len(starts) == 1 else k[s : s + size]].sum(0))
                 owner.append(len(self.items) - 1)
         self.pieces = {size: Pieces(*x, vectors.shape[1]) for size, x in sorted(found.items())}
-        # how often an item has a term, by hash: what it lets through is checked on the words
-        places = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in keys)])
-        self.shift = np.uint64(64 - max(16, (16 * len(places)).bit_length()))
-        self.times = np.zeros(1 << int(64 - self.shift), np.uint8)
-        np.maximum.at(self.times, places >> self.shift, np.concatenate([np.zeros(0, np.int64), *(x for _, x in keys)]).astype(np.uint8))
+        # how often an item has a term: a row for each item if that is small, else by hash,
+        # where what is let through is checked on the words
+        self.wide = len(terms.words) if len(self.items) * len(terms.words) <= MATRIX else 0
+        places = sum(len(x) for x, _, _ in keys)
+        self.shift = np.uint64(64 - max(16, (16 * places).bit_length()))
+        self.times = np.zeros(len(self.items) * self.wide or 1 << int(64 - self.shift), np.uint8)
+        for own, i, times in keys:
+            np.maximum.at(self.times, self._place(np.full(len(own), i), own), times.astype(np.uint8))
         self.whole = np.maximum(np.array(whole), 1e-9)
         self.n = np.array([i.n for i in self.items], np.int64)
         self.need = np.ceil(self.n * covered - 1e-9)
@@ -276,16 +281,17 @@ class Bench:
         self.anchored = np.argsort(term, kind="stable")
         self.by_term = np.searchsorted(term[self.anchored], np.arange(len(terms.words) + 1))
 
-    @staticmethod
-    def _key(item: np.ndarray, term: np.ndarray) -> np.ndarray:
-        return textkit.mix64(item.astype(np.uint64) << np.uint64(32) | term.astype(np.uint64))
+    def _place(self, item: np.ndarray, term: np.ndarray) -> np.ndarray:
+        if self.wide:
+            return item * self.wide + term
+        return (textkit.mix64(item.astype(np.uint64) << np.uint64(32) | term.astype(np.uint64)) >> self.shift).astype(np.int64)
 
     def there(self, item: np.ndarray, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each of the items: how many of the terms, whose row each is in, are its
         own, each as often as it has it, and the share of its weight that they have."""
-        place = self._key(item[row], term) >> self.shift
-        own = np.flatnonzero(self.times[place])
-        pair = np.sort(row[own].astype(np.uint64) << np.uint64(40) | term[own].astype(np.uint64) << np.uint64(8) | self.times[place[own]])
+        most = np.take(self.times, self._place(item[row], term))
+        own = np.flatnonzero(most)
+        pair = np.sort(row[own].astype(np.uint64) << np.uint64(40) | term[own].astype(np.uint64) << np.uint64(8) | most[own])
         new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
         once, many = pair[new], np.diff(np.append(new, len(pair)))
         row, term, most = (once >> np.uint64(40)).astype(np.int64), (once >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.int64), (once & np.uint64(255)).astype(np.int64)
