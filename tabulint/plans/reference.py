@@ -80,4 +80,4 @@ def suggestions(reference: DataFrame, name: str, most: int = 3) -> DataFrame:
 
 def explained(findings: DataFrame, reference: DataFrame) -> DataFrame:
     """findings with why and fix; the dimension has a row a kind."""
-    return findings.join(F.broadcast(reference.select("kind", "category", "why", "fix")), "kind", "left")
+    return findings.join(reference.select("kind", "category", "why", "fix"), "kind", "left")
