@@ -293,3 +293,24 @@ def test_longest_repeated_spans(spark):
     removed = {r.doc_id: r.n_removed for r in substrings.without_repeats(table).collect()}
     gone = {d: len({i + k for x, i in covered if x == d for k in range(20)}) for d in words}
     assert removed == gone
+
+
+def test_empty_tables_and_very_long_texts(spark, nothing):
+    """Every operator gives an empty table of its columns for one, and reads texts whole."""
+    public = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tabulint.llm import tokens
+
+    assert secrets.scan(nothing.drop("secrets"), secrets.default_samples(spark)).count() == 0
+    assert tokens.token_counts(nothing, public, limit=1024).count() == 0
+    assert langid.identify(nothing, nothing).count() == 0
+    assert transport.stream_digests(nothing).count() == transport.store_texts(nothing).count() == 0
+    assert quality.scores(nothing, spark.createDataFrame([], "doc_id long, quality int"), "quality").count() == 0
+    long = "the cat sat on the mat and saw the dog. " * 30_000 + "password = hunter2hunter2 nachher"
+    table = spark.createDataFrame([(1, long), (2, "the cat")], "doc_id long, text string")
+    (one,) = secrets.scan(table.filter("doc_id = 1"), secrets.default_samples(spark)).collect()
+    assert [(s.kind, s.start) for s in one.secrets] == [("assign", 40 * 30_000)]
+    assert {r.n_bytes for r in transport.stream_digests(table.filter("doc_id = 1")).collect()} == {len(long)}
+    learned = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(table, learned).collect()}[1] == "en"
+    whole = tokens.token_counts(table, public, limit=1024).filter("doc_id = 1").first()
+    assert whole.n_bytes == len(long) and whole.over_limit and whole.n_tokens > 300_000
