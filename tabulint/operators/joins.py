@@ -83,10 +83,11 @@ def link_endpoints(calls: DataFrame, routes: DataFrame) -> DataFrame:
     order with the call's pattern and a fitting verb, else the first with both
     patterns stripped of their API prefix; null without one."""
     c = calls.withColumn("p", path_pattern(F.col("path")))
-    r = routes.withColumn("p", path_pattern(F.col("path"))).select("route_seq", F.col("verb").alias("rv"), "p")
+    # the first route of each pattern and verb is all that a call can get
+    r = routes.select("route_seq", F.col("verb").alias("rv"), path_pattern(F.col("path")).alias("p")).groupBy("p", "rv").agg(F.min("route_seq").alias("route_seq"))
     fits = (F.col("rv") == F.col("verb")) | (F.col("rv") == "any") | (F.col("verb") == "any")
     exact = c.join(r, "p").filter(fits).select("call_seq", F.lit(0).alias("tier"), "route_seq")
-    cd, rd = c.withColumn("p", without_api_prefix(F.col("p"))).filter("p <> ''"), r.withColumn("p", without_api_prefix(F.col("p"))).filter("p <> ''")
+    cd, rd = c.withColumn("p", without_api_prefix(F.col("p"))).filter("p <> ''"), r.withColumn("p", without_api_prefix(F.col("p"))).filter("p <> ''").groupBy("p", "rv").agg(F.min("route_seq").alias("route_seq"))
     loose = cd.join(rd, "p").filter(fits).select("call_seq", F.lit(1).alias("tier"), "route_seq")
     best = exact.unionAll(loose).groupBy("call_seq").agg(F.min(F.struct("tier", "route_seq")).alias("b"))
     how = F.when(F.col("b.tier") == 0, "exact").when(F.col("b.tier") == 1, "prefix")

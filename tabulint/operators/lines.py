@@ -79,7 +79,8 @@ def is_hardcoded_secret(line: Column) -> Column:
     for w in NO_SECRET:
         plain = plain | F.lower(line).contains(w)
     yes = lambda c: F.coalesce(c, F.lit(False))
-    return line.rlike(SECRET) & ~plain & ~yes(status) & ~yes(template) & ~yes(identifier)
+    # most lines hold neither sign and are settled without a pattern
+    return (line.contains("=") | line.contains(":")) & line.rlike(SECRET) & ~plain & ~yes(status) & ~yes(template) & ~yes(identifier)
 
 
 def capped(hits: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
