@@ -2,9 +2,10 @@
 
 Most pre-tokens of a text are themselves vocabulary strings.  Not every
 vocabulary string encodes alone as itself, though: the merges may never build
-it.  So once per worker every vocabulary string is encoded alone by the merges,
-and those proved to come out as one token form a table.  A pre-token in the
-table counts one without merging; only the rest go through the merges.
+it.  So every vocabulary string is encoded alone by the merges, once and before any
+text is read, and those proved to come out as one token form a table that is
+broadcast.  A pre-token in the table counts one without merging; only the rest go
+through the merges.
 """
 
 from __future__ import annotations
@@ -71,29 +72,48 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return [s for s, g in zip(symbols, gone) if not g]
 
 
+def loaded(path: str) -> dict:
+    """The tokenizer's file; an error if it asks for what is not done here: another
+    model, a normaliser, or added tokens that take white space or whole words."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    odd = [t["content"] for t in spec["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or odd:
+        raise ValueError(f"{path} is no plain byte-level BPE file" + f" (added tokens {odd})" * bool(odd))
+    return spec
+
+
+def ranked(spec: dict) -> dict[tuple[str, str], int]:
+    return {tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)): i for i, m in enumerate(spec["model"]["merges"])}
+
+
+def proved(path: str) -> list[str]:
+    """The vocabulary strings that the merges make one token of."""
+    spec = loaded(path)
+    ranks, back, out = ranked(spec), {c: b for b, c in byte_letters().items()}, []
+    for v in spec["model"]["vocab"]:
+        try:
+            s = bytes(back[c] for c in v).decode()
+        except (KeyError, UnicodeDecodeError):
+            continue
+        if len(merge(list(v), ranks)) == 1:
+            out.append(s)
+    return out
+
+
 class Counter(dict):
-    """Tokens of a pre-token; a missing one is merged and remembered."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.path, self.letters = path, byte_letters()
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in spec["model"]["merges"]]
-        self.ranks = {m: i for i, m in enumerate(merges)}
-        self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
+    """Tokens of a pre-token; a missing one is merged and remembered.  `known`: those
+    proved to be one token."""
+
+    def __init__(self, path: str, known: list[str]):
+        super().__init__(dict.fromkeys(known, 1))
+        spec = loaded(path)
+        self.path, self.letters, self.ranks = path, byte_letters(), ranked(spec)
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.find, self.find_latin = regex.compile(PATTERN).findall, re.compile(latin_pattern()).findall
         self.beyond_latin = re.compile(f"[^\\0-{chr(LATIN - 1)}]").search
         self.own = None
-        back = {c: b for b, c in self.letters.items()}
-        for v in spec["model"]["vocab"]:
-            try:
-                s = bytes(back[c] for c in v).decode()
-            except (KeyError, UnicodeDecodeError):
-                continue
-            if len(merge(list(v), self.ranks)) == 1:
-                self[s] = 1
         self.proved = dict(self)
 
     def __missing__(self, piece: str) -> int:
@@ -126,9 +146,10 @@ class Counter(dict):
 _LOADED: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, known: list[str]) -> Counter:
+    """The worker's counter for a file."""
     if path not in _LOADED:
-        _LOADED[path] = Counter(path)
+        _LOADED[path] = Counter(path, known)
     return _LOADED[path]
 
 
@@ -137,13 +158,15 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, text_col: str = "t
 
     tokenizer: path of a byte-level BPE file of the `tokenizers` library, there
     on every executor.  One scan, no shuffle.  A null or empty text has 0 bytes
-    and 0 tokens; repeated rows stay as many rows; special tokens' strings
-    inside a text count as that token, which is the library's default.
+    and 0 tokens; repeated rows stay as many rows; added tokens' strings, special or
+    not, inside a text count as that token, which is the library's default.  Texts of
+    any length are read whole, one after the other.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(proved(tokenizer))
     out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_bytes", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False)])
 
     def run(parts):
-        c = counter(tokenizer)
+        c = counter(tokenizer, shared.value)
         for p in parts:
             texts = p.column(len(keep))
             size = [len(t.encode()) if t else 0 for t in (x.as_py() for x in texts)]

@@ -267,7 +267,7 @@ def test_settled_characters():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    c, own = tokens.counter(path), Tokenizer.from_file(path).pre_tokenizer
+    c, own = tokens.counter(path, tokens.proved(path)), Tokenizer.from_file(path).pre_tokenizer
     for i in range(1, 0x10000):
         ch = chr(i)
         if 0xD800 <= i < 0xE000 or not tokens.SETTLED.fullmatch(ch):
@@ -282,7 +282,7 @@ def test_merge_order():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    c, t = tokens.counter(path), Tokenizer.from_file(path)
+    c, t = tokens.counter(path, tokens.proved(path)), Tokenizer.from_file(path)
 
     @settings(max_examples=300, deadline=None)
     @given(st.text(max_size=40))
