@@ -55,3 +55,33 @@ def test_pipeline(spark):
         copies.setdefault(r.doc_id, set()).add(r.copy)
         assert 0 <= r.position <= 1 and r.copy < 3
     assert sum(len(c) for c in copies.values()) == len(rows)
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    """Every document of the small table against every other of fitting size."""
+    data = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect())
+    fold, word = {i: i + 32 for i in range(65, 91)}, re.compile(r"[^ \t-\r]+")
+    sets = []
+    for d, t in rows:
+        w = word.findall((t or "").translate(fold))
+        sets.append((d, frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)]) if w else frozenset()))
+    parent = {d: d for d, _ in sets}
+
+    def find(d):
+        while parent[d] != d:
+            parent[d] = parent[parent[d]]
+            d = parent[d]
+        return d
+
+    order = sorted((x for x in sets if x[1]), key=lambda x: len(x[1]))
+    for i, (d, a) in enumerate(order):
+        for e, b in order[i + 1 :]:
+            if 100 * len(a) < 80 * len(b):
+                break
+            common = len(a & b)
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                x, y = find(d), find(e)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in registry.QUERIES["op1_near_duplicates"](spark, data).collect()}
+    assert got == {d: (len(s), find(d), find(d) == d) for d, s in sets}
