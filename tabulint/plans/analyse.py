@@ -57,14 +57,17 @@ def test_reachability(symbols: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def duplicates(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """Copies of functions: exact ones, then renamed ones of two lines or more; the
-    one with most call sites is the original."""
+    """Copies of functions: exact ones, then renamed ones of two lines or more, then
+    those of equal flow; the one with most call sites is the original.  symbols may have
+    flow_hash; without it the normalised hash stands for it, and no more is found."""
     own = symbols.filter(F.col("kind").isin("Function", "Method"))
-    levels = [F.col("hash"), F.when(F.col("line_end") > F.col("line_start"), F.col("normalized_hash"))]
-    weighed = own.select("id", "hash", "normalized_hash", "line_start", "line_end").join(A.call_sites(own, calls).select("id", "sites"), "id", "left")
+    flow = F.col("flow_hash" if "flow_hash" in symbols.columns else "normalized_hash").alias("flow")
+    levels = [F.col("hash"), *[F.when(F.col("line_end") > F.col("line_start"), F.col(c)) for c in ("normalized_hash", "flow")]]
+    weighed = own.select("id", "hash", "normalized_hash", flow, "line_start", "line_end").join(A.call_sites(own, calls).select("id", "sites"), "id", "left")
     groups = A.duplicate_cascade(weighed, "id", levels, F.col("sites")).filter("id <> canonical")
-    kind = F.when(F.col("level") == 1, "ExactDuplicate").otherwise("RenamedDuplicate")
-    return groups.join(own, "id").select(F.col("path").alias("file"), F.col("line_start").alias("line"), kind.alias("kind"), F.lit("Low").alias("severity"), F.when(F.col("level") == 1, 0.99).otherwise(0.9).alias("confidence"), F.concat(F.lit("copy of another function: "), "name").alias("message"), F.col("name").alias("symbol"))
+    by_level = lambda *values: F.element_at(F.array(*map(F.lit, values)), F.col("level"))
+    kind = by_level("ExactDuplicate", "RenamedDuplicate", "SemanticDuplicate")
+    return groups.join(own, "id").select(F.col("path").alias("file"), F.col("line_start").alias("line"), kind.alias("kind"), F.lit("Low").alias("severity"), by_level(0.99, 0.9, 0.7).alias("confidence"), F.concat(F.lit("copy of another function: "), "name").alias("message"), F.col("name").alias("symbol"))
 
 
 #: A comment that tells the checks to pass over its line and the next, with or without kinds.

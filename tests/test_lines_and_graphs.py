@@ -204,3 +204,11 @@ def test_the_whole_analysis_reads_settings_locks_and_comments(spark):
     calls = {(r.callee_name, r.target_kind) for r in out["calls"].collect()}
     assert ("self.check", "Resolved") in calls and ("Store.save", "Resolved") in calls
     assert out["score"].first().test_coverage > 0 and out["new"].count() > 0 and out["resolved"].count() == 1
+
+
+def test_three_levels_of_copies(spark):
+    rows = [("1", "a", "n", "f", 1, 4), ("2", "a", "n", "f", 1, 4), ("3", "b", "n", "f", 1, 4), ("4", "c", "m", "f", 1, 4), ("5", "d", "m", "f", 1, 4), ("6", "e", "o", "g", 1, 4), ("7", "h", "p", "g", 1, 4), ("8", "i", "q", "g", 1, 1)]
+    symbols = spark.createDataFrame(rows, "id string, hash string, normalized_hash string, flow_hash string, line_start int, line_end int").withColumns({"kind": F.lit("Function"), "name": F.col("id"), "path": F.lit("x")})
+    calls = spark.createDataFrame([("x", 1, "5", "7", None)], "path string, line_start int, caller_id string, callee_id string, callee_name string")
+    got = {r.symbol: (r.kind, r.confidence) for r in Z.duplicates(symbols, calls).collect()}
+    assert got == {"2": ("ExactDuplicate", 0.99), "5": ("RenamedDuplicate", 0.9), "6": ("SemanticDuplicate", 0.7)}
