@@ -79,10 +79,7 @@ def endpoint_links(spark, sf_dir):
 def endpoint_reconcile(spark, sf_dir):
     """Matched calls, calls without a route, routes without a call."""
     routes, calls = routes_and_calls(spark, sf_dir)
-    linked = J.link_endpoints(calls, routes)
-    orphans = routes.join(linked.filter("route_seq is not null"), "route_seq", "left_anti").agg(F.count("*").alias("orphan_routes"))
-    counts = linked.agg(F.count("route_seq").alias("matched"), F.count_if(F.col("route_seq").isNull()).alias("orphan_calls"))
-    return counts.join(F.broadcast(orphans))
+    return J.reconcile(calls, routes)["counts"]
 
 
 @_r.add(

@@ -94,6 +94,15 @@ def link_endpoints(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return calls.join(best, "call_seq", "left").select(*calls.columns, F.col("b.route_seq").alias("route_seq"), how.alias("match"))
 
 
+def reconcile(calls: DataFrame, routes: DataFrame) -> dict[str, DataFrame]:
+    """links: link_endpoints(); orphan_calls: calls without a route; orphan_routes: routes
+    that no call gets; counts: one row (matched, orphan_calls, orphan_routes)."""
+    linked = link_endpoints(calls, routes)
+    lonely = routes.join(linked.filter("route_seq is not null").select("route_seq").distinct(), "route_seq", "left_anti")
+    counts = linked.agg(F.count("route_seq").alias("matched"), F.count_if(F.col("route_seq").isNull()).alias("orphan_calls"))
+    return {"links": linked, "orphan_calls": linked.filter("route_seq is null"), "orphan_routes": lonely, "counts": counts.join(lonely.agg(F.count("*").alias("orphan_routes")))}
+
+
 def endpoint_keys(routes: DataFrame) -> DataFrame:
     """(key, route_seq): `verb pattern` of every verb a route serves."""
     verbs = F.when(F.col("verb") == "any", F.array(*map(F.lit, VERBS))).otherwise(F.array("verb"))

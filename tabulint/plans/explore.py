@@ -73,6 +73,25 @@ def relevance(findings: DataFrame, impacts: DataFrame, objectives: list[str], si
     return findings.join(per, "kind").filter("relevance <> 0")
 
 
+def copies_of(findings: DataFrame, most: int = 100) -> tuple[DataFrame, int]:
+    """(the first findings of copied functions, how many there are)."""
+    copied = findings.filter(F.col("kind").isin("ExactDuplicate", "RenamedDuplicate", "SemanticDuplicate"))
+    return limited(copied, [F.desc("confidence"), "file", "line"], most)
+
+
+def endpoints(routes: DataFrame, http_calls: DataFrame) -> dict[str, DataFrame]:
+    """Routes (path, seq, verb, route) and client calls of a tree brought together: see
+    joins.reconcile."""
+    key = lambda df, name: df.select(F.struct("path", "seq").alias(name), "verb", F.col("route").alias("path"), F.col("path").alias("file"), F.col("line_start").alias("line"))
+    return J.reconcile(key(http_calls, "call_seq"), key(routes, "route_seq"))
+
+
+def performance_advice(findings: DataFrame, objectives: list[str], most: int = 20) -> tuple[DataFrame, int]:
+    """(the findings that matter most to the objectives, worst first, how many matter)."""
+    impacts = findings.sparkSession.createDataFrame(IMPACTS, "kind string, objective string, direction string, weight int")
+    return limited(relevance(findings, impacts, objectives, signed=True), [F.desc("relevance"), severity_rank(F.col("severity")).desc(), "file", "line"], most)
+
+
 def promoted(http_calls: DataFrame, candidates: DataFrame, wrappers: DataFrame) -> DataFrame:
     """Client calls, with the calls of functions that turned out to wrap a client."""
     found = candidates.join(wrappers.select(F.col("name").alias("via")).distinct(), "via", "left_semi")

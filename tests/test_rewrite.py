@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabulint.operators import findings as P
 from tabulint.operators.lines import lines
-from tabulint.plans import report, rewrite
+from tabulint.plans import explore, report, rewrite
 from tabulint.sources import files as S
 
 
@@ -36,3 +36,17 @@ def test_fix_plans_and_reports(spark):
     source = lines(spark.createDataFrame([("a.py", "one\ntwo\nthree\nfour\n")], "path string, text string"), "path", "text")
     shown = report.terminal(found, source)
     assert ">     2 | two" in shown and "HardcodedSecret a.py:2" in shown
+
+
+def test_questions_with_exact_totals(spark):
+    rows = [("a", i, k, "Low", 0.9) for i in range(30) for k in ("ExactDuplicate", "NPlusOneQuery", "LongFunction")]
+    found = spark.createDataFrame(rows, "file string, line int, kind string, severity string, confidence double")
+    first, total = explore.copies_of(found, 10)
+    assert total == 30 and first.count() == 10
+    first, total = explore.performance_advice(found, ["Latency"], 5)
+    assert total == 30 and {(r.kind, r.relevance) for r in first.collect()} == {("NPlusOneQuery", 3)}
+    facts = "path string, seq long, verb string, route string, line_start int"
+    routes = spark.createDataFrame([("s", 1, "get", "/users/{id}", 1), ("s", 2, "post", "/users", 2)], facts)
+    calls = spark.createDataFrame([("c", 1, "get", "/users/7", 1), ("c", 2, "get", "/nowhere", 2)], facts)
+    got = explore.endpoints(routes, calls)
+    assert tuple(got["counts"].first()) == (1, 1, 1) and got["orphan_calls"].first().path == "/nowhere"
