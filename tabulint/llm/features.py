@@ -159,8 +159,10 @@ def collected(rows: DataFrame, grams) -> tuple[list[str], np.ndarray]:
                 at = [np.flatnonzero(r) for r in m]
                 yield pa.RecordBatch.from_arrays([q.column(0).cast(pa.string()), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([r[a].astype(np.float32).tobytes() for r, a in zip(m, at)], pa.binary())], names=["label", "at", "n"])
 
-    got = rows.mapInArrow(run, "label string, at binary, n binary").orderBy(F.xxhash64("at", "n"), "label").collect()
-    x = np.zeros((len(got), grams.dims), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.float32)
-    return [r["label"] for r in got], x
+    got = rows.mapInArrow(run, "label string, at binary, n binary").orderBy(F.xxhash64("at", "n"), "label").toArrow()
+    x, i = np.zeros((got.num_rows, grams.dims), np.float32), 0
+    for p in got.to_batches():
+        for at, n in zip(p.column(1), p.column(2)):
+            x[i, np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(n.as_buffer(), np.float32)
+            i += 1
+    return got.column(0).to_pylist(), x

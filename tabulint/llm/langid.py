@@ -75,10 +75,14 @@ def fit(labelled: DataFrame, lang: str, text: str, families: dict[str, str], per
     if not names:
         return model
     counts /= np.maximum(counts.sum(1, keepdims=True) / 2, 1)
-    x = counts
-    scale = 1 / (x.std(0) + np.float32(1e-4))
-    scale /= np.sqrt(np.mean((x * scale) ** 2) * DIMS)
-    x = (x * scale).astype(np.float32)
+    # in place and by columns, so that the sample is in memory once
+    x, scale = counts, np.empty(DIMS, np.float32)
+    for k in range(0, DIMS, 256):
+        scale[k : k + 256] = 1 / (x[:, k : k + 256].std(0) + np.float32(1e-4))
+    x *= scale
+    whole = np.float32(np.sqrt(sum(float(np.einsum("ij,ij->", x[:, k : k + 256], x[:, k : k + 256])) for k in range(0, DIMS, 256)) / len(x)))
+    x /= whole
+    scale /= whole
     family = np.array([families.get(n, n) for n in labels], dtype=object)
     weights, bias = [np.zeros((DIMS, 0), np.float32)], [np.zeros(0)]
     if len(groups) > 1:

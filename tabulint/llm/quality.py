@@ -49,7 +49,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, on: str, text: str, per_
     model = {"grams": grams, "labels": np.array([float(x) for x in labels])}
     if not labels:
         return model
-    df = (counts > 0).sum(0)
+    df = np.count_nonzero(counts, axis=0)
     model["idf"] = np.log((1 + len(labels)) / (1 + df)).astype(np.float32) + np.float32(0.05)
     x = weighed(model, counts)
     model["basis"] = randomised_svd(x, rank)
@@ -58,11 +58,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, on: str, text: str, per_
 
 
 def weighed(model: dict, counts: np.ndarray) -> np.ndarray:
-    """Weighted counts, each block brought to length one."""
-    x = np.log1p(counts).astype(np.float32) * model["idf"]
+    """Weighted counts, each block brought to length one; counts that are floats of 32
+    bits are changed in place, so that the sample is in memory once."""
+    x = counts.astype(np.float32, copy=False)
+    np.log1p(x, out=x)
+    x *= model["idf"]
     bounds = model["grams"].bounds
     for i, j in zip(bounds, bounds[1:]):
-        x[:, i:j] = unit(x[:, i:j])
+        part = x[:, i:j]
+        part /= np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-9)[:, None]
     return x
 
 
