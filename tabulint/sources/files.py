@@ -39,7 +39,8 @@ def is_kept(rel: Column, exclude: tuple[str, ...] = ()) -> Column:
 def readable(content: Column) -> Column:
     """Bytes as text; lines that are not UTF-8 become empty."""
     text = content.cast("string")
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.is_valid_utf8(x), x).otherwise(F.lit("")))
+    # splitting puts the replacement character where bytes are no text
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.contains("\ufffd"), F.lit("")).otherwise(x))
     return F.when(F.is_valid_utf8(text), text).otherwise(F.array_join(lines, "\n"))
 
 
