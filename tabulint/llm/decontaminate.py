@@ -129,7 +129,8 @@ def gram_times(texts: DataFrame, terms: Terms, weight: np.ndarray, basis: np.nda
             start = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
             own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
             y = np.add.reduceat(w[:, None] * basis[row], start, axis=0) / np.add.reduceat(w * w, start)[:, None]
-            order = np.argsort(row, kind="stable")
+            # short numbers are sorted by their digits
+            order = np.argsort(row.astype(np.uint16) if len(basis) <= 1 << 16 else row, kind="stable")
             bounds = np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))
             out[row[order][bounds]] += np.add.reduceat(w[order][:, None] * y[own[order]], bounds, axis=0)
         return out
@@ -186,7 +187,7 @@ def windows(steps: np.ndarray, base: np.ndarray, first: np.ndarray, size: int) -
     both = steps[:-1].copy()
     follows = np.flatnonzero(text[1:] == text[:-1])
     both[follows] += steps[follows + 1]
-    use = np.flatnonzero(both.any(axis=1))
+    use = np.flatnonzero(np.einsum("ij,ij->i", both, both))
     return both[use], first[text[use]] + (use - base[text[use]]) * (size // 2), text[use]
 
 
@@ -396,16 +397,18 @@ def _search(shared, parts, column: int, near: float, covered: float):
             while wide < size // 2:  # half of the least size first, then twice as wide each time
                 steps, wide = (stepped(terms, vectors, at, k, first, size // 2), size // 2) if steps is None else (doubled(*steps), 2 * wide)
             w, start, text = windows(*steps, first, size)
-            own = np.linalg.norm(w, axis=1)
+            own = np.sqrt(np.einsum("ij,ij->i", w, w))
             # a window with most of a piece is also as long as most of it
             some = np.flatnonzero(own >= near * pieces.length.min(initial=np.inf))
             w, start, text, own = w[some], start[some], text[some], own[some]
             for b in range(0, len(pieces.vectors), 1024):
                 product = w @ pieces.vectors[b : b + 1024].T
-                i, j = np.nonzero(product >= near * own[:, None])
-                both = product[i, j] >= near * pieces.length[b + j]
+                width = product.shape[1]
+                place = np.flatnonzero(product >= near * own[:, None])
+                value, i, j = product.reshape(-1)[place], place // width, place % width
+                both = np.flatnonzero(value >= near * pieces.length[b + j])
                 i, j = i[both], j[both]
-                for x, c, share in _judged(bench, h, first, at, k, size, start[i], text[i], product[i, j] / own[i], pieces.owner[b + j], covered, best):
+                for x, c, share in _judged(bench, h, first, at, k, size, start[i], text[i], value[both] / own[i], pieces.owner[b + j], covered, best):
                     best[x] = [max(best[x][0], c), max(best[x][1], share)] if x in best else [c, share]
         yield q, bench, best
 
