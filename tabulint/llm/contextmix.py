@@ -21,10 +21,11 @@ sum of -log2 of the probabilities of the bits that came is the text's length in
 
 Training is distributed.  Counts of the hashed contexts are sums over all training
 texts; a predictor whose rate is one over its count holds just those, in whatever
-order the texts came.  The gated weights and their map are learned online from
-lessons: a share of the training texts, chosen by a hash of the text, which the
-counts leave out while the weights are learned and take in afterwards.  Groups of
-lessons learn apart and their weights are averaged, so lessons grow with the corpus.
+order the texts came.  The gated weights and their map are learned from all training
+texts, too: a hash of the text halves them, and each half is predicted from the other
+half's counts, as texts must not be known while weights are learned from them.  A pack's
+weights follow its bits by Newton steps, each bit seen once; the packs' weights are
+averaged by their curvature.  Scores are made with the counts of both halves.
 
 Texts stay in packs of some megabytes.  Frequent words' prefix codes are broadcast (a
 fixed number); a pack's other words get theirs by a join.
@@ -61,9 +62,9 @@ PACK = 1 << 22
 #: Bytes of text that are scored side by side, and symbols of a longer text whose
 #: predictions are held at a time; the last place in the text is looked for within these.
 BATCH, SEGMENT = 1 << 18, 1 << 20
-#: Share of the training bytes that are lessons, and bytes of lessons that learn together.
-#: Small corpora give a larger share, a quarter at most, up to LESSON_BYTES.
-LESSONS, LESSON_BYTES, CLASS_BYTES = 1 / 128, 1 << 20, 1 << 22
+#: Weights before training, the curvature that holds them there, bits of a Newton step,
+#: and most repetitions of one, which ends as soon as no weight moves by more than MOVED.
+START, HELD, STEP, REPEATS, MOVED = 0.3, 10.0, 1 << 20, 8, 0.05
 #: Block ends along a text; further blocks have 512 symbols.
 BLOCKS = (64, 128, 256, 512)
 #: Gates: three levels of knowledge out of four each.
@@ -314,7 +315,7 @@ def untrained() -> tuple[np.ndarray, np.ndarray]:
     """Weights by input and gate, and the map: how likely the side that the sum is on
     is, by gate and distance."""
     mid = 1 / (1 + np.exp(-np.arange(COARSE + 1) * (FAR / COARSE)))
-    return np.full((INPUTS, GATES), 0.3, np.float32), np.tile(mid, (GATES, 1)).astype(np.float32)
+    return np.full((INPUTS, GATES), START, np.float32), np.tile(mid, (GATES, 1)).astype(np.float32)
 
 
 class Model:
@@ -397,34 +398,47 @@ class Model:
             seen[who] += np.bincount(cell, minlength=len(who) * (2 * COARSE + 1)).reshape(len(who), -1)
 
 
-def learn(tables: list[np.ndarray], batches, passes: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, places seen by gate and signed distance) from lessons: `batches` makes
-    (stream, codes of its words) pairs."""
-    weights, _ = untrained()
-    rng = np.random.default_rng(2)
-    seen = np.zeros(GATES * (2 * COARSE + 1))
-    done = 0
-    for r in range(passes):
-        for stream, words in batches():
-            code = predictions(tables, stream, words, 0, len(stream.data))[0].reshape(INPUTS, -1)
-            # as seen from the bit that came
-            turn = _BITS[stream.data].reshape(-1) == 0
-            for k in range(len(ORDERS)):
-                code[k] = np.where(turn, code[k] & 192 | 64 - (code[k] & 63), code[k])
-            order = rng.permutation(code.shape[1])
-            for at in range(0, len(order), 4096):
-                c = code[:, order[at : at + 4096]]
-                g, x = gates(c).astype(np.int64), _INPUT[c]
-                s = np.clip((weights[:, g] * x).sum(0), -FAR, FAR)
-                if r == passes - 1:
-                    seen += np.bincount(g * (2 * COARSE + 1) + _SIGNED[np.rint(s * (FINE / FAR)).astype(np.int64) + FINE], minlength=len(seen))
-                error = 1 - 1 / (1 + np.exp(-s))
-                many = np.bincount(g, minlength=GATES)
-                rate = 0.8 / (1 + done / 200)
+def newton(weights: np.ndarray, curve: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, curvature) of a gate after more bits, whose inputs (a row each) are seen
+    from the bit that came."""
+    at = weights
+    for _ in range(REPEATS):
+        likely = 1 / (1 + np.exp(-np.clip(at.astype(np.float32) @ x, -FAR, FAR)))
+        error = 1 - likely
+        more = curve + (x * (likely * error)) @ x.T
+        step = np.linalg.solve(more, x @ error - curve @ (at - weights))
+        at = at + step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < MOVED:
+            break
+    return at, more
+
+
+def learn(tables: list[np.ndarray], batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(curvature by gate, the same times the weights, both without what holds the start;
+    places seen by gate and signed distance) from the (stream, codes of its words) pairs."""
+    weights, hold = np.full((GATES, INPUTS), START), HELD * np.eye(INPUTS)
+    curve = np.tile(hold, (GATES, 1, 1))
+    seen = np.zeros((GATES, 2 * COARSE + 1))
+    for stream, words in batches:
+        for a in range(0, len(stream.data), SEGMENT):
+            b = min(a + SEGMENT, len(stream.data))
+            code = predictions(tables, stream, words, a, b)[0].reshape(INPUTS, -1)
+            signs = _SIGNS[stream.data[a:b]].reshape(-1)
+            for i in range(0, len(signs), STEP):
+                c, sign = code[:, i : i + STEP], signs[i : i + STEP]
+                gate = gates(c).astype(np.uint8)
+                order = np.argsort(gate, kind="stable")
+                x = np.empty(c.shape, np.float32)
                 for k in range(INPUTS):
-                    weights[k] += (rate * np.bincount(g, error * x[k], GATES) / (many + 40)).astype(np.float32)
-                done += 1
-    return weights, seen
+                    value = np.take(_INPUT, c[k], mode="clip")
+                    np.take(value * sign if k < len(ORDERS) else value, order, out=x[k], mode="clip")
+                cut = np.append(0, np.cumsum(np.bincount(gate, minlength=GATES)))
+                for g in np.flatnonzero(np.diff(cut)):
+                    own = x[:, cut[g] : cut[g + 1]]
+                    weights[g], curve[g] = newton(weights[g], curve[g], own)
+                    s = np.clip(weights[g].astype(np.float32) @ own, -FAR, FAR)
+                    seen[g] += np.bincount(_SIGNED[np.rint(s * np.float32(FINE / FAR)).astype(np.int64) + FINE], minlength=2 * COARSE + 1)
+    return curve - hold, np.einsum("gij,gj->gi", curve, weights) - HELD * START, seen
 
 
 def map_of(seen: np.ndarray) -> np.ndarray:
@@ -445,10 +459,10 @@ def count_bits(tables: list[np.ndarray], stream: Stream) -> None:
         table[at[new]] += np.diff(np.append(new, len(at))).astype(table.dtype)
 
 
-def counted(packs: DataFrame, alphabet: Alphabet, bits: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Tables' codes from the training texts without the lessons, and from all.  A task
-    sends its counts that are not 0, piece by piece; a piece is made into codes where
-    its counts meet, so the driver gets two bytes for each."""
+def counted(packs: DataFrame, alphabet: Alphabet, bits: tuple[int, ...]) -> tuple[list[np.ndarray], ...]:
+    """Tables' codes from the first half of the training texts, the second, and all.  A
+    task sends its counts that are not 0, piece by piece; a piece is made into codes where
+    its counts meet, so the driver gets three bytes for each."""
     sizes = [32 << b for b in bits]
     first = np.cumsum([0, *sizes]) // PIECE
 
@@ -460,21 +474,24 @@ def counted(packs: DataFrame, alphabet: Alphabet, bits: tuple[int, ...]) -> tupl
 
     def count(parts):
         tables, later = [np.zeros(n, np.int32) for n in sizes], []
+
+        def add(data):
+            for q in unpacked(data, SEGMENT):
+                count_bits(tables, Stream(q.column("text"), alphabet, hashes=False))
+
         for p in parts:
-            for lesson, data in zip(p.column(0).to_pylist(), p.column(1)):
-                if lesson:
+            for half, data in zip(p.column(0).to_pylist(), p.column(1)):
+                if half == 2:
                     later.append(data)
-                    continue
-                for q in unpacked(data, SEGMENT):
-                    count_bits(tables, Stream(q.column("text").filter(pc.greater(q.column("part"), 0)), alphabet, hashes=False))
-        yield from rows(tables, 0)
+                else:
+                    add(data)
+        yield from rows(tables, 1)
         if later:
             for t in tables:
                 t[:] = 0
             for data in later:
-                for q in unpacked(data, SEGMENT):
-                    count_bits(tables, Stream(q.column("text"), alphabet, hashes=False))
-            yield from rows(tables, 1)
+                add(data)
+            yield from rows(tables, 2)
 
     def fold(parts):
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -485,14 +502,13 @@ def counted(packs: DataFrame, alphabet: Alphabet, bits: tuple[int, ...]) -> tupl
                 sums[piece, kind][np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int32)
         none = np.zeros(PIECE, np.int64)
         for piece in sorted({k[0] for k in sums}):
-            main = sums.get((piece, 0), none)
-            both = main + sums.get((piece, 1), none)
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), *(pa.array([tables_of(x).tobytes()], pa.binary()) for x in (main, both))], names=["piece", "main", "both"])
+            first_, second = (sums.get((piece, kind), none) for kind in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), *(pa.array([tables_of(x).tobytes()], pa.binary()) for x in (first_, second, first_ + second))], names=["piece", "first", "second", "both"])
 
-    got = packs.select("lesson", "data").mapInArrow(count, "piece long, kind int, at binary, n binary")
+    got = packs.filter("half > 0").select("half", "data").mapInArrow(count, "piece long, kind int, at binary, n binary")
     # a table of its own, so that the counts' shuffle files can go
-    got = saved(got.repartition(min(128, int(first[-1])), "piece").mapInArrow(fold, "piece long, main binary, both binary"), "counts")
-    out = [np.full(int(first[-1]) * PIECE, 32, np.uint8) for _ in range(2)]
+    got = saved(got.repartition(min(128, int(first[-1])), "piece").mapInArrow(fold, "piece long, first binary, second binary, both binary"), "counts")
+    out = [np.full(int(first[-1]) * PIECE, 32, np.uint8) for _ in range(3)]
     for p in got.toArrow().to_batches():
         for i, piece in enumerate(p.column(0).to_pylist()):
             for table, c in zip(out, p.columns[1:]):
@@ -525,24 +541,25 @@ def word_codes(offsets: np.ndarray, path: np.ndarray, chosen: np.ndarray) -> tup
 
 
 def coded(buckets: DataFrame) -> DataFrame:
-    """(h, n, seen, code, lesson) of all words: hash, training count, count in all
+    """(h, n, seen, code, first, second) of all words: hash, training count, count in all
     texts, codes of the prefixes' predictions from all training texts and, for words
-    of lessons, from those without the lessons."""
+    that stand in the first half of these, from the second half; and the other way round."""
     shared = buckets.sparkSession.sparkContext.broadcast((wordpaths.edges_of(buckets, "n"), wordpaths.edges_of(buckets, "m")))
 
     def run(parts):
         for bucket, offsets, data, counts in wordpaths.opened(parts):
-            every, main = shared.value
-            wanted, columns = counts["n"] > counts["m"], []
-            for c, edge, chosen in (("n", every, np.ones(len(wanted), bool)), ("m", main, wanted)):
-                size, code = word_codes(offsets, wordpaths.paths(offsets, data, counts[c], *edge[bucket], bits=5), chosen)
-                columns.append(wordpaths.binary(5 * np.append(0, np.cumsum(size)), code.reshape(-1)))
-            lesson = pc.if_else(pa.array(wanted), columns[1], pa.scalar(None, pa.binary()))
-            rows = pa.RecordBatch.from_arrays([pa.array(counts["h"]), pa.array(counts["n"]), pa.array(counts["seen"]), columns[0], lesson], names=["h", "n", "seen", "code", "lesson"])
-            for i in range(0, len(wanted), 1 << 15):
+            n, m = counts["n"], counts["m"]
+            every, first = (wordpaths.paths(offsets, data, counts[c], *edge[bucket], bits=5) for c, edge in zip("nm", shared.value))
+            columns = []
+            for path, chosen in ((every, np.ones(len(n), bool)), (every - first, m > 0), (first, n > m)):
+                size, code = word_codes(offsets, path, chosen)
+                column = wordpaths.binary(5 * np.append(0, np.cumsum(size)), code.reshape(-1))
+                columns.append(pc.if_else(pa.array(chosen), column, pa.scalar(None, pa.binary())))
+            rows = pa.RecordBatch.from_arrays([pa.array(counts["h"]), pa.array(n), pa.array(counts["seen"]), *columns], names=["h", "n", "seen", "code", "first", "second"])
+            for i in range(0, len(n), 1 << 15):
                 yield rows.slice(i, 1 << 15)
 
-    return saved(buckets.repartition(F.col("bucket")).mapInArrow(run, "h long, n long, seen long, code binary, lesson binary"), "codes")
+    return saved(buckets.repartition(F.col("bucket")).mapInArrow(run, "h long, n long, seen long, code binary, first binary, second binary"), "codes")
 
 
 def unpacked(data: pa.Scalar, most: int):
@@ -585,72 +602,76 @@ def at_most(words: DataFrame, count: str, number: int) -> int:
 
 
 def packed_texts(docs: DataFrame, learn: str, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """(pack, lesson, data): packs of rows of some megabytes of text, in a compressed
-    column format, with the `keep` columns, text (null: empty) and part (0: only scored,
-    1: learned from, 2: a lesson).  Lessons have packs of their own."""
+    """(pack, half, data): packs of rows of some megabytes of text, in a compressed
+    column format, with the `keep` columns, text (null: empty) and part.  A pack's rows are
+    all of one part, its half: 0 for rows that are only scored, 1 and 2 for the halves of
+    those that are learned from, which equal texts share.  A pack's number ends in its
+    half (two bits)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     chosen = F.coalesce(F.col(learn).cast("boolean"), F.lit(False))
-    total = docs.agg(F.sum(F.when(chosen, F.octet_length(whole)))).first()[0] or 0
-    share = min(0.25, max(LESSONS, LESSON_BYTES / max(1, total)))
-    u = F.pmod(F.xxhash64(whole, F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    half = F.pmod(F.xxhash64(whole, F.lit(5)), F.lit(2)) + 1
     names = [*(f"k{i}" for i in range(len(keep))), "text", "part"]
 
     def run(parts):
         number = TaskContext.get().partitionId() << 32
-        waiting, size = ([], []), [0, 0]
+        waiting, size = ([], [], []), [0, 0, 0]
 
-        def pack(lesson):
+        def pack(half):
             nonlocal number
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, waiting[lesson][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for p in waiting[lesson]:
+            with pa.ipc.new_stream(sink, waiting[half][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for p in waiting[half]:
                     out.write_batch(p)
-            waiting[lesson].clear()
-            size[lesson], number = 0, number + 1
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([bool(lesson)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "lesson", "data"])
+            waiting[half].clear()
+            size[half], number = 0, number + 4
+            return pa.RecordBatch.from_arrays([pa.array([number | half], pa.int64()), pa.array([half], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "half", "data"])
 
         for p in parts:
             for q in textkit.batches(pa.RecordBatch.from_arrays(p.columns, names=names), "text", SEGMENT):
-                part = q.column(len(keep) + 1)
-                for lesson, most in ((0, PACK), (1, CLASS_BYTES)):
-                    rows = q.filter(pc.equal(part, 2) if lesson else pc.not_equal(part, 2))
+                for half in range(3):
+                    rows = q.filter(pc.equal(q.column("part"), half))
                     if rows.num_rows:
-                        waiting[lesson].append(rows)
-                        size[lesson] += rows.nbytes
-                        if size[lesson] >= most:
-                            yield pack(lesson)
-        for lesson in (0, 1):
-            if waiting[lesson]:
-                yield pack(lesson)
-
-    rows = docs.select(*keep, whole.alias("__text"), F.when(~chosen, 0).when(u < share, 2).otherwise(1).cast("int").alias("__part"))
-    return saved(rows.mapInArrow(run, "pack long, lesson boolean, data binary"), "packs")
-
-
-def trained(packs: DataFrame, codes_: DataFrame, alphabet: Alphabet, distinct: int) -> Model:
-    """The model: counts of all training texts, and gated weights from the lessons."""
-    main, both = counted(packs, alphabet, slot_bits(distinct))
-    weights, map_ = untrained()
-    shared = packs.sparkSession.sparkContext.broadcast(main)
-    cells = GATES * (2 * COARSE + 1)
-    numbers = 1 + weights.size + cells
+                        waiting[half].append(rows)
+                        size[half] += rows.nbytes
+                        if size[half] >= PACK:
+                            yield pack(half)
+        for half in range(3):
+            if waiting[half]:
+                yield pack(half)
+
+    rows = docs.select(*keep, whole.alias("__text"), F.when(chosen, half).otherwise(0).cast("int").alias("__part"))
+    return saved(rows.mapInArrow(run, "pack long, half int, data binary"), "packs")
+
+
+def lessons(packs: DataFrame, codes_: DataFrame, alphabet: Alphabet, halves: tuple, frequent: pa.Table | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """learn() of all training texts, each half with the tables `halves` of the other;
+    `frequent`: rows of codes_ that are broadcast."""
+    numbers = np.cumsum([GATES * INPUTS * INPUTS, GATES * INPUTS, GATES * (2 * COARSE + 1)])
+    common = [Codes.of(*(frequent.column(c).combine_chunks() for c in ("h", "n", half))) if frequent is not None else Codes.none() for half in ("first", "second")]
+    shared = [packs.sparkSession.sparkContext.broadcast(x) for x in zip(halves[::-1], common)]
 
     def run(left, right):
-        tables = shared.value
-        known = Codes.of(*(right.column(c).combine_chunks() for c in ("h", "n", "lesson")))
         (data,) = left.column("data")
-        w, seen = learn(tables, lambda: ((Stream(q.column("text"), alphabet), known) for q in unpacked(data, SEGMENT)))
-        size = float(sum(q.num_rows + np.sum(np.diff(textkit.buffers(q.column("text"))[0])) for q in unpacked(data, SEGMENT)))
-        return pa.Table.from_batches([*dense.pieces(np.concatenate([[size], w.reshape(-1) * size, seen]))])
+        tables, known = shared[left.column("half")[0].as_py() - 1].value
+        known = known | Codes.of(*(right.column(c).combine_chunks() for c in ("h", "n", "code")))
+        got = learn(tables, ((Stream(q.column("text"), alphabet), known) for q in unpacked(data, BATCH)))
+        return pa.Table.from_batches([*dense.pieces(np.concatenate([x.reshape(-1) for x in got]))])
+
+    training = packs.filter("half > 0")
+    code = F.when(F.col("pack").bitwiseAND(F.lit(3)) == 1, F.col("first")).otherwise(F.col("second"))
+    needed = words_of(training, common[0].hashes).join(codes_.select("h", "n", "first", "second"), "h").select("pack", "h", "n", code.alias("code"))
+    parts = training.select("pack", "half", "data").groupBy("pack").cogroup(needed.groupBy("pack")).applyInArrow(run, dense.SCHEMA)
+    # a table of its own, so that the words' shuffle files can go
+    curve, pull, seen = np.split(dense.folded(saved(parts, "lessons"), (int(numbers[-1]),)), numbers[:-1])
+    return curve.reshape(GATES, INPUTS, INPUTS), pull.reshape(GATES, INPUTS), seen
+
 
-    lessons = packs.filter("lesson")
-    needed = words_of(lessons, np.zeros(0, np.uint64)).join(codes_.select("h", "n", "lesson"), "h")
-    parts = lessons.select("pack", "data").groupBy("pack").cogroup(needed.select("pack", "h", "n", "lesson").groupBy("pack")).applyInArrow(run, dense.SCHEMA)
-    got = dense.folded(parts, (numbers,))
-    if got[0] > 0:
-        weights = (got[1 : 1 + weights.size] / got[0]).reshape(weights.shape)
-        map_ = map_of(got[1 + weights.size :])
-    return Model(alphabet, both, weights, map_)
+def trained(packs: DataFrame, codes_: DataFrame, alphabet: Alphabet, distinct: int, frequent: pa.Table | None = None) -> Model:
+    """The model: counts, gated weights and the map, all of all training texts."""
+    first, second, both = counted(packs, alphabet, slot_bits(distinct))
+    curve, pull, seen = lessons(packs, codes_, alphabet, (first, second), frequent)
+    weights = np.linalg.solve(curve + HELD * np.eye(INPUTS), (pull + HELD * START)[:, :, None])[:, :, 0].T
+    return Model(alphabet, both, weights, map_of(seen))
 
 
 def vocabulary(packs: DataFrame) -> DataFrame:
@@ -688,8 +709,8 @@ def score(docs: DataFrame, learn: str, text: str = "text", keep: tuple[str, ...]
     distinct, total = words.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     alphabet = alphabet_of(words)
     codes_ = coded(wordpaths.sorted_buckets(words, recoded(alphabet)))
-    model = trained(packs, codes_, alphabet, distinct)
-    listed = codes_.filter(F.col("seen") >= at_most(words, "seen", FREQUENT)).select("h", "n", "code").toArrow()
+    listed = codes_.filter(F.col("seen") >= at_most(words, "seen", FREQUENT)).toArrow()
+    model = trained(packs, codes_, alphabet, distinct, listed)
     common = Codes.of(*(listed.column(c).combine_chunks() for c in ("h", "n", "code")))
     del listed
     needed = words_of(packs, common.hashes).join(codes_.select("h", "n", "code"), "h").select("pack", "h", "n", "code")

@@ -139,16 +139,16 @@ def closed_hashes(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return textkit.hash_words(data, offsets[:-1], offsets[1:] - 1, fold=False)
 
 
-#: What is counted of a word: its places in all training texts, in those without the
-#: lessons, and in all texts.
+#: What is counted of a word: its places in all training texts, in the first half of
+#: these, and in all texts.
 COUNTS = ("n", "m", "seen")
 
 
 def vocabulary(rows: DataFrame, batches) -> DataFrame:
     """(word, n, m, seen): closed, lower-cased words of the texts, and each text's end.
     `batches` makes batches with columns text and part from an iterator of those of
-    `rows`; part is 0 for texts to score only, 1 for training texts, 2 for lessons,
-    which are training texts too."""
+    `rows`; part is 0 for texts to score only, 1 and 2 for the halves of the training
+    texts."""
 
     def run(parts):
         for p in parts:

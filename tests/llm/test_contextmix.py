@@ -295,3 +295,25 @@ def test_every_prefix_over_all_buckets(spark, docs, rows, monkeypatch):
     vocabulary.unpersist()
     many = {r["doc_id"]: r["score"] for r in contextmix.score(table, "learn").collect()}
     assert many == pytest.approx(one, rel=1e-6)
+
+
+def test_weights_come_from_all_training_texts(spark, docs, rows):
+    """Every bit of every training text is a lesson, once, predicted from the other half."""
+    packs = contextmix.packed_texts(flagged(docs), "learn", "text", ("doc_id",))
+    words_ = contextmix.vocabulary(packs)
+    alphabet = contextmix.alphabet_of(words_)
+    codes = contextmix.coded(wordpaths.sorted_buckets(words_, contextmix.recoded(alphabet)))
+    first, second, both = contextmix.counted(packs, alphabet, contextmix.slot_bits(1))
+    curve, _, seen = contextmix.lessons(packs, codes, alphabet, (first, second), codes.filter("seen > 1").toArrow())
+    train = [r[1] for r in rows if r[0] is not None and r[0] % 5 != 1]
+    assert seen.sum() == 5 * len(contextmix.Stream(pa.array([t or "" for t in train]), alphabet).data)
+    assert (np.linalg.eigvalsh(curve) > -1e-2).all()
+    # the words beyond the broadcast ones are joined: the same lessons
+    joined = contextmix.lessons(packs, codes, alphabet, (first, second))
+    assert joined[0] == pytest.approx(curve, rel=1e-3, abs=1e-2) and joined[2] == pytest.approx(seen, abs=5)
+    halves = {r.text: set() for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).collect()}
+    for half, data in ((r.half, r.data) for r in packs.filter("half > 0").collect()):
+        for q in contextmix.unpacked(pa.scalar(bytes(data), pa.binary()), 1 << 20):
+            for t in q.column("text").to_pylist():
+                halves[t].add(half)
+    assert max(map(len, halves.values())) == 1 and set.union(*halves.values()) == {1, 2}
