@@ -559,7 +559,7 @@ def coded(buckets: DataFrame) -> DataFrame:
             for i in range(0, len(n), 1 << 15):
                 yield rows.slice(i, 1 << 15)
 
-    return saved(buckets.repartition(F.col("bucket")).mapInArrow(run, "h long, n long, seen long, code binary, first binary, second binary"), "codes")
+    return saved(buckets.repartition(F.col("bucket")).mapInArrow(run, "h long, n long, seen long, code binary, first binary, second binary"), "codes", compression="zstd")
 
 
 def unpacked(data: pa.Scalar, most: int):
@@ -705,7 +705,7 @@ def score(docs: DataFrame, learn: str, text: str = "text", keep: tuple[str, ...]
     """
     spark = docs.sparkSession
     packs = packed_texts(docs, learn, text, keep)
-    words = saved(vocabulary(packs), "words")
+    words = saved(vocabulary(packs), "words", compression="zstd")
     distinct, total = words.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     alphabet = alphabet_of(words)
     codes_ = coded(wordpaths.sorted_buckets(words, recoded(alphabet)))

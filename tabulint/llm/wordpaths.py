@@ -219,7 +219,7 @@ def sorted_buckets(words: DataFrame, recode) -> DataFrame:
 
     dealt = words.select("word", *COUNTS).mapInArrow(number_of, "bucket int, word binary, h long, n long, m long, seen long")
     dealt = dealt.repartition(len(limits) + 1, "bucket").sortWithinPartitions("bucket", "word")
-    return saved(dealt.mapInArrow(gather, ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in names)), "buckets")
+    return saved(dealt.mapInArrow(gather, ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in names)), "buckets", compression="zstd")
 
 
 def opened(parts):
