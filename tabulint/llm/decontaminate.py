@@ -45,6 +45,8 @@ SIZES = (4, 8, 16, PASSAGE)
 ITEMS = 5_000
 #: Cells of the largest table of items by terms that is laid out whole (a byte each).
 MATRIX = 1 << 25
+#: Rows that run_sums() adds to one where runs are long.
+PART = 16
 STOP = 1e-3
 #: Stop words have this share of their weight, and weigh less than any other word.
 LIGHT, COMMON = 0.5, 2.0
@@ -94,6 +96,18 @@ def groups(first: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np
     return base, base[text] + (at - first[text]) // size
 
 
+def run_sums(rows: np.ndarray, which: np.ndarray, start: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+    """Sums of rows[which] (times `scale`) over the short runs that begin at `start`: all
+    runs' first rows at once, then their second ones, and so on."""
+    many = np.diff(np.append(start, len(which)))
+    take = lambda at: rows[which[at]] if scale is None else scale[at][:, None] * rows[which[at]]
+    out = take(start)
+    for j in range(1, int(many.max(initial=1))):
+        longer = np.flatnonzero(many > j)
+        out[longer] += take(start[longer] + j)
+    return out
+
+
 def weights(texts: DataFrame, terms: Terms) -> np.ndarray:
     """A weight per term, that of stop words below COMMON."""
     shared = texts.sparkSession.sparkContext.broadcast(terms)
@@ -128,11 +142,16 @@ def gram_times(texts: DataFrame, terms: Terms, weight: np.ndarray, basis: np.nda
             w, row = weight[k], k
             start = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
             own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
-            y = np.add.reduceat(w[:, None] * basis[row], start, axis=0) / np.add.reduceat(w * w, start)[:, None]
+            y = run_sums(basis, row, start, w) / np.add.reduceat(w * w, start)[:, None]
             # short numbers are sorted by their digits
             order = np.argsort(row.astype(np.uint16) if len(basis) <= 1 << 16 else row, kind="stable")
-            bounds = np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))
-            out[row[order][bounds]] += np.add.reduceat(w[order][:, None] * y[own[order]], bounds, axis=0)
+            row = row[order]
+            bounds = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            # long runs in parts, then the parts' sums
+            parts = -(-np.diff(np.append(bounds, len(row))) // PART)
+            first_part = np.cumsum(parts) - parts
+            start = np.repeat(bounds - PART * first_part, parts) + PART * np.arange(parts.sum())
+            out[row[bounds]] += np.add.reduceat(run_sums(y, own[order], start, w[order]), first_part, axis=0)
         return out
 
     return dense.total(texts, basis.shape, task)
@@ -163,7 +182,7 @@ def stepped(terms: Terms, vectors: np.ndarray, at: np.ndarray, k: np.ndarray, fi
     out = np.zeros((base[-1] + 1, vectors.shape[1]), np.float32)
     if len(k):
         start = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
-        out[step[start]] = np.add.reduceat(vectors[k], start, axis=0)
+        out[step[start]] = run_sums(vectors, k, start)
     return out, base
 
 
@@ -184,9 +203,9 @@ def windows(steps: np.ndarray, base: np.ndarray, first: np.ndarray, size: int) -
     that, that hold a term; a text's last window is what is left.  steps, base: of half
     the size."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(base))
-    both = steps[:-1].copy()
-    follows = np.flatnonzero(text[1:] == text[:-1])
-    both[follows] += steps[follows + 1]
+    both = steps[:-1] + steps[1:]
+    last = base[1:][np.diff(base) > 0] - 1
+    both[last] = steps[last]
     use = np.flatnonzero(np.einsum("ij,ij->i", both, both))
     return both[use], first[text[use]] + (use - base[text[use]]) * (size // 2), text[use]
 
@@ -287,12 +306,14 @@ class Bench:
             return item * self.wide + term
         return (textkit.mix64(item.astype(np.uint64) << np.uint64(32) | term.astype(np.uint64)) >> self.shift).astype(np.int64)
 
-    def there(self, item: np.ndarray, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each of the items: how many of the terms, whose row each is in, are its
-        own, each as often as it has it, and the share of its weight that they have."""
-        most = np.take(self.times, self._place(item[row], term))
-        own = np.flatnonzero(most)
-        pair = np.sort(row[own].astype(np.uint64) << np.uint64(40) | term[own].astype(np.uint64) << np.uint64(8) | most[own])
+    def there(self, item: np.ndarray, number: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the items: how many of the terms, a number of which go with each, are
+        its own, each as often as it has it, and the share of its weight that they have."""
+        spot = np.repeat(item * self.wide, number) + term if self.wide else self._place(np.repeat(item, number), term)
+        most = np.take(self.times, spot)
+        own = np.flatnonzero(most != 0)
+        row = np.repeat(np.arange(len(item)), np.diff(np.searchsorted(own, np.append(0, np.cumsum(number)))))
+        pair = np.sort(row.astype(np.uint64) << np.uint64(40) | term[own].astype(np.uint64) << np.uint64(8) | most[own])
         new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
         once, many = pair[new], np.diff(np.append(new, len(pair)))
         row, term, most = (once >> np.uint64(40)).astype(np.int64), (once >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.int64), (once & np.uint64(255)).astype(np.int64)
@@ -420,10 +441,9 @@ def _judged(bench: Bench, h, first, at, k, size, start, text, cosine, item, cove
     for a in range(0, len(item), 1 << 14):
         z = slice(a, a + (1 << 14))
         many = t1[z] - t0[z]
-        row = np.repeat(np.arange(len(many)), many)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(t0[z], many)
+        place = np.arange(many.sum()) + np.repeat(t0[z] - np.cumsum(many) + many, many)
         # how many of the item's words are there: no fewer than a subsequence of them
-        there, weight = bench.there(item[z], row, k[place])
+        there, weight = bench.there(item[z], many, k[place])
         like = (cosine[z] >= NEARER) & (weight >= WEIGHT)
         for x in np.flatnonzero((there >= bench.need[item[z]]) | like):
             key, c = (int(text[a + x]), int(item[a + x])), min(float(cosine[a + x]), 1.0)

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,3 +362,13 @@ def test_quality(spark, docs, rows):
     assert len(quality.scores(docs, labels, "quality").collect()) == len(rows)
     assert {r.score for r in quality.scores(docs, labels.limit(0), "quality").collect()} == {0.5}
     assert quality.scores(table.limit(0), labels, "quality").count() == 0
+
+
+def test_decontamination_sums_of_short_runs():
+    rng = np.random.default_rng(5)
+    vectors, which = rng.standard_normal((50, 8)).astype(np.float32), rng.integers(0, 50, 400)
+    start = np.append(0, np.sort(rng.choice(np.arange(1, 400), 60, replace=False)))
+    scale = rng.random(400).astype(np.float32)
+    assert np.allclose(decontaminate.run_sums(vectors, which, start), np.add.reduceat(vectors[which], start, axis=0), atol=1e-4)
+    assert np.allclose(decontaminate.run_sums(vectors, which, start, scale), np.add.reduceat(scale[:, None] * vectors[which], start, axis=0), atol=1e-4)
+    assert decontaminate.run_sums(vectors, which[:1], np.array([0])).tolist() == vectors[which[:1]].tolist()
