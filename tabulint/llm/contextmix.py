@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulint.llm import dense, textkit, wordpaths
-from tabulint.plans.durable import saved
+from tabulint.plans.durable import dropped, saved
 
 #: Symbols of the hashed contexts; one of four gives the gate.
 ORDERS = (3, 4, 6)
@@ -708,8 +708,12 @@ def score(docs: DataFrame, learn: str, text: str = "text", keep: tuple[str, ...]
     words = saved(vocabulary(packs), "words", compression="zstd")
     distinct, total = words.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     alphabet = alphabet_of(words)
-    codes_ = coded(wordpaths.sorted_buckets(words, recoded(alphabet)))
+    buckets = wordpaths.sorted_buckets(words, recoded(alphabet))
+    codes_ = coded(buckets)
     listed = codes_.filter(F.col("seen") >= at_most(words, "seen", FREQUENT)).toArrow()
+    # all that is read from here on is in the codes and the packs
+    dropped(buckets)
+    dropped(words)
     model = trained(packs, codes_, alphabet, distinct, listed)
     common = Codes.of(*(listed.column(c).combine_chunks() for c in ("h", "n", "code")))
     del listed
