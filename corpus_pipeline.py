@@ -10,12 +10,26 @@ document, in training order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulint.llm import curriculum, decontaminate, neardup, q_tables, quality, secrets
-from tabulint.plans.durable import saved
+from tabulint.plans.durable import saved, trimmed
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def lean(stage: Stage) -> Stage:
+    """The stage, begun without what the stages before left in the driver's memory."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        trimmed(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def held(docs: DataFrame) -> DataFrame:
@@ -29,6 +43,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return saved(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
 
 
+@lean
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled neighbours vote for.  Null and empty texts
     get the sample's share of good ones; without labels every document stays."""
@@ -36,6 +51,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.filter(F.col("score") >= q_tables.GOOD).select("row.*")
 
 
+@lean
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies over 5-word shingles, the first row of
     it; texts without words stay."""
@@ -44,11 +60,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(kept, F.col("number") == F.col("doc_id"), "left_semi").select("row.*")
 
 
+@lean
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     return decontaminate.without(held(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("row",)).select("row.*")
 
 
+@lean
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark in the text; n_chars follows."""
     marked = secrets.scan(held(docs), secrets.default_samples(spark))
@@ -57,6 +75,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return marked.select(F.col("row").withField("text", text).withField("n_chars", size).alias("row")).select("row.*")
 
 
+@lean
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document, range-sorted by training position;
     documents that it does not take go.  Columns of the mix that the documents have too
@@ -65,7 +84,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return taken.select("row.*", *[c for c in ("size", "source_size", "target", "taken", "copy", "position") if c not in docs.columns])
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality", quality_stage),
     ("near duplicates", near_duplicate_stage),
     ("decontamination", decontamination_stage),

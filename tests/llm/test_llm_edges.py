@@ -169,6 +169,36 @@ def test_stages_judge_rows_not_ids(spark, tmp_path):
         assert f(spark, docs.limit(0), d).count() == 0
 
 
+def test_stages_begin_without_what_others_left(spark, monkeypatch):
+    """The driver gives back what it holds free: some 100 MB here, pinned by the last block."""
+    import os
+    import re
+
+    import corpus_pipeline as P
+    from tabulint.plans import durable
+
+    class Begun(Exception):
+        pass
+
+    def begun(session):
+        raise Begun
+
+    def held():
+        with open(f"/proc/{os.getpid()}/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    blocks = [bytes(2000) for _ in range(50_000)]
+    pin = blocks[-1]
+    del blocks
+    before = held()
+    assert durable.trimmed(spark)
+    assert held() < before - 50 and len(pin) == 2000
+    monkeypatch.setattr(P, "trimmed", begun)
+    for _, stage in P.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, None, "")
+
+
 def packets_of(pid, body, start=True, counter=0):
     """A section or a piece of one in packets, with the pointer before it."""
     out, first = [], True
