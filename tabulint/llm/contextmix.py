@@ -38,7 +38,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -513,6 +513,7 @@ def counted(packs: DataFrame, alphabet: Alphabet, bits: tuple[int, ...]) -> tupl
         for i, piece in enumerate(p.column(0).to_pylist()):
             for table, c in zip(out, p.columns[1:]):
                 table[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(c[i].as_buffer(), np.uint8)
+    dropped(got)
     return tuple([t[first[k] * PIECE : first[k + 1] * PIECE].reshape(-1, 32) for k in range(len(sizes))] for t in out)
 
 
@@ -559,7 +560,9 @@ def coded(buckets: DataFrame) -> DataFrame:
             for i in range(0, len(n), 1 << 15):
                 yield rows.slice(i, 1 << 15)
 
-    return saved(buckets.repartition(F.col("bucket")).mapInArrow(run, "h long, n long, seen long, code binary, first binary, second binary"), "codes", compression="zstd")
+    out = saved(buckets.repartition(F.col("bucket")).mapInArrow(run, "h long, n long, seen long, code binary, first binary, second binary"), "codes", compression="zstd")
+    shared.destroy()
+    return out
 
 
 def unpacked(data: pa.Scalar, most: int):
@@ -568,9 +571,8 @@ def unpacked(data: pa.Scalar, most: int):
         yield from textkit.batches(p, "text", most)
 
 
-def words_of(packs: DataFrame, listed: np.ndarray) -> DataFrame:
-    """(pack, h): the words of each pack that are not among the sorted hashes `listed`."""
-    shared = packs.sparkSession.sparkContext.broadcast(listed)
+def words_of(packs: DataFrame, shared: Broadcast) -> DataFrame:
+    """(pack, h): the words of each pack that are not among the sorted hashes `shared`."""
 
     def run(parts):
         listed = shared.value
@@ -648,7 +650,7 @@ def lessons(packs: DataFrame, codes_: DataFrame, alphabet: Alphabet, halves: tup
     `frequent`: rows of codes_ that are broadcast."""
     numbers = np.cumsum([GATES * INPUTS * INPUTS, GATES * INPUTS, GATES * (2 * COARSE + 1)])
     common = [Codes.of(*(frequent.column(c).combine_chunks() for c in ("h", "n", half))) if frequent is not None else Codes.none() for half in ("first", "second")]
-    shared = [packs.sparkSession.sparkContext.broadcast(x) for x in zip(halves[::-1], common)]
+    shared = [packs.sparkSession.sparkContext.broadcast(x) for x in (*zip(halves[::-1], common), common[0].hashes)]
 
     def run(left, right):
         (data,) = left.column("data")
@@ -659,10 +661,14 @@ def lessons(packs: DataFrame, codes_: DataFrame, alphabet: Alphabet, halves: tup
 
     training = packs.filter("half > 0")
     code = F.when(F.col("pack").bitwiseAND(F.lit(3)) == 1, F.col("first")).otherwise(F.col("second"))
-    needed = words_of(training, common[0].hashes).join(codes_.select("h", "n", "first", "second"), "h").select("pack", "h", "n", code.alias("code"))
+    needed = words_of(training, shared[2]).join(codes_.select("h", "n", "first", "second"), "h").select("pack", "h", "n", code.alias("code"))
     parts = training.select("pack", "half", "data").groupBy("pack").cogroup(needed.groupBy("pack")).applyInArrow(run, dense.SCHEMA)
-    # a table of its own, so that the words' shuffle files can go
-    curve, pull, seen = np.split(dense.folded(saved(parts, "lessons"), (int(numbers[-1]),)), numbers[:-1])
+    # a table of its own, so that the words' shuffle files can go, and the tables' copies on every executor's disk
+    parts = saved(parts, "lessons")
+    for x in shared:
+        x.destroy()
+    curve, pull, seen = np.split(dense.folded(parts, (int(numbers[-1]),)), numbers[:-1])
+    dropped(parts)
     return curve.reshape(GATES, INPUTS, INPUTS), pull.reshape(GATES, INPUTS), seen
 
 
@@ -717,7 +723,7 @@ def score(docs: DataFrame, learn: str, text: str = "text", keep: tuple[str, ...]
     model = trained(packs, codes_, alphabet, distinct, listed)
     common = Codes.of(*(listed.column(c).combine_chunks() for c in ("h", "n", "code")))
     del listed
-    needed = words_of(packs, common.hashes).join(codes_.select("h", "n", "code"), "h").select("pack", "h", "n", "code")
+    needed = words_of(packs, spark.sparkContext.broadcast(common.hashes)).join(codes_.select("h", "n", "code"), "h").select("pack", "h", "n", "code")
     shared = spark.sparkContext.broadcast((model, common))
     bottom = math.log10(total + 0.5 * (distinct + 1))
     out = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())))])

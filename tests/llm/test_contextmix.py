@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -317,3 +318,17 @@ def test_weights_come_from_all_training_texts(spark, docs, rows):
             for t in q.column("text").to_pylist():
                 halves[t].add(half)
     assert max(map(len, halves.values())) == 1 and set.union(*halves.values()) == {1, 2}
+
+
+def test_what_only_training_reads_goes(spark, docs, monkeypatch):
+    """Of tables and broadcasts, those stay that the scores are read from."""
+    made = []
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append((value, send(self, value))) or made[-1][1])
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    out = contextmix.score(flagged(docs), "learn")
+    assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before) == ["codes", "packs"]
+    left = [value for value, b in made if Path(b._path).exists()]
+    assert len(made) > len(left) == 2 and sum(isinstance(x, tuple) for x in left) == 1
+    assert out.count() == docs.count()
