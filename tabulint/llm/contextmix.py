@@ -34,6 +34,7 @@ fixed number); a pack's other words get theirs by a join.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,8 @@ PACK = 1 << 22
 #: Bytes of text that are scored side by side, and symbols of a longer text whose
 #: predictions are held at a time; the last place in the text is looked for within these.
 BATCH, SEGMENT = 1 << 18, 1 << 20
+#: Symbols worked on at a time, so that what is made of them stays in a core's caches.
+NEAR = 1 << 14
 #: Weights before training, the curvature that holds them there, bits of a Newton step,
 #: and most repetitions of one, which ends as soon as no weight moves by more than MOVED.
 START, HELD, STEP, REPEATS, MOVED = 0.3, 10.0, 1 << 20, 8, 0.05
@@ -77,11 +80,12 @@ RATE, TRUST = 2.0, 64.0
 PIECE = 1 << 14
 _SPREAD = 0x9E3779B1
 
-# For each symbol: the nodes on its way in a binary tree, and its bits.
-_NODES = np.array([[1 << d | v >> 5 - d for d in range(5)] for v in range(32)], np.int32)
-_BITS = np.array([[v >> 4 - d & 1 for d in range(5)] for v in range(32)])
-_SIGNS = (2 * _BITS - 1).astype(np.float32)
-_AGREE = np.array([5 - v.bit_length() for v in range(32)])
+# For the upper three bits of a symbol: the nodes on its way in a binary tree, both of the last.
+_WAYS = np.array([[*(1 << d | v >> 3 - d for d in range(4)), 16 | 2 * v, 17 | 2 * v] for v in range(8)])
+# for each symbol, by depth, what turns a code of a 1 to the bit that came: codes ^ _MIRROR + _ONE
+_OFF = np.array([[~v >> 4 - d & 1 for d in (0, 1, 2, 3, 4, 4, 4, 4)] for v in range(32)], np.uint8)
+_MIRROR, _ONE = (63 * _OFF).reshape(-1).view(np.uint64), _OFF.reshape(-1).view(np.uint64)
+_AGREE = np.array([5 - v.bit_length() for v in range(32)], np.uint8)
 
 
 def inputs(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -110,7 +114,12 @@ for _i, _s in enumerate((4, 10, 16, 22, 28)):
         _MATCH[_i + 1, _a, _a : _a + 1] = min(_i, 2) + 1 << 6 | 32 - _s
 
 
-_MATCHES = _MATCH.reshape(36, 5)
+# those of the five bits in a number, and the code of a place's bits 2 to 5, which tell them apart
+_MATCHES = np.pad(_MATCH.reshape(36, 5), ((0, 0), (0, 3))).reshape(-1).view(np.uint64)
+_MATCH_CODE = np.full(16, 32, np.uint8)
+_MATCH_CODE[_MATCH >> 2 & 15] = _MATCH
+# what the place's length adds to its row, by the length to the longest limit
+_RUN_ROWS = (6 + 6 * np.searchsorted(_RUNS, np.arange(_RUNS[-1] + 1), side="right")).astype(np.uint8)
 
 
 def tables_of(counts: np.ndarray) -> np.ndarray:
@@ -124,6 +133,24 @@ def tables_of(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+class Ways:
+    """The tables' codes as they are read, one number for those that a symbol needs: by
+    slot and upper three bits of the symbol, a byte for each of the nodes _WAYS."""
+
+    def __init__(self, tables: list[np.ndarray]):
+        self.bits, self.tables = [len(t).bit_length() - 1 for t in tables], tables
+
+    @cached_property
+    def codes(self) -> list[np.ndarray]:
+        """Made where they are first read, so that the tables are what is sent."""
+        out = [np.zeros((len(t), 8, 8), np.uint8) for t in self.tables]
+        for codes_, t in zip(out, self.tables):
+            for i in range(0, len(t), NEAR):
+                codes_[i : i + NEAR, :, :6] = np.take(t[i : i + NEAR], _WAYS, axis=1)
+        del self.tables
+        return [codes_.reshape(-1).view(np.uint64) for codes_ in out]
+
+
 class Alphabet:
     """The bytes that are a symbol of their own."""
 
@@ -202,22 +229,35 @@ def last_places(stream: Stream, a: int, b: int) -> np.ndarray:
     """Rows of _MATCHES for the predictor that repeats what last stood behind the same 6
     symbols of a text, for the symbols from a to b, looking back as far as a."""
     past, data = stream.past[a:b], stream.data[a:b]
-    n = len(data)
-    text = np.repeat(np.arange(len(stream.bounds) - 1, dtype=np.uint64), np.diff(np.clip(stream.bounds, a, b)))
+    n, texts = len(data), len(stream.bounds) - 1
     shift = np.uint64(max(1, n.bit_length()))
-    key = (past.astype(np.uint64) | text << np.uint64(30)) * np.uint64(0x9E3779B97F4A7C15)
-    s = np.sort(key >> shift << shift | np.arange(n, dtype=np.uint64))
-    place = (s & (np.uint64(1) << shift) - np.uint64(1)).astype(np.int64)
-    again = np.flatnonzero(s[1:] >> shift == s[:-1] >> shift)
-    here, there = place[again + 1], place[again]
-    same = (past[here] == past[there]) & (text[here] == text[there])
-    here, there = here[same], there[same]
-    kind = np.zeros(n, np.int64)
-    kind[here] = 6
-    kind[here] += data[here] ^ data[there]
-    wrong_at = np.maximum.accumulate(np.where(kind == 6, -1, np.arange(n)))
-    run = here - 1 - np.append(-1, wrong_at[:-1])[here]
-    kind[here] = (1 + np.searchsorted(_RUNS, run, side="right")) * 6 + _AGREE[kind[here] - 6]
+    text = np.repeat(np.arange(texts, dtype=np.uint64) << np.uint64(30), np.diff(np.clip(stream.bounds, a, b)))
+    key = past | text
+    exact = int(shift) + 30 + (max(1, texts) - 1).bit_length() <= 64
+    if exact:
+        s = key << shift
+    else:  # a hash of them
+        s = key * np.uint64(0x9E3779B97F4A7C15) >> shift << shift
+    s |= np.arange(n, dtype=np.uint64)
+    s.sort()
+    again = np.flatnonzero(s[1:] ^ s[:-1] < np.uint64(1) << shift)
+    s &= (np.uint64(1) << shift) - np.uint64(1)
+    place = s.view(np.int64)
+    here, there = place[1:][again], place[again]
+    if not exact:
+        same = key[here] == key[there]
+        here, there = here[same], there[same]
+    # one more than how many bits agree, 0 where there is no place
+    agree = np.zeros(n, np.uint8)
+    agree[here] = 1 + _AGREE[data[here] ^ data[there]]
+    wrong_at = np.arange(n, dtype=np.int32)
+    run = wrong_at.copy()
+    wrong_at[agree == 6] = -1
+    run[1:] -= 1 + np.maximum.accumulate(wrong_at, out=wrong_at)[:-1]
+    kind = np.take(_RUN_ROWS, np.minimum(run, _RUNS[-1], out=run), mode="clip")
+    kind += agree
+    kind -= 1
+    kind *= agree > 0
     return kind
 
 
@@ -258,18 +298,28 @@ class Codes:
         return k[ok], ok
 
 
-def predictions(tables: list[np.ndarray], stream: Stream, words: Codes, a: int, b: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of each predictor, symbol and bit; count of each word) for the symbols
-    from a to b, brought in an order.  The contexts' codes are of a 1, the others' of the
-    bit that came."""
-    out = np.empty((INPUTS, b - a, 5), np.uint8)
+def predictions(ways: Ways, stream: Stream, words: Codes, a: int, b: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of each predictor, bit and symbol; count of each word) for the symbols
+    from a to b, brought in an order, all seen from the bit that came."""
+    out = np.empty((INPUTS, 5, b - a), np.uint8)
     data, past = stream.data[a:b], stream.past[a:b]
     if order is not None:
         data, past = data[order], past[order]
-    nodes = _NODES[data]
-    for k, n in enumerate(ORDERS):
-        slot = slots(n, past, len(tables[k]).bit_length() - 1).astype(np.int32) << 5
-        np.take(tables[k].reshape(-1), nodes + slot[:, None], out=out[k], mode="clip")
+    for i in range(0, b - a, NEAR):
+        near, before = data[i : i + NEAR], past[i : i + NEAR]
+        upper = near >> np.uint8(2)
+        mirror, one = np.take(_MIRROR, near, mode="clip"), np.take(_ONE, near, mode="clip")
+        fifth = np.arange(4, 8 * len(near), 8) + (near >> np.uint8(1) & np.uint8(1))
+        for k, n in enumerate(ORDERS):
+            at = slots(n, before, ways.bits[k]) << np.uint32(3)
+            at |= upper
+            got = np.take(ways.codes[k], at.astype(np.int64), mode="clip")
+            got ^= mirror
+            got += one
+            got = got.view(np.uint8)
+            for d in range(4):
+                out[k, d, i : i + NEAR] = got[d::8]
+            np.take(got, fifth, out=out[k, 4, i : i + NEAR], mode="clip")
     u, v = int(np.searchsorted(stream.starts, a, side="right")) - 1, int(np.searchsorted(stream.starts, b))
     h, starts = stream.hashes[u:v], stream.starts[u : v + 1]
     distinct, which = np.unique(h, return_inverse=True)
@@ -285,14 +335,17 @@ def predictions(tables: list[np.ndarray], stream: Stream, words: Codes, a: int,
     last = last_places(stream, a, b)
     if order is not None:
         prefix, last = prefix[order], last[order]
-    np.take(words.pool, prefix, axis=0, out=out[-2], mode="clip")
-    np.take(_MATCHES, last, axis=0, out=out[-1], mode="clip")
+    for i in range(0, b - a, NEAR):
+        out[-2, :, i : i + NEAR] = np.take(words.pool, prefix[i : i + NEAR], axis=0, mode="clip").T
+        got = np.take(_MATCHES, last[i : i + NEAR], mode="clip").view(np.uint8).reshape(-1, 8)
+        for d in range(5):
+            out[-1, d, i : i + NEAR] = got[:, d]
     return out, n[which]
 
 
 def gates(code: np.ndarray) -> np.ndarray:
     """Weight sets: levels of the prefix, the last place and the four symbols."""
-    return (code[-2] >> 2 & 48 | code[-1] >> 4 & 12 | code[ORDERS.index(4)] >> 6).astype(np.uint16)
+    return code[-2] >> 2 & 48 | code[-1] >> 4 & 12 | code[ORDERS.index(4)] >> 6
 
 
 def blocks(place: np.ndarray) -> np.ndarray:
@@ -305,6 +358,8 @@ def blocks(place: np.ndarray) -> np.ndarray:
 
 #: Steps of a sum, from -FINE to FINE, and on which side how far they are.
 _STEPS = np.arange(-FINE, FINE + 1)
+#: Predictors whose weighted inputs are looked up together.
+PAIRS = ((0, 2), (3, 1))
 _SQUASH = (1 / (1 + np.exp(-_STEPS * (FAR / FINE)))).astype(np.float32)
 _SIDE = np.sign(_STEPS)
 _BIN = (np.abs(_STEPS) + FINE // COARSE // 2) // (FINE // COARSE)
@@ -324,10 +379,12 @@ class Model:
     def __init__(self, alphabet: Alphabet, tables: list[np.ndarray], weights: np.ndarray, map_: np.ndarray):
         self.alphabet, self.tables = alphabet, tables
         self.weights, self.map = weights.astype(np.float32), map_.astype(np.float32)
-        # weight times input by gate and code; squashed sum and what the map makes of it, by gate and step
-        self.products = [np.outer(w, _INPUT).astype(np.float32).reshape(-1) for w in self.weights]
+        # weight times input by gate and the lower bits of codes, of pairs and the last place; squashed sum and what the map makes of it, by gate and step
+        one = [np.outer(w, _INPUT[:64]).astype(np.float32) for w in self.weights]
+        self.products = [(one[p][:, :, None] + one[q][:, None, :]).reshape(-1) for p, q in PAIRS] + [one[-1].reshape(-1)]
         self.refined = (_SQUASH + 0.5 + _SIDE * (self.map[:, _BIN] - 0.5)).astype(np.float32).reshape(-1)
         self.trained = self.map.mean(0)
+        self.ways = Ways(tables)
 
     def bits(self, stream: Stream, words: Codes) -> tuple[np.ndarray, np.ndarray]:
         """(bits of each text, count of each word)."""
@@ -337,12 +394,12 @@ class Model:
         for a in range(0, size, size if n > 1 else SEGMENT) if size else ():
             b = size if n > 1 else min(a + SEGMENT, size)
             bounds = stream.bounds if n > 1 else np.array([0, b - a])
-            text = np.repeat(np.arange(n), np.diff(bounds))
-            block = blocks(np.arange(b - a) - bounds[text] + a)
+            text = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+            block = blocks(np.arange(a, b) - np.repeat(bounds[:-1], np.diff(bounds)))
             order = np.argsort(block.astype(np.uint16) if block.max() < 1 << 16 else block, kind="stable")
             u, v = int(np.searchsorted(stream.starts, a, side="right")) - 1, int(np.searchsorted(stream.starts, b))
-            code, counts[u:v] = predictions(self.tables, stream, words, a, b, order)
-            self._along(code, stream.data[a:b][order], text[order], block[order], state, total)
+            code, counts[u:v] = predictions(self.ways, stream, words, a, b, order)
+            self._along(code.transpose(0, 2, 1), None, text[order], block[order], state, total)
         return total, counts
 
     def fresh(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,60 +409,75 @@ class Model:
 
     def own_map(self, seen: np.ndarray) -> np.ndarray:
         """What texts' own maps make of a signed distance."""
-        right, wrong = seen[:, COARSE:], seen[:, COARSE::-1]
-        likely = ((right + TRUST * self.trained) / (right + wrong + TRUST)).astype(np.float32)
-        likely[:, 0] = 0.5
-        return np.hstack([1 - likely[:, :0:-1], likely])
-
-    def _along(self, code: np.ndarray, data: np.ndarray, text: np.ndarray, block: np.ndarray, state: tuple[np.ndarray, np.ndarray], total: np.ndarray) -> None:
-        """Add the bits of texts whose symbols and codes are given by block and text, and
-        carry their state on."""
+        right, out = seen[:, COARSE:], np.empty(seen.shape, np.float32)
+        likely = (right + TRUST * self.trained) / (right + seen[:, COARSE::-1] + TRUST)
+        out[:, COARSE:], out[:, :COARSE], out[:, COARSE] = likely, 1 - likely[:, :0:-1], 0.5
+        return out
+
+    def _along(self, code: np.ndarray, data: np.ndarray | None, text: np.ndarray, block: np.ndarray, state: tuple[np.ndarray, np.ndarray], total: np.ndarray) -> None:
+        """Add the bits of texts whose codes (by predictor, symbol and bit) are given by
+        block and text, and carry their state on.  data: their symbols, if the contexts'
+        codes are of a 1; none, if they are seen from the bit that came."""
         own, seen = state
+        code = code.transpose(0, 2, 1)
+        if data is not None:
+            off = _OFF[data, :5].T
+            code = np.concatenate([(code[: len(ORDERS)] ^ 63 * off) + off, code[len(ORDERS) :]])
         cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
         for i, j in zip(cut, np.append(cut[1:], len(block))):
             t = text[i:j]
             first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            who, many = t[first], 5 * np.diff(np.append(first, j - i))
-            first *= 5
-            c = [x[i:j].reshape(-1) for x in code]
+            who, many = t[first], np.diff(np.append(first, j - i))
+            c = code[:, :, i:j]
             gate = gates(c)
-            gate = gate.astype(np.int64)
-            high = gate << 8
-            corpus = np.take(self.products[0], high | c[0], mode="clip")
-            for k in range(1, len(ORDERS)):
-                corpus += np.take(self.products[k], high | c[k], mode="clip")
-            corpus *= _SIGNS[data[i:j]].reshape(-1)
-            corpus += np.take(self.products[-2], high | c[-2], mode="clip")
-            corpus += np.take(self.products[-1], high | c[-1], mode="clip")
-            last = np.take(_INPUT, c[-1], mode="clip")
-            s = np.repeat(own[0, who], many) * corpus + np.repeat(own[1, who], many) * last
+            low = [x & np.uint8(63) for x in c]
+            high = gate.astype(np.int32) << 6
+            corpus = None
+            for (p, q), product in zip(PAIRS, self.products):
+                at = high | low[p].astype(np.int32)
+                at <<= 6
+                at |= low[q].astype(np.int32)
+                x = np.take(product, at.astype(np.int64), mode="clip")
+                corpus = x if corpus is None else np.add(corpus, x, out=corpus)
+            high |= low[-1].astype(np.int32)
+            corpus += np.take(self.products[-1], high.astype(np.int64), mode="clip")
+            last = (low[-1].astype(np.float32) - np.float32(32)) * np.float32(0.25)
+            s = np.repeat(own[0, who], many) * corpus
+            s += np.repeat(own[1, who], many) * last
             s *= np.float32(FINE / FAR)
             np.clip(np.rint(s, out=s), -FINE, FINE, out=s)
-            step = s.astype(np.int64)
-            step += FINE
-            gate *= 2 * FINE + 1
-            gate += step
-            final = np.take(self.refined, gate, mode="clip")
-            cell = np.take(_SIGNED, step, mode="clip")
+            step = s.astype(np.int16)
+            at = gate.astype(np.int32)
+            at *= 2 * FINE + 1
+            at += (step + np.int16(FINE)).astype(np.int32)
+            final = np.take(self.refined, at.astype(np.int64), mode="clip")
+            # as _SIGNED has it
+            step += (step >> 15) + np.int16(FINE // COARSE // 2)
+            step >>= (FINE // COARSE).bit_length() - 1
+            step += np.int16(COARSE)
+            cell = step.astype(np.int64)
             cell += np.repeat(np.arange(len(who)) * (2 * COARSE + 1), many)
             final += np.take(self.own_map(seen[who]).reshape(-1), cell, mode="clip")
             final *= np.float32(1 / 3)
             np.maximum(final, np.float32(1e-6), out=final)
-            error = 1 - final
-            total[who] -= np.add.reduceat(np.log2(final, out=final), first, dtype=np.float64)
+            # a symbol's probability, at least 1e-30
+            total[who] -= np.add.reduceat(np.log(np.multiply.reduce(final, 0)), first, dtype=np.float64) / math.log(2)
+            error = np.subtract(1, final, out=final)
             for k, x in enumerate((corpus, last)):
-                own[k, who] += (RATE * np.add.reduceat(error * x, first) / (many + 64)).astype(np.float32)
-            seen[who] += np.bincount(cell, minlength=len(who) * (2 * COARSE + 1)).reshape(len(who), -1)
+                x *= error
+                own[k, who] += (RATE * np.add.reduceat(x.sum(0), first) / (5 * many + 64)).astype(np.float32)
+            seen[who] += np.bincount(cell.reshape(-1), minlength=len(who) * (2 * COARSE + 1)).reshape(len(who), -1)
 
 
-def newton(weights: np.ndarray, curve: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def newton(weights: np.ndarray, curve: np.ndarray, x: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weights, curvature) of a gate after more bits, whose inputs (a row each) are seen
-    from the bit that came."""
+    from the bit that came; many: how often each column stands there."""
     at = weights
     for _ in range(REPEATS):
         likely = 1 / (1 + np.exp(-np.clip(at.astype(np.float32) @ x, -FAR, FAR)))
-        error = 1 - likely
-        more = curve + (x * (likely * error)) @ x.T
+        error = (1 - likely) * many
+        bent = x * (likely * error)
+        more = curve + np.array([bent @ row for row in x])
         step = np.linalg.solve(more, x @ error - curve @ (at - weights))
         at = at + step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < MOVED:
@@ -413,7 +485,26 @@ def newton(weights: np.ndarray, curve: np.ndarray, x: np.ndarray) -> tuple[np.nd
     return at, more
 
 
-def learn(tables: list[np.ndarray], batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all predictors in one number, how often they stand there) of the distinct
+    ones among bits, seen from those that came.  The gate and the inputs are kept: of the
+    contexts that have no part in the gate, the level is not."""
+    key = np.empty(code.shape[1:], np.uint32)
+    for i in range(0, code.shape[2], NEAR):
+        c = code[:, :, i : i + NEAR]
+        at = c[3].astype(np.uint32) << np.uint32(8)
+        for x, bits in ((c[1], 6), (c[0] & np.uint8(63), 6), (c[2] & np.uint8(63), 4)):
+            at |= x.astype(np.uint32)
+            at <<= np.uint32(bits)
+        np.bitwise_or(at, c[4] >> np.uint8(2) & np.uint8(15), out=key[:, i : i + NEAR])
+    key = key.reshape(-1)
+    key.sort()
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    many = np.diff(np.append(new, len(key)))
+    return key[new], many
+
+
+def learn(ways: Ways, batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(curvature by gate, the same times the weights, both without what holds the start;
     places seen by gate and signed distance) from the (stream, codes of its words) pairs."""
     weights, hold = np.full((GATES, INPUTS), START), HELD * np.eye(INPUTS)
@@ -422,22 +513,25 @@ def learn(tables: list[np.ndarray], batches) -> tuple[np.ndarray, np.ndarray, np
     for stream, words in batches:
         for a in range(0, len(stream.data), SEGMENT):
             b = min(a + SEGMENT, len(stream.data))
-            code = predictions(tables, stream, words, a, b)[0].reshape(INPUTS, -1)
-            signs = _SIGNS[stream.data[a:b]].reshape(-1)
-            for i in range(0, len(signs), STEP):
-                c, sign = code[:, i : i + STEP], signs[i : i + STEP]
-                gate = gates(c).astype(np.uint8)
+            code = predictions(ways, stream, words, a, b)[0]
+            for i in range(0, b - a, STEP // 5):
+                # the same codes are the same lesson, as often as they stand there
+                key, many = distinct(code[:, :, i : i + STEP // 5])
+                gate = (key >> 26 & 48).astype(np.uint8) | np.take(_MATCH_CODE >> 4 & 12, key & 15) | (key >> 22 & 3).astype(np.uint8)
                 order = np.argsort(gate, kind="stable")
-                x = np.empty(c.shape, np.float32)
-                for k in range(INPUTS):
-                    value = np.take(_INPUT, c[k], mode="clip")
-                    np.take(value * sign if k < len(ORDERS) else value, order, out=x[k], mode="clip")
+                key, many = key[order], many[order].astype(np.float32)
+                x = np.empty((INPUTS, len(key)), np.float32)
+                for k, shift in enumerate((10, 16, 4, 24)):
+                    x[k] = key >> shift & 63
+                x[-1] = np.take(_MATCH_CODE & 63, key & 15)
+                x -= 32
+                x /= 4
                 cut = np.append(0, np.cumsum(np.bincount(gate, minlength=GATES)))
                 for g in np.flatnonzero(np.diff(cut)):
-                    own = x[:, cut[g] : cut[g + 1]]
-                    weights[g], curve[g] = newton(weights[g], curve[g], own)
+                    own, times = x[:, cut[g] : cut[g + 1]], many[cut[g] : cut[g + 1]]
+                    weights[g], curve[g] = newton(weights[g], curve[g], own, times)
                     s = np.clip(weights[g].astype(np.float32) @ own, -FAR, FAR)
-                    seen[g] += np.bincount(_SIGNED[np.rint(s * np.float32(FINE / FAR)).astype(np.int64) + FINE], minlength=2 * COARSE + 1)
+                    seen[g] += np.bincount(_SIGNED[np.rint(s * np.float32(FINE / FAR)).astype(np.int64) + FINE], times, minlength=2 * COARSE + 1)
     return curve - hold, np.einsum("gij,gj->gi", curve, weights) - HELD * START, seen
 
 
@@ -650,13 +744,13 @@ def lessons(packs: DataFrame, codes_: DataFrame, alphabet: Alphabet, halves: tup
     `frequent`: rows of codes_ that are broadcast."""
     numbers = np.cumsum([GATES * INPUTS * INPUTS, GATES * INPUTS, GATES * (2 * COARSE + 1)])
     common = [Codes.of(*(frequent.column(c).combine_chunks() for c in ("h", "n", half))) if frequent is not None else Codes.none() for half in ("first", "second")]
-    shared = [packs.sparkSession.sparkContext.broadcast(x) for x in (*zip(halves[::-1], common), common[0].hashes)]
+    shared = [packs.sparkSession.sparkContext.broadcast(x) for x in (*zip(map(Ways, halves[::-1]), common), common[0].hashes)]
 
     def run(left, right):
         (data,) = left.column("data")
-        tables, known = shared[left.column("half")[0].as_py() - 1].value
+        ways, known = shared[left.column("half")[0].as_py() - 1].value
         known = known | Codes.of(*(right.column(c).combine_chunks() for c in ("h", "n", "code")))
-        got = learn(tables, ((Stream(q.column("text"), alphabet), known) for q in unpacked(data, BATCH)))
+        got = learn(ways, ((Stream(q.column("text"), alphabet), known) for q in unpacked(data, BATCH)))
         return pa.Table.from_batches([*dense.pieces(np.concatenate([x.reshape(-1) for x in got]))])
 
     training = packs.filter("half > 0")

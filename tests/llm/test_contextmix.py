@@ -332,3 +332,45 @@ def test_what_only_training_reads_goes(spark, docs, monkeypatch):
     left = [value for value, b in made if Path(b._path).exists()]
     assert len(made) > len(left) == 2 and sum(isinstance(x, tuple) for x in left) == 1
     assert out.count() == docs.count()
+
+
+def test_equal_codes_are_one_lesson(chained, monkeypatch):
+    """The codes are those along each symbol's way, and a lesson is worked through once,
+    however often its codes stand there."""
+    raw = np.frombuffer(" ".join(chained).encode(), np.uint8)
+    alphabet = contextmix.Alphabet(np.bincount(raw, minlength=256))
+    stream = contextmix.Stream(pa.array([*chained[200:], "Zéro ~ 漢字"]), alphabet)
+    tables = [np.zeros(32 << b, np.int32) for b in contextmix.slot_bits(1)]
+    contextmix.count_bits(tables, contextmix.Stream(pa.array(chained[:200]), alphabet))
+    tables = [contextmix.tables_of(t) for t in tables]
+    ways, size = contextmix.Ways(tables), len(stream.data)
+    code = contextmix.predictions(ways, stream, contextmix.Codes.none(), 0, size)[0]
+    for i in range(0, size, 997):
+        v = int(stream.data[i])
+        for table, order, got in zip(tables, contextmix.ORDERS, code):
+            row = table[contextmix.slots(order, stream.past[i : i + 1], len(table).bit_length() - 1)[0]]
+            for d in range(5):
+                c = int(row[1 << d | v >> 5 - d])
+                assert got[d, i] == (c if v >> 4 - d & 1 else c & 192 | 64 - (c & 63))
+    kept = code.reshape(contextmix.INPUTS, -1).copy()
+    kept[[0, 2]] &= 63
+    expected, counts = np.unique(kept, axis=1, return_counts=True)
+    assert sorted(contextmix.distinct(code)[1].tolist()) == sorted(counts.tolist())
+    columns, plain = [], contextmix.newton
+    monkeypatch.setattr(contextmix, "newton", lambda *a: (columns.append(a[2].shape[1]), plain(*a))[1])
+    curve, _, seen = contextmix.learn(ways, [(stream, contextmix.Codes.none())])
+    assert seen.sum() == 5 * size and sum(columns) == expected.shape[1] < size
+    # bit by bit, at the weights that the steps came to: about the same curvature
+    gate = contextmix.gates(code).reshape(-1)
+    assert set(np.flatnonzero(seen.sum(1))) == set(np.unique(gate)) and (seen.sum(1) == np.bincount(gate, minlength=contextmix.GATES)).all()
+    assert (np.linalg.eigvalsh(curve) > -1e-2).all()
+
+
+def test_last_places_of_very_many_texts():
+    """Beyond the texts that a key has room for, hashes of them find the same places."""
+    some = ["ab ab abc ab ab", "", "abcabcabcabc abcabcabd", "x" * 40]
+    alphabet = contextmix.Alphabet(np.bincount(np.frombuffer("".join(some).encode() + b" \n", np.uint8), minlength=256))
+    few, many = (contextmix.Stream(pa.array(some * n), alphabet) for n in (1, 1 << 15))
+    assert len(many.data).bit_length() + 30 + (len(many.bounds) - 2).bit_length() > 64
+    expected = contextmix.last_places(few, 0, len(few.data))
+    assert expected.any() and np.array_equal(contextmix.last_places(many, 0, len(many.data)).reshape(-1, len(expected)), np.tile(expected, (1 << 15, 1)))
