@@ -33,6 +33,7 @@ fixed number); a pack's other words get theirs by a join.
 
 from __future__ import annotations
 
+import copy
 import math
 from functools import cached_property
 
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulint.llm import dense, textkit, wordpaths
-from tabulint.plans.durable import dropped, saved
+from tabulint.plans.durable import dropped, given_back, saved
 
 #: Symbols of the hashed contexts; one of four gives the gate.
 ORDERS = (3, 4, 6)
@@ -166,11 +167,13 @@ class Alphabet:
         rare = np.flatnonzero(out == 31)
         at = np.arange(len(data) + 1)
         if len(rare):
-            size = self.size[data]
-            at = np.append(0, np.cumsum(size))
-            wide = np.empty(at[-1], np.uint8)
-            wide[at[:-1]] = out
-            wide[at[rare] + 1], wide[at[rare] + 2] = data[rare] >> 4, data[rare] & 15
+            begin = rare + 2 * np.arange(len(rare))
+            single = np.ones(len(data) + 2 * len(rare), bool)
+            single[begin + 1] = single[begin + 2] = False
+            wide = np.empty(len(single), np.uint8)
+            wide[single] = out
+            wide[begin + 1], wide[begin + 2] = data[rare] >> 4, data[rare] & 15
+            at = np.append(np.flatnonzero(single), len(single))
             out = wide
         return out, at
 
@@ -270,13 +273,13 @@ class Codes:
         self.hashes, self.counts, self.pool = hashes[order], counts[order], np.concatenate([np.full((1, 5), 32, np.uint8), pool])
         self.start, self.size = (1 + np.cumsum(sizes) - sizes)[order], sizes[order]
 
+    #: Further words, none of them among these; their pool's rows follow.
+    more: Codes | None = None
+
     def __or__(self, other: Codes) -> Codes:
-        """The words of both, which have none in common."""
-        out = Codes.__new__(Codes)
-        order = np.argsort(np.concatenate([self.hashes, other.hashes]), kind="stable")
-        both = lambda a, b: np.concatenate([a, b])[order]
-        out.hashes, out.counts, out.size = both(self.hashes, other.hashes), both(self.counts, other.counts), both(self.size, other.size)
-        out.start, out.pool = both(self.start, other.start + len(self.pool)), np.concatenate([self.pool, other.pool])
+        """The words of both, which have none in common, without a copy."""
+        out = copy.copy(self)
+        out.more = other
         return out
 
     @classmethod
@@ -297,6 +300,22 @@ class Codes:
         ok = np.flatnonzero(self.hashes[k] == h)
         return k[ok], ok
 
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count, first row in the pool, rows) of each of the sorted hashes."""
+        n, begin, size = (np.zeros(len(h), np.int64) for _ in range(3))
+        for words, base in ((self, 0), (self.more, len(self.pool))):
+            if words is not None:
+                k, ok = words.find(h)
+                n[ok], begin[ok], size[ok] = words.counts[k], base + words.start[k], words.size[k]
+        return n, begin, size
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """Rows of the pool."""
+        out = np.take(self.pool, at, axis=0, mode="clip")
+        if self.more is not None and len(far := np.flatnonzero(at >= len(self.pool))):
+            out[far] = self.more.pool[at[far] - len(self.pool)]
+        return out
+
 
 def predictions(ways: Ways, stream: Stream, words: Codes, a: int, b: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(codes of each predictor, bit and symbol; count of each word) for the symbols
@@ -323,9 +342,7 @@ def predictions(ways: Ways, stream: Stream, words: Codes, a: int, b: int, order:
     u, v = int(np.searchsorted(stream.starts, a, side="right")) - 1, int(np.searchsorted(stream.starts, b))
     h, starts = stream.hashes[u:v], stream.starts[u : v + 1]
     distinct, which = np.unique(h, return_inverse=True)
-    n, begin, size = (np.zeros(len(distinct), np.int64) for _ in range(3))
-    k, ok = words.find(distinct)
-    n[ok], begin[ok], size[ok] = words.counts[k], words.start[k], words.size[k]
+    n, begin, size = words.look(distinct)
     at = np.flatnonzero(size[which])
     low, high = np.maximum(starts[at] + SKIP, a), np.minimum(starts[at + 1], b)
     many = np.maximum(high - low, 0)
@@ -336,7 +353,7 @@ def predictions(ways: Ways, stream: Stream, words: Codes, a: int, b: int, order:
     if order is not None:
         prefix, last = prefix[order], last[order]
     for i in range(0, b - a, NEAR):
-        out[-2, :, i : i + NEAR] = np.take(words.pool, prefix[i : i + NEAR], axis=0, mode="clip").T
+        out[-2, :, i : i + NEAR] = words.rows(prefix[i : i + NEAR]).T
         got = np.take(_MATCHES, last[i : i + NEAR], mode="clip").view(np.uint8).reshape(-1, 8)
         for d in range(5):
             out[-1, d, i : i + NEAR] = got[:, d]
@@ -461,11 +478,10 @@ class Model:
             final *= np.float32(1 / 3)
             np.maximum(final, np.float32(1e-6), out=final)
             # a symbol's probability, at least 1e-30
-            total[who] -= np.add.reduceat(np.log(np.multiply.reduce(final, 0)), first, dtype=np.float64) / math.log(2)
+            total[who] -= np.add.reduceat(np.log(final[0] * final[1] * final[2] * final[3] * final[4]), first, dtype=np.float64) / math.log(2)
             error = np.subtract(1, final, out=final)
             for k, x in enumerate((corpus, last)):
-                x *= error
-                own[k, who] += (RATE * np.add.reduceat(x.sum(0), first) / (5 * many + 64)).astype(np.float32)
+                own[k, who] += (RATE * np.add.reduceat(np.einsum("ij,ij->j", x, error), first) / (5 * many + 64)).astype(np.float32)
             seen[who] += np.bincount(cell.reshape(-1), minlength=len(who) * (2 * COARSE + 1)).reshape(len(who), -1)
 
 
@@ -747,6 +763,8 @@ def lessons(packs: DataFrame, codes_: DataFrame, alphabet: Alphabet, halves: tup
     shared = [packs.sparkSession.sparkContext.broadcast(x) for x in (*zip(map(Ways, halves[::-1]), common), common[0].hashes)]
 
     def run(left, right):
+        # what earlier stages left in this worker
+        given_back()
         (data,) = left.column("data")
         ways, known = shared[left.column("half")[0].as_py() - 1].value
         known = known | Codes.of(*(right.column(c).combine_chunks() for c in ("h", "n", "code")))
@@ -823,6 +841,7 @@ def score(docs: DataFrame, learn: str, text: str = "text", keep: tuple[str, ...]
     out = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())))])
 
     def run(left, right):
+        given_back()
         model, common = shared.value
         known = common | Codes.of(*(right.column(c).combine_chunks() for c in ("h", "n", "code")))
         done = []
