@@ -62,10 +62,12 @@ def chains(symbols: DataFrame, calls: DataFrame, most_depth: int = 6, most_rows:
     """(entry, sink, name, depth, gated, severity, path): from each real entry point
     the first path by breadth to each kind and name of sink, of a report's length.
 
-    The walk goes on from symbols met for the first time by an entry; whether a
-    gate was passed and the most privileged tier crossed go along.  Among equal
-    lengths the least path is the first.  guarded: (id), entry points behind a route's
-    authentication, which are gated from the start.  Without most_rows all are given.
+    The walk goes back from the sinks, for all entry points at once: a symbol keeps the
+    least of its shortest ways to each sink, with the least privileged tier of those
+    without a gate and of those with one, so the work grows with calls and sinks, not
+    with what each entry point reaches.  Among equal lengths the least path is the first.
+    guarded: (id), entry points behind a route's authentication, which are gated from the
+    start.  Without most_rows all are given.
     """
     s = symbols.select("id", "name", "full_name", "path", "lang", tier(F.col("full_name"), F.col("path")).alias("tier"))
     c = calls.filter("caller_id is not null").join(s.select(F.col("id").alias("caller_id"), "lang"), "caller_id")
@@ -77,25 +79,30 @@ def chains(symbols: DataFrame, calls: DataFrame, most_depth: int = 6, most_rows:
     if guarded is not None:
         own_gate = own_gate.unionAll(guarded.select("id", F.lit(True).alias("gate"))).groupBy("id").agg(F.max("gate").alias("gate"))
     nodes = saved(s.join(own_gate, "id", "left").withColumn("gate", F.coalesce("gate", F.lit(False)) | is_gate(F.col("name"))), "nodes")
-    entry = nodes.join(symbols.filter(F.col("is_entry_point") & ~S.is_test(F.col("path"))).select("id"), "id")
-    front = saved(entry.select(F.col("id").alias("entry"), F.col("id").alias("node"), F.col("gate").alias("gated"), F.col("tier").alias("low"), F.col("tier").alias("high"), F.array("full_name").alias("path")), "front")
-    seen, found = front.select("entry", "node"), None
+    entry = nodes.join(symbols.filter(F.col("is_entry_point") & ~S.is_test(F.col("path"))).select("id"), "id").groupBy(F.col("id").alias("entry")).agg(F.max("tier").alias("low"))
+    edge = saved(step.filter("sink is null and dst is not null").select("src", "dst").distinct(), "edges")
+    own = nodes.select(F.col("id").alias("node"), "full_name", "gate", "tier")
+    key = ["node", "sink", "sink_name"]
+    # ways (path, open, shut) go on from what is called: the highest tier of the way if no gate is on it, and if one is
+    ahead = step.filter("sink is not null").select(F.col("src").alias("node"), "sink", "sink_name", F.array().cast("array<string>").alias("path"), F.lit(0).alias("open"), F.lit(None).cast("int").alias("shut"))
+    seen, found = None, None
     for depth in range(1, most_depth + 1):
-        out = front.join(step, front["node"] == step["src"])
-        hit = out.filter("sink is not null").select("entry", "sink", "sink_name", F.lit(depth).alias("depth"), "gated", (F.col("high") > F.col("low")).alias("raised"), "path")
+        raised = lambda x: F.when(x.isNotNull(), F.greatest(x, "tier"))
+        here = ahead.join(own, "node").select(*key, F.concat(F.array("full_name"), "path").alias("path"), F.when(~F.col("gate"), raised(F.col("open"))).alias("open"), raised(F.when(F.col("gate"), F.least("open", "shut")).otherwise(F.col("shut"))).alias("shut"))
+        of = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("path", c))).alias(c)
+        least = here.groupBy(*key).agg(F.min("path").alias("path"), of("open"), of("shut"))
+        front = least.select(*key, "path", *[F.when(F.col(f"{c}.path") == F.col("path"), F.col(f"{c}.{c}")).alias(c) for c in ("open", "shut")])
+        front = saved(front if seen is None else front.join(seen, key, "left_anti"), "front")
+        hit = front.withColumnRenamed("node", "entry").join(entry, "entry").select("entry", "sink", "sink_name", F.lit(depth).alias("depth"), F.col("open").isNull().alias("gated"), (F.coalesce("open", "shut") > F.col("low")).alias("raised"), "path")
         found = hit if found is None else found.unionAll(hit)
-        go = out.filter("sink is null and dst is not null").select("entry", F.col("dst").alias("id"), "gated", "low", "high", "path")
-        go = go.join(nodes.select("id", "full_name", "gate", "tier"), "id").select("entry", F.col("id").alias("node"), (F.col("gated") | F.col("gate")).alias("gated"), "low", F.greatest("high", "tier").alias("high"), F.concat("path", F.array("full_name")).alias("path"))
-        first = go.groupBy("entry", "node").agg(F.min(F.struct("path", "gated", "low", "high")).alias("f")).select("entry", "node", "f.gated", "f.low", "f.high", "f.path")
-        front = saved(first.join(seen, ["entry", "node"], "left_anti"), "front")
         if front.isEmpty():
             break
-        seen = seen.unionAll(front.select("entry", "node"))
-    best = found.groupBy("entry", "sink", "sink_name").agg(F.min(F.struct("depth", "path", "gated", "raised")).alias("b")).select("entry", "sink", "sink_name", "b.*")
+        seen = front.select(*key) if seen is None else seen.unionAll(front.select(*key))
+        ahead = edge.join(front.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "sink", "sink_name", "path", "open", "shut")
     base = F.coalesce(*[F.when(F.col("sink") == k, F.lit(v)) for k, v in UNGATED.items()])
     severity = F.when(F.col("gated"), F.lit("Low")).otherwise(base)
     severity = F.when(F.col("raised"), F.coalesce(*[F.when(severity == a, F.lit(b)) for a, b in RAISED.items()])).otherwise(severity)
-    out = best.select("entry", "sink", F.col("sink_name").alias("name"), "depth", "gated", severity.alias("severity"), "path")
+    out = found.select("entry", "sink", F.col("sink_name").alias("name"), "depth", "gated", severity.alias("severity"), "path")
     return out if most_rows is None else out.orderBy("entry", "sink", "name").limit(most_rows)
 
 

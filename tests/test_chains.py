@@ -23,3 +23,16 @@ def test_chains(spark):
 def test_naming(spark):
     symbols = spark.createDataFrame(SYMBOLS, "id string, name string, full_name string, path string, lang string, kind string, is_entry_point boolean")
     assert {(r.name, r.suggestion) for r in C.naming(symbols).collect()} == {("Bad_name", "badName"), ("test_x", "testX")}
+
+
+def test_work_grows_with_calls_not_with_what_entries_reach(spark, monkeypatch):
+    kept = []
+    real = C.saved
+    monkeypatch.setattr(C, "saved", lambda df, name, **o: kept.append((name, real(df, name, **o))) or kept[-1][1])
+    ids = [f"e{i}" for i in range(20)] + ["hub"] + [f"c{i}" for i in range(20)]
+    symbols = spark.createDataFrame([(i, i, f"a::{i}", "a.php", "Php", i[0] == "e") for i in ids], "id string, name string, full_name string, path string, lang string, is_entry_point boolean")
+    calls = [(f"e{i}", "hub", "x") for i in range(20)] + [("hub", f"c{i}", "x") for i in range(20)] + [("c7", None, "eval"), ("c3", None, "eval")]
+    got = C.chains(symbols, spark.createDataFrame(calls, "caller_id string, callee_id string, callee_name string"), most_rows=None).collect()
+    assert {(r.entry, r.depth, tuple(r.path)) for r in got} == {(f"e{i}", 3, (f"a::e{i}", "a::hub", "a::c3")) for i in range(20)}
+    # each entry met each callee: 440 rows; from the sinks back a symbol is met once
+    assert sum(df.count() for name, df in kept if name == "front") == 23
