@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabulint.operators import aggregates as A
 from tabulint.operators import findings as P
 from tabulint.operators import graph as G
 from tabulint.operators import joins as J
@@ -92,3 +93,16 @@ def test_fingerprints_are_stable(spark):
     got = {r.id: r.fingerprint for r in P.fingerprints(f, ["id"]).collect()}
     moved = f.withColumn("message", F.regexp_replace("message", "12|99", "7")).repartition(3)
     assert {r.id: r.fingerprint for r in P.fingerprints(moved, ["id"]).collect()} == got and len(set(got.values())) == 3
+
+
+def test_call_sites_of_a_common_name_are_put_together_once(spark):
+    n = 30
+    symbols = spark.createDataFrame([(i, "run") for i in range(n)] + [(0, "go"), (n, None), (n + 1, "go")], "id int, name string")
+    calls = [("f", i, i, None, "x.run") for i in range(n)] + [("f", 0, 0, 1, "run"), ("f", 99, 5, 1, "run"), ("f", 98, -7, 2, "run"), ("g", 1, 50, None, "go"), (None, 3, 1, 77, "z"), ("h", 1, None, n, "z")]
+    out = A.call_sites(symbols, spark.createDataFrame(calls, "path string, line_start int, caller_id int, callee_id int, callee_name string"))
+    got = {r.id: (r.sites, r.callers) for r in out.collect()}
+    every = list(range(n))
+    wanted = {i: (n, every) for i in range(n)} | {0: (n + 1, [*every, 50]), 1: (n + 1, every), 2: (n + 1, [-7, *every]), n: (1, []), n + 1: (1, [50]), 77: (0, [1])}
+    assert got == wanted
+    # symbols meet the lists of their names last, and no aggregation follows with a row for each symbol and call
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
