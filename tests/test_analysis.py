@@ -139,3 +139,14 @@ def test_snapshots(spark, tmp_path):
     assert turn() == {"a", "b"}
     put(("a", "Python", "clean", 2))
     assert turn() == {"b"}
+
+
+def test_sarif_in_lines_is_one_log(spark):
+    rows = [("Zeta" if i % 3 else 'A"b', ("High", "Medium", "Info")[i % 3], f"src/{i % 7}.py", i % 11, f"m\n{i % 5}", "") for i in range(300)]
+    findings = spark.createDataFrame(rows, "kind string, severity string, file string, line int, message string, fingerprint string").repartition(5)
+    lines = [r.value for r in report.sarif_lines(findings).collect()]
+    # a line for each result, none with all of them
+    assert len(lines) == 302 and max(map(len, lines)) < 400
+    assert json.loads("\n".join(lines)) == json.loads(report.sarif(findings).first().value)
+    none = [r.value for r in report.sarif_lines(findings.limit(0)).collect()]
+    assert json.loads("".join(none))["runs"][0]["results"] == []
