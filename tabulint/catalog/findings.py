@@ -124,9 +124,10 @@ def kind_counts(spark, sf_dir):
 def complexity_findings(spark, sf_dir):
     """A3, A4: long functions, many parameters, classes of many methods."""
     k = F.col("o_orderkey")
+    # a cast in SQL takes halves to the even number
     s = table(spark, sf_dir, "orders").select(
         k.alias("symbol_id"), F.when(k % 10 == 0, "Class").when(k % 2 == 0, "Method").otherwise("Function").alias("kind"), (F.col("o_custkey") * 10).alias("parent_id"),
-        F.lit(1).alias("line_start"), F.round(F.col("o_totalprice") / 2000).cast("int").alias("line_end"), (k % 8).cast("int").alias("param_count"),
+        F.lit(1).alias("line_start"), F.rint(F.col("o_totalprice") / 2000).cast("int").alias("line_end"), (k % 8).cast("int").alias("param_count"),
     )
     return A.complexity(s, methods=6)
 

@@ -51,3 +51,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_halves_round_as_in_sql(spark, tmp_path):
+    prices = [101000.0, 103000.0, 100999.99, 101000.01, 105000.0, 99000.0, 1000.0]
+    rows = [(i * 2 + 1, 1, p) for i, p in enumerate(prices)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    wanted = sorted(tuple(map(str, r)) for r in c.sql(catalog.ORACLES["complexity_findings"]).fetchall())
+    got = sorted(tuple(map(str, (r.symbol_id, r.finding, r.value))) for r in catalog.QUERIES["complexity_findings"](spark, str(tmp_path)).collect())
+    assert got == wanted and len(wanted) >= 3
