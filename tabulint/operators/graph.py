@@ -53,6 +53,12 @@ def in_one_task(nodes: DataFrame, edges: DataFrame, work, column: str, kind: str
     return rows.coalesce(1).mapInArrow(run, f"node {name}, {column} {name if kind == 'node' else kind}")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, joined by a shuffle of both sides: a table as long as the graph, though small
+    as a file, would go through the driver, and again in every round."""
+    return df.hint("merge")
+
+
 def reachable(seeds: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(node, depth): nodes reached from the seeds (node), by breadth.
 
@@ -72,8 +78,8 @@ def reachable(seeds: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> Da
         return in_one_task(frontier, e, work, "depth", "int").select(F.col("node").cast(kind).alias("node"), "depth")
     known = frontier
     for d in range(1, most_rounds + 1):
-        step = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = saved(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "reach")
+        step = frontier.join(shuffled(e), frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
+        frontier = saved(step.join(shuffled(known.select("node")), "node", "left_anti").withColumn("depth", F.lit(d)), "reach")
         if frontier.isEmpty():
             return known
         known = known.unionAll(frontier)
@@ -116,7 +122,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     spark = nodes.sparkSession
     e = edges.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("k"))
     out = e.groupBy("src").agg(F.sum("k").alias("deg"))
-    share = saved(e.join(out, "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("share")), "edges")
+    share = saved(e.join(shuffled(out), "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("share")), "edges")
     base = saved(nodes.select("node").distinct(), "nodes")
     n = base.count()
     if is_small(share, base):
@@ -125,11 +131,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
             return localgraph.pagerank(every, src, dst, shares, damping, rounds)
 
         return in_one_task(base, share, work, "rank", "double").select(F.col("node").cast(nodes.schema["node"].dataType).alias("node"), "rank")
-    rank = saved(base.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank")), "ranks")
+    rank = saved(base.join(shuffled(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling"))), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank")), "ranks")
     for _ in range(rounds):
         # one number a round; as a part of the plan it would double the plan each time
         lost = rank.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
-        got = rank.join(share, rank["node"] == share["src"]).select(F.col("dst").alias("node"), (damping * F.col("rank") * F.col("share")).alias("x"), F.lit(None).cast("boolean").alias("dangling"))
+        got = rank.join(shuffled(share), rank["node"] == share["src"]).select(F.col("dst").alias("node"), (damping * F.col("rank") * F.col("share")).alias("x"), F.lit(None).cast("boolean").alias("dangling"))
         every = rank.select("node", F.lit((1 - damping) / max(n, 1) + damping * lost / max(n, 1)).alias("x"), "dangling")
         rank = saved(every.unionAll(got).groupBy("node").agg(F.max("dangling").alias("dangling"), F.sum("x").alias("rank")), "ranks")
     return rank.select("node", "rank")
@@ -160,27 +166,27 @@ def strong_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200
             break
         if r == most_rounds:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-        inner = live.select(F.col("src").alias("node")).distinct().intersect(live.select(F.col("dst").alias("node")).distinct())
-        alone = saved(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")), "components")
+        inner = live.select(F.col("src").alias("node")).distinct().join(shuffled(live.select(F.col("dst").alias("node"))), "node", "left_semi")
+        alone = saved(left.join(shuffled(inner), "node", "left_anti").select("node", F.col("node").alias("component")), "components")
         if not alone.isEmpty():
             done = alone if done is None else done.unionAll(alone)
-            left = saved(left.join(alone, "node", "left_anti"), "open")
-            live = saved(live.join(left.withColumnRenamed("node", "src"), "src").join(left.withColumnRenamed("node", "dst"), "dst").select("src", "dst"), "edges")
+            left = saved(left.join(shuffled(alone), "node", "left_anti"), "open")
+            live = saved(live.join(shuffled(left.withColumnRenamed("node", "src")), "src").join(shuffled(left.withColumnRenamed("node", "dst")), "dst").select("src", "dst"), "edges")
             continue
         colour = saved(left.withColumn("colour", F.col("node")), "colours")
         while True:
-            pushed = live.join(colour, live["src"] == colour["node"]).select(F.col("dst").alias("node"), "colour")
+            pushed = live.join(shuffled(colour), live["src"] == colour["node"]).select(F.col("dst").alias("node"), "colour")
             new = saved(colour.unionAll(pushed).groupBy("node").agg(F.max("colour").alias("colour")), "colours")
-            same = new.join(colour, ["node", "colour"], "left_anti").isEmpty()
+            same = new.join(shuffled(colour), ["node", "colour"], "left_anti").isEmpty()
             colour = new
             if same:
                 break
-        back = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").filter("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        mine = reachable(colour.filter("node = colour").select("node"), back).select("node").join(colour, "node")
-        named = saved(mine.join(mine.groupBy("colour").agg(F.min("node").alias("component")), "colour").select("node", "component"), "components")
+        back = live.join(shuffled(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs"))), "src").join(shuffled(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd"))), "dst").filter("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        mine = reachable(colour.filter("node = colour").select("node"), back).select("node").join(shuffled(colour), "node")
+        named = saved(mine.join(shuffled(mine.groupBy("colour").agg(F.min("node").alias("component"))), "colour").select("node", "component"), "components")
         done = named if done is None else done.unionAll(named)
-        left = saved(left.join(named, "node", "left_anti"), "open")
-        live = saved(live.join(left.withColumnRenamed("node", "src"), "src").join(left.withColumnRenamed("node", "dst"), "dst").select("src", "dst"), "edges")
+        left = saved(left.join(shuffled(named), "node", "left_anti"), "open")
+        live = saved(live.join(shuffled(left.withColumnRenamed("node", "src")), "src").join(shuffled(left.withColumnRenamed("node", "dst")), "dst").select("src", "dst"), "edges")
     return done if done is not None else nodes.select("node", F.col("node").alias("component"))
 
 
@@ -192,7 +198,7 @@ def cycles(components: DataFrame) -> DataFrame:
 def layers(components: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(component, layer): longest path from a source component to it."""
     c = components
-    across = edges.join(c.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").filter("a <> b").select("a", "b").distinct()
+    across = edges.join(shuffled(c.select(F.col("node").alias("src"), F.col("component").alias("a"))), "src").join(shuffled(c.select(F.col("node").alias("dst"), F.col("component").alias("b"))), "dst").filter("a <> b").select("a", "b").distinct()
     across = saved(across, "edges")
     if is_small(across, saved(c.select("component").distinct(), "components")):
         kind = c.schema["component"].dataType
@@ -204,9 +210,9 @@ def layers(components: DataFrame, edges: DataFrame, most_rounds: int = 1000) ->
         return in_one_task(lone, across.select(F.col("a").alias("src"), F.col("b").alias("dst")), work, "layer", "int").select(F.col("node").cast(kind).alias("component"), "layer")
     layer = saved(c.select("component").distinct().withColumn("layer", F.lit(0)), "layers")
     for _ in range(most_rounds):
-        push = across.join(layer, across["a"] == layer["component"]).select(F.col("b").alias("component"), (F.col("layer") + 1).alias("layer"))
+        push = across.join(shuffled(layer), across["a"] == layer["component"]).select(F.col("b").alias("component"), (F.col("layer") + 1).alias("layer"))
         new = saved(layer.unionAll(push).groupBy("component").agg(F.max("layer").alias("layer")), "layers")
-        same = new.join(layer, ["component", "layer"], "left_anti").isEmpty()
+        same = new.join(shuffled(layer), ["component", "layer"], "left_anti").isEmpty()
         layer = new
         if same:
             return layer
@@ -289,7 +295,7 @@ def per_component(edges: DataFrame, what: str, rounds: int = 20) -> DataFrame:
     kind = edges.schema["src"].dataType.simpleString()
     e = edges.filter("src <> dst").select("src", "dst").distinct()
     roots = components(e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    rows = e.join(roots, e["src"] == roots["node"]).select("root", "src", "dst")
+    rows = e.join(shuffled(roots), e["src"] == roots["node"]).select("root", "src", "dst")
 
     def articulation(pdf):
         import pandas as pd
@@ -318,7 +324,7 @@ def analysed(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     real = saved(edges.filter("src <> dst").select("src", "dst"), "edges")
     parts = saved(strong_components(nodes, real), "components")
     levels = saved(layers(parts, real), "layers")
-    of = lambda c: parts.join(levels, "component").select(F.col("node").alias(c), F.col("layer").alias(f"{c}_layer"))
+    of = lambda c: shuffled(parts.join(shuffled(levels), "component").select(F.col("node").alias(c), F.col("layer").alias(f"{c}_layer")))
     across = real.distinct().join(of("src"), "src").join(of("dst"), "dst").filter("src_layer <> dst_layer")
     return {
         "coupling": coupling(real), "rank": pagerank(nodes, real), "components": parts, "cycles": cycles(parts), "layers": levels, "depth": levels.agg(F.coalesce(F.max("layer") + 1, F.lit(0)).alias("depth")),

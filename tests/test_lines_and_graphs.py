@@ -212,3 +212,20 @@ def test_three_levels_of_copies(spark):
     calls = spark.createDataFrame([("x", 1, "5", "7", None)], "path string, line_start int, caller_id string, callee_id string, callee_name string")
     got = {r.symbol: (r.kind, r.confidence) for r in Z.duplicates(symbols, calls).collect()}
     assert got == {"2": ("ExactDuplicate", 0.99), "5": ("RenamedDuplicate", 0.9), "6": ("SemanticDuplicate", 0.7)}
+
+
+def test_rounds_over_tables_send_no_table_through_the_driver(spark, monkeypatch):
+    plans, real = [], G.saved
+
+    def saved(df, name, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, **options)
+
+    monkeypatch.setattr(G, "saved", saved)
+    monkeypatch.setattr(G, "SMALL", 0)
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
+    nodes = real(spark.range(1, 5).withColumnRenamed("id", "node"), "nodes")
+    e = real(e, "edges")
+    assert G.pagerank(nodes, e, rounds=2).count() == 4
+    assert {r.layer for r in G.layers(real(G.strong_components(nodes, e), "components"), e).collect()} == {0, 1}
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
