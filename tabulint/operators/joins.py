@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tabulint.functions.scalar import affected, last_segment, path_pattern, without_api_prefix
 
@@ -113,15 +114,31 @@ def enclosing(points: DataFrame, spans: DataFrame, group: str, at: str, start: s
     """points with the narrowest span of their group that covers them (inverted
     spans cover nothing); ties go to the earliest start, end, then the least id.
 
-    A range join: both sides are cut into bins of `bin_size`, so it is an equi-join
-    on (group, bin), and a long span stands in the bins it covers only.  A point without
-    a group or a place has no span.
+    Whole numbers: a span is cut into blocks of one, two, four and so on places, of which
+    the narrowest span is kept, and a place looks its own block of each size up, so no
+    span meets each place in it.  Other numbers: both sides are cut into bins of
+    `bin_size`, and a long span stands in the bins it covers only.  A point without a
+    group or a place has no span.
     """
-    b = lambda c: F.floor(F.col(c) / bin_size)
-    s = spans.filter(F.col(end) >= F.col(start)).select(F.col(group).alias("__g"), F.struct((F.col(end) - F.col(start)).alias("w"), F.col(start).alias("a"), F.col(end).alias("z"), F.col(span_id).alias("id")).alias("__s"), F.explode(F.sequence(b(start), b(end))).alias("__bin"))
+    # of equal spans the least id is all that a place can get
+    s = spans.filter(F.col(end) >= F.col(start)).groupBy(F.col(group).alias("__g"), F.col(start).alias("a"), F.col(end).alias("z")).agg(F.min(span_id).alias("id"))
+    s = s.select("__g", F.struct((F.col("z") - F.col("a")).alias("w"), "a", "z", "id").alias("__s"))
     # the narrowest span is looked for once per distinct place
-    places = points.select(F.col(group).alias("__g"), F.col(at).alias("__at")).distinct().withColumn("__bin", b("__at"))
-    inside = places.join(s, ["__g", "__bin"]).filter((F.col("__at") >= F.col("__s.a")) & (F.col("__at") <= F.col("__s.z")))
+    places = points.select(F.col(group).alias("__g"), F.col(at).alias("__at")).distinct()
+    if all(isinstance(df.schema[c].dataType, IntegralType) for df, c in ((points, at), (spans, start), (spans, end))):
+        sizes = lambda w: F.sequence(F.lit(0), F.floor(F.log2(w.cast("double") + 1)).cast("int") + 1)
+        first, after = F.expr("shiftright(cast(__s.a as bigint) - 1, __k) + 1"), F.expr("shiftright(cast(__s.z as bigint) + 1, __k)")
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+        s = s.select("*", F.explode(sizes(F.col("__s.w"))).alias("__k")).select("*", first.alias("__l"), after.alias("__r")).filter("__l < __r")
+        blocks = F.array(F.when(odd(F.col("__l")), F.col("__l")), F.when(odd(F.col("__r")), F.col("__r") - 1))
+        s = s.select("__g", "__s", "__k", F.explode(blocks).alias("__bin")).filter("__bin is not null").groupBy("__g", "__k", "__bin").agg(F.min("__s").alias("__s"))
+        widest = spans.filter(F.col(end) >= F.col(start)).agg(F.max(F.col(end) - F.col(start)).alias("__w"))
+        places = places.join(F.broadcast(widest)).select("__g", "__at", F.explode(sizes(F.col("__w"))).alias("__k")).withColumn("__bin", F.expr("shiftright(cast(__at as bigint), __k)"))
+        inside = places.join(s, ["__g", "__k", "__bin"])
+    else:
+        b = lambda c: F.floor(F.col(c) / bin_size)
+        s = s.select("__g", "__s", F.explode(F.sequence(b("__s.a"), b("__s.z"))).alias("__bin"))
+        inside = places.withColumn("__bin", b("__at")).join(s, ["__g", "__bin"]).filter((F.col("__at") >= F.col("__s.a")) & (F.col("__at") <= F.col("__s.z")))
     best = inside.groupBy("__g", "__at").agg(F.min("__s").alias("__b"))
     return points.join(best, (points[group] == best["__g"]) & (points[at] == best["__at"]), "left").select(*points.columns, F.col("__b.id").alias("span"))
 

@@ -53,6 +53,22 @@ def test_enclosing(spark):
     assert got == {("f", 15): 2, ("f", 27): 1, ("f", 101): None, ("g", 15): None}
 
 
+def test_enclosing_spans_meet_no_place_twice(spark):
+    rows = [("f", a, a + w, a * 100 + w) for a in range(-40, 60, 3) for w in (-2, 0, 1, 5, 17, 64)] + [("g", -7, -7, 1), ("g", -7, -7, 0)]
+    at = [("f", x) for x in range(-50, 140)] + [("g", -7), ("g", 0)]
+
+    def found(kind):
+        spans = spark.createDataFrame(rows, "p string, a long, z long, id long").select("p", F.col("a").cast(kind), F.col("z").cast(kind), "id")
+        return J.enclosing(spark.createDataFrame(at, "p string, ln long").select("p", F.col("ln").cast(kind)), spans, "p", "ln", "a", "z", "id", 8)
+
+    wanted = {x: min(((z - a, a, z, i) for p, a, z, i in rows if p == x[0] and a <= x[1] <= z), default=(None,) * 4)[3] for x in at}
+    for kind in ("int", "long", "double"):
+        assert {(r.p, int(r.ln)): r.span for r in found(kind).collect()} == wanted
+    # a join by bins compared each span with each place of its bin
+    plan = found("long")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(">=" in x for x in plan.splitlines() if "Join" in x)
+
+
 def test_graphs(spark):
     edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (7, 7), (1, 2)]
     e = spark.createDataFrame(edges, "src long, dst long")
